@@ -1,9 +1,15 @@
 """Queries of the core operators with equivalent SQL."""
 
+from __future__ import annotations
+
+from lexistrata import problems
+
 
 def queries() -> dict:
-    return {}
+    """Callables by query name."""
+    return problems.queries()
 
 
-def oracle_sql() -> dict:
+def oracle_sql() -> dict[str, str]:
+    """Equivalent SQL by query name."""
     return {}

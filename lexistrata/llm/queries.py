@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexistrata.engine import table
+from lexistrata.llm import value_mapping
 from lexistrata.llm.term_frequency import term_frequency
 
 SPACE_SQL = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -53,9 +54,26 @@ WITH items AS (
 """
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry of the format list meant by every distinct format or media type, 0 if none."""
+    sample, listed = table(spark, sf_dir, "sample_records"), table(spark, sf_dir, "format_list")
+    typed = sample.select(
+        F.explode(F.flatten(F.array(F.col("resources.format"), F.col("resources.mimetype"), F.col("resources.mediaType")))).alias("value")
+    )
+    dictionary = value_mapping.reference_forms(
+        listed, "format_id", ["label", "media_type", "extension"], value_mapping.alias_table(listed, "format_id", "label")
+    )
+    mapped = value_mapping.map_values(typed, "value", dictionary)
+    return mapped.select("value", F.col("entry").alias("format_id"))
+
+
 def queries() -> dict:
     """Callables by query name."""
-    return {"p1_found": p1_found, "p1_term_frequency": p1_term_frequency}
+    return {
+        "p1_found": p1_found,
+        "p1_term_frequency": p1_term_frequency,
+        "p4_found": p4_found,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

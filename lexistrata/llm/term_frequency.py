@@ -47,8 +47,8 @@ def term_frequency(
     record = F.coalesce(F.concat(F.lit("i"), record_id.cast("string")), F.concat(F.lit("r"), row_id.cast("string")))
     items = F.flatten(F.array(*(_items(name, values) for name, values in fields.items())))
     rows = df.select(record.alias("_record"), items.alias("_items"))
-    # A marker without term stands for the record itself, so that one scan gives both counts.
-    marker = F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("term")))
+    # In each field a marker without term stands for the record itself, so that one scan gives both counts.
+    marker = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(None).cast("string").alias("term")) for f in fields))
     kept = F.filter(F.col("_items"), lambda x: F.length(x["term"]) > 0)
     per_record = (
         rows.select("_record", F.explode(F.concat(marker, kept)).alias("_x"))
@@ -58,12 +58,9 @@ def term_frequency(
     counted = per_record.groupBy("field", "term").agg(
         F.sum("_n").alias("occurrences"), F.count("*").alias("records")
     )
-    # One row: the number of records, sent to the terms by a key that all share.
-    total = counted.where(F.col("field").isNull()).select(
-        F.lit(1).alias("_one"), F.col("records").alias("all_records")
-    )
-    terms = counted.where(F.col("field").isNotNull()).withColumn("_one", F.lit(1))
-    joined = terms.join(F.broadcast(total), "_one").drop("_one")
+    # One row a field: its number is that of the given fields, whatever the data.
+    total = counted.where(F.col("term").isNull()).select("field", F.col("records").alias("all_records"))
+    joined = counted.where(F.col("term").isNotNull()).join(F.broadcast(total), "field")
     over, of = common_share
     mark = F.when(F.col("records") <= rare_at_most, "rare").when(
         F.col("records") * of > F.col("all_records") * over, "common"

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexistrata.engine import table
-from lexistrata.llm import value_mapping
+from lexistrata.functions.cleaning import clean
+from lexistrata.llm import set_join, value_mapping
 from lexistrata.llm.term_frequency import term_frequency
 
 SPACE_SQL = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -67,12 +68,43 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.select("value", F.col("entry").alias("format_id"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the two record tables whose tags, keywords and themes largely agree."""
+    sample, catalog = table(spark, sf_dir, "sample_records"), table(spark, sf_dir, "catalog_records")
+    none = F.array().cast("array<string>")
+    words = F.concat(F.coalesce("dcat.keyword", none), F.coalesce("dcat.theme", none))
+    rows = sample.select("row_id", "id", F.col("tags.name").alias("items")).unionByName(
+        catalog.select("row_id", "id", words.alias("items"))
+    )
+    cleaned = rows.withColumn("items", F.transform("items", clean))
+    return set_join.similar_sets(cleaned, "row_id", "items", group="id")
+
+
+_P7_SQL = rf"""
+WITH items AS (
+  SELECT row_id, id, unnest(tags).name AS v FROM sample_records
+  UNION ALL SELECT row_id, id, unnest(list_concat(dcat.keyword, dcat.theme)) FROM catalog_records
+), vals AS (
+  SELECT DISTINCT row_id, id, lower(trim(regexp_replace(v, '{SPACE_SQL}', ' ', 'g'))) AS v FROM items WHERE v IS NOT NULL
+), sized AS (
+  SELECT row_id, id, v, count(*) OVER (PARTITION BY row_id) AS n FROM vals WHERE v <> ''
+)
+SELECT row_a, row_b FROM (
+  SELECT a.row_id AS row_a, b.row_id AS row_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
+  FROM sized a JOIN sized b ON a.v = b.v AND a.row_id < b.row_id AND a.id <> b.id AND a.n >= 3 AND b.n >= 3
+    AND 10 * a.n >= 6 * b.n AND 10 * b.n >= 6 * a.n
+  GROUP BY a.row_id, b.row_id)
+WHERE 10 * shared >= 6 * (na + nb - shared)
+"""
+
+
 def queries() -> dict:
     """Callables by query name."""
     return {
         "p1_found": p1_found,
         "p1_term_frequency": p1_term_frequency,
         "p4_found": p4_found,
+        "p7_found": p7_found,
     }
 
 
@@ -82,5 +114,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _P1_SQL
         + """SELECT field, term, CASE WHEN records <= 2 THEN 'rare' ELSE 'common' END AS mark
 FROM counted JOIN totals USING (src) WHERE records <= 2 OR records * 10 > n""",
+        "p7_found": _P7_SQL,
         "p1_term_frequency": _P1_SQL + "SELECT field, term, occurrences, records FROM counted",
     }

@@ -9,6 +9,7 @@ from lexistrata.engine import table
 from lexistrata.functions.cleaning import clean
 from lexistrata.llm import set_join, value_mapping
 from lexistrata.llm.term_frequency import term_frequency
+from lexistrata.llm.tokenize import encode_corpus
 
 SPACE_SQL = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -80,6 +81,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.similar_sets(cleaned, "row_id", "items", group="id")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 _P7_SQL = rf"""
 WITH items AS (
   SELECT row_id, id, unnest(tags).name AS v FROM sample_records
@@ -105,6 +111,7 @@ def queries() -> dict:
         "p1_term_frequency": p1_term_frequency,
         "p4_found": p4_found,
         "p7_found": p7_found,
+        "p8_ids": p8_ids,
     }
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexistrata.engine import table
 from lexistrata.functions.cleaning import clean
 from lexistrata.llm import set_join, value_mapping
+from lexistrata.llm.leakage import leaked_items
 from lexistrata.llm.term_frequency import term_frequency
 from lexistrata.llm.tokenize import encode_corpus
 
@@ -86,6 +87,12 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the evaluation items that they give away."""
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")
+    return leaked_items(documents, "doc_id", "text", items, "item_id", "passage").select("doc_id", "item_id").distinct()
+
+
 _P7_SQL = rf"""
 WITH items AS (
   SELECT row_id, id, unnest(tags).name AS v FROM sample_records
@@ -112,6 +119,7 @@ def queries() -> dict:
         "p4_found": p4_found,
         "p7_found": p7_found,
         "p8_ids": p8_ids,
+        "p9_found": p9_found,
     }
 
 

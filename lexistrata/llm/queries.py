@@ -11,6 +11,7 @@ from lexistrata.llm import set_join, value_mapping
 from lexistrata.llm.leakage import leaked_items
 from lexistrata.llm.term_frequency import term_frequency
 from lexistrata.llm.tokenize import encode_corpus
+from lexistrata.llm.truncation import score_texts
 
 SPACE_SQL = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -93,6 +94,25 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(documents, "doc_id", "text", items, "item_id", "passage").select("doc_id", "item_id").distinct()
 
 
+def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", "source")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text was cut off."""
+    return _ends(spark, sf_dir).where("cut").select("doc_id").distinct()
+
+
+def p10_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each source cuts its texts off."""
+    return (
+        _ends(spark, sf_dir)
+        .groupBy("source")
+        .agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut"))
+        .withColumn("rate", F.col("cut") / F.col("texts"))
+    )
+
+
 _P7_SQL = rf"""
 WITH items AS (
   SELECT row_id, id, unnest(tags).name AS v FROM sample_records
@@ -120,6 +140,8 @@ def queries() -> dict:
         "p7_found": p7_found,
         "p8_ids": p8_ids,
         "p9_found": p9_found,
+        "p10_found": p10_found,
+        "p10_source_rates": p10_source_rates,
     }
 
 

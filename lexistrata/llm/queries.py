@@ -9,6 +9,7 @@ from lexistrata.engine import table
 from lexistrata.functions.cleaning import clean
 from lexistrata.llm import set_join, value_mapping
 from lexistrata.llm.leakage import leaked_items
+from lexistrata.llm.name_variants import resolve_names, variant_pairs
 from lexistrata.llm.term_frequency import term_frequency
 from lexistrata.llm.tokenize import encode_corpus
 from lexistrata.llm.truncation import score_texts
@@ -58,6 +59,26 @@ WITH items AS (
 """
 
 
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sample, catalog = table(spark, sf_dir, "sample_records"), table(spark, sf_dir, "catalog_records")
+    typed = sample.select(F.col("organization.title").alias("name")).unionByName(
+        catalog.select(F.col("dcat.publisher.name").alias("name"))
+    )
+    return resolve_names(typed, "name")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of spellings that name the same body or person."""
+    return variant_pairs(_entities(spark, sf_dir), "name")
+
+
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with the number of spellings of its entity."""
+    members = _entities(spark, sf_dir)
+    sizes = members.groupBy("entity").agg(F.count("*").alias("spellings"))
+    return members.join(sizes, "entity")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entry of the format list meant by every distinct format or media type, 0 if none."""
     sample, listed = table(spark, sf_dir, "sample_records"), table(spark, sf_dir, "format_list")
@@ -136,6 +157,8 @@ def queries() -> dict:
     return {
         "p1_found": p1_found,
         "p1_term_frequency": p1_term_frequency,
+        "p2_found": p2_found,
+        "p2_entities": p2_entities,
         "p4_found": p4_found,
         "p7_found": p7_found,
         "p8_ids": p8_ids,

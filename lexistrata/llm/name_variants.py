@@ -129,7 +129,13 @@ def corrections(words: DataFrame, *, ratio: int = 4) -> DataFrame:
             yield batch.assign(_d=pd.Series(found, index=batch.index, dtype="float64")).dropna(subset=["_d"])
 
     measured = pairs.mapInPandas(near, "token string, _right string, _m long, n long, _d double")
-    return measured.groupBy("token").agg(F.min(F.struct("_d", (-F.col("_m")).alias("m"), "_right")).alias("b")).select("token", "b._right")
+    best = F.min(F.struct("_d", (-F.col("_m")).alias("m"), "_right")).alias("b")
+    once = checkpoint(measured.groupBy("token").agg(best).select("token", "b._right"))
+    # What a word is corrected to may be a more usual misspelling itself.
+    for _ in range(2):
+        further = once.select(F.col("token").alias("_right"), F.col("_right").alias("_then"))
+        once = once.join(further, "_right", "left").select("token", F.coalesce("_then", "_right").alias("_right"))
+    return once
 
 
 def short_forms(words: list[str]) -> set[str]:

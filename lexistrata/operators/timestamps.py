@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexistrata.functions.cleaning import squeeze
+from lexistrata.functions.text import lookup
 
 #: Month names of four languages, lower case, without full stops.
 MONTHS = {
@@ -70,8 +71,7 @@ def _group(text: Column, pattern: str, place: int) -> Column:
 
 
 def _lookup(pairs: dict[str, int], key: Column) -> Column:
-    flat = [F.lit(x) for pair in pairs.items() for x in pair]
-    return F.try_element_at(F.create_map(*flat), key)
+    return lookup({name: str(number) for name, number in pairs.items()}, key).cast("int")
 
 
 def _month(word: Column) -> Column:
@@ -182,8 +182,8 @@ def readings(df: DataFrame, text: str, tz: str) -> DataFrame:
         _lookup(ABBREVIATIONS, zone),
     )
     ids = _known_zones(spark)
-    named = F.try_element_at(F.create_map(*[F.lit(x) for name in ids for x in (name.lower(), name)]), zone)
-    own = F.try_element_at(F.create_map(*[F.lit(x) for name in ids for x in (name.lower(), name)]), F.lower(F.col(tz)))
+    known = {name.lower(): name for name in ids}
+    named, own = lookup(known, zone), lookup(known, F.lower(F.col(tz)))
     df = (
         df.withColumn("_first", first)
         .withColumn("_second", second)

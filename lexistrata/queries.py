@@ -1,15 +1,580 @@
-"""Queries of the core operators with equivalent SQL."""
+"""Queries of the core operators with equivalent SQL.
+
+``rec`` below is the union of both record tables as metadata; its SQL form is written out from the structs, without the
+functions that the operators use.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from lexistrata import problems
+from lexistrata.constants import (
+    BLOCK_STOP_TOKENS,
+    COMPLETENESS,
+    EXCLUDED_TERMS,
+    FIELD_ALIASES,
+    NOISY_STREAMS,
+    REQUIRED_FIELDS,
+    SENSOR_PATTERNS,
+    SENSOR_TERMS,
+    STOPWORDS,
+    SYNONYMS,
+)
+from lexistrata.engine import checkpoint, table
+from lexistrata.functions import text as t
+from lexistrata.operators import blocking, clusters, domain, flatten, mapping, profiling, resources, roles, terms, validation
+from lexistrata.operators.components import connected_components
+from lexistrata.operators.harvest import payload_kind, transformed_url
 
+#: Least count of the terms that are clustered: whole tables, not too many terms for the feature's limits.
+MIN_COUNT = 2
 
-def queries() -> dict:
-    """Callables by query name."""
-    return problems.queries()
+# ---------------------------------------------------------------------------------------------------------------- Spark
+
+
+def _records(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """``ord, record`` of the record tables."""
+    parts = []
+    for name in names or ("sample_records", "catalog_records"):
+        rows = table(spark, sf_dir, name)
+        columns = [c for c in rows.columns if c not in ("row_id", "portal_id", "ingested_at")]
+        parts.append(rows.select(F.col("row_id").alias("ord"), flatten.as_record(rows, *columns).alias("record")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatten.flatten_records(_records(spark, sf_dir), "record", "ord")
+
+
+def _distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatten.flatten_distributions(_records(spark, sf_dir), "record", "ord")
+
+
+def _term_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.term_rows(_metadata(spark, sf_dir), "ord")
+
+
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.count_terms(_term_rows(spark, sf_dir))
+
+
+def _cluster_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the tag, group and format fields, which are typed by people."""
+    metadata = _metadata(spark, sf_dir).select("ord", "id", "title", "tags", "resource_formats", "dcat_theme", "organization_title")
+    return checkpoint(terms.count_terms(terms.term_rows(metadata.drop("title"), "ord")).withColumn("example_titles", F.lit("")))
+
+
+def _cluster_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = clusters.filter_terms(_cluster_input(spark, sf_dir), min_count=MIN_COUNT)
+    return checkpoint(kept.select(F.col("normalized_term").alias("term")).distinct())
+
+
+def _spark_queries() -> dict:
+    d = lambda s, p: table(s, p, "documents")
+
+    def cluster_pipeline(s: SparkSession, p: str) -> DataFrame:
+        return clusters.cluster_terms(_cluster_input(s, p), min_count=MIN_COUNT)
+
+    def synonyms(s: SparkSession, p: str) -> DataFrame:
+        rows = _counted(s, p).groupBy("normalized_term").agg(F.sum("count").alias("n"))
+        return rows.where(F.col("normalized_term").isin(sorted(set(SYNONYMS.values()))))
+
+    def graph(s: SparkSession, p: str) -> DataFrame:
+        """Orders and their parts' suppliers: keys that share a line item are one component."""
+        lines = table(s, p, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p")).where("l_quantity >= 49")
+        edges = lines.select(F.concat(F.lit("o"), "o").alias("l"), F.concat(F.lit("p"), "p").alias("r")).distinct()
+        nodes = edges.select(F.col("l").alias("term")).union(edges.select("r")).distinct()
+        return connected_components(nodes, edges)
+
+    def dedupe(s: SparkSession, p: str) -> DataFrame:
+        e = table(s, p, "lineitem").select(
+            F.col("l_suppkey").cast("string").alias("l"), F.col("l_partkey").cast("string").alias("r"), F.col("l_quantity").cast("double").alias("score"),
+            F.when(F.col("l_linenumber") % 2 == 0, "exact").otherwise("fuzzy").alias("reason"),
+        )
+        return clusters.dedupe_edges(e)
+
+    def elect(s: SparkSession, p: str) -> DataFrame:
+        rows = table(s, p, "part").groupBy(F.substring("p_brand", 1, 7).alias("cluster_id"), F.lower("p_name").alias("term")).agg(F.count("*").alias("count"))
+        return clusters.elect_canonical(rows)
+
+    def tfidf(s: SparkSession, p: str) -> DataFrame:
+        scored = clusters.tfidf_scores(blocking.comparison_blocks(_part_terms(s, p)))
+        return scored.where(F.round("score", 9) >= 0.5).select("l", "r", F.round("score", 3).alias("score"))
+
+    def vectors(s: SparkSession, p: str) -> DataFrame:
+        edges = clusters.vector_edges(table(s, p, "embeddings"), 0.5, key="vec_id", vector="embedding")
+        return edges.select("l", "r", F.round("score", 3).alias("score"))
+
+    def roles_of(s: SparkSession, p: str) -> DataFrame:
+        names = ["resource_sample", "portals", "format_list", "eval_items", "customer", "part"]
+        orders = {"resource_sample": "row_id", "portals": "portal_id", "format_list": "format_id", "eval_items": "item_id", "customer": "c_custkey", "part": "p_partkey"}
+        found = []
+        for name in names:
+            rows = table(s, p, name)
+            samples = roles.column_samples(rows.withColumn("_o", F.col(orders[name])), "_o")
+            found.append(samples.select(F.lit(name).alias("table_name"), "field_name", "values"))
+        return roles.score_roles(reduce(DataFrame.unionByName, found), ["table_name"]).select("table_name", "field_name", "inferred_role", "confidence", "reason")
+
+    def labels(s: SparkSession, p: str) -> DataFrame:
+        rows = table(s, p, "resource_sample").select(F.col("status").alias("human_label"))
+        words = {"open": " Equivalent", "closed": "related", "pending": "NOT_EQUIVALENT", "in progress": "unsure"}
+        return rows.select(F.coalesce(t.lookup(words, F.lower(F.trim("human_label"))), F.lit("")).alias("human_label"))
+
+    return {
+        "normalize_documents": lambda s, p: d(s, p).select("doc_id", t.normalize_text(F.col("text")).alias("normalized")),
+        "normalize_stopwords": lambda s, p: d(s, p).select("doc_id", t.normalize_text(F.col("title"), remove_stopwords=True).alias("normalized")),
+        "split_compound": lambda s, p: problems._packed_items(s, p).select("row_id", "field", "item_pos", F.posexplode(t.split_compound(F.col("item"))).alias("pos", "part")),
+        "compact_list": lambda s, p: table(s, p, "catalog_records").select("row_id", t.compact_list(F.col("dcat.keyword"), 5).alias("keywords")),
+        "extract_terms": lambda s, p: table(s, p, "sample_records").select("row_id", F.explode(t.phrases(F.col("title"))).alias("term")),
+        "normalize_field_names": lambda s, p: table(s, p, "sample_records").select(F.explode("extras.key").alias("key")).distinct().select("key", t.field_form(F.col("key")).alias("form")),
+        "synonym_canonicalize": synonyms,
+        "term_frequency": lambda s, p: _counted(s, p).select("term", "normalized_term", "source_field", "count"),
+        "union_terms": lambda s, p: terms.count_terms(
+            _term_rows(s, p).unionByName(terms.term_rows(terms.distribution_metadata(_distributions(s, p)), "ord"))
+        ).groupBy("source_field").agg(F.count("*").alias("terms"), F.sum("count").alias("occurrences")),
+        "profile_terms": lambda s, p: terms.profile_terms(
+            table(s, p, "sample_records").select(F.col("row_id").alias("ord"), "id", "title", F.array_join("tags.name", " | ").alias("tags"))
+        ).select("term", "normalized_term", "source_field", "count", "example_record_ids"),
+        "exclude_filter": lambda s, p: clusters.filter_terms(_counted(s, p), min_count=1).select("term", "normalized_term", "source_field", "count"),
+        "min_count_filter": lambda s, p: clusters.filter_terms(_counted(s, p), min_count=5).select("term", "normalized_term", "source_field", "count"),
+        "domain_filter": lambda s, p: clusters.filter_terms(_counted(s, p), min_count=1, domain="sensor_telemetry").select("term", "normalized_term", "source_field", "count"),
+        "block_keys": lambda s, p: blocking.keyed_terms(_part_terms(s, p).unionByName(_cluster_terms(s, p)).distinct()),
+        "block_sizes": lambda s, p: blocking.comparison_blocks(_cluster_terms(s, p)).groupBy("block").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("blocks")),
+        "candidate_pairs": lambda s, p: blocking.candidate_pairs(_cluster_terms(s, p)),
+        "token_set_edges": lambda s, p: clusters.token_set_edges(_cluster_terms(s, p), 0.82, "fuzzy").select("l", "r", F.round("score", 6).alias("score")),
+        "tfidf_edges": tfidf,
+        "embedding_edges": vectors,
+        "edge_dedupe": dedupe,
+        "connected_components": graph,
+        "cluster_rows": cluster_pipeline,
+        "cluster_metrics": lambda s, p: clusters.cluster_metrics(checkpoint(cluster_pipeline(s, p))),
+        "drop_singletons": lambda s, p: clusters.drop_singletons(checkpoint(cluster_pipeline(s, p))),
+        "canonical_election": elect,
+        "value_counts": lambda s, p: profiling.part_counts(_metadata(s, p), "distribution_formats"),
+        "top_values": lambda s, p: profiling.top_parts(_metadata(s, p), "distribution_media_types"),
+        "distinct_split": lambda s, p: profiling.distinct_parts(_metadata(s, p), "tags"),
+        "distinct_filled": lambda s, p: (lambda m: m.agg(profiling.distinct_filled(m, "organization_name").alias("n")))(_metadata(s, p)),
+        "heterogeneity": lambda s, p: profiling.heterogeneity(_metadata(s, p)),
+        "completeness": lambda s, p: profiling.completeness(_metadata(s, p)),
+        "top_duplicates": lambda s, p: profiling.top_duplicates(_counted(s, p)),
+        "top_clusters": lambda s, p: profiling.top_clusters(checkpoint(cluster_pipeline(s, p))),
+        "flatten_records": lambda s, p: _metadata(s, p).drop("extras"),
+        "flatten_distributions": lambda s, p: _distributions(s, p),
+        "field_examples": lambda s, p: flatten.field_examples(_records(s, p, "catalog_records"), "record", "ord").select("input_field"),
+        "field_mapping": lambda s, p: mapping.suggest_fields(_field_names(s, p)).select("input_field", "suggested_dcat_field", "confidence"),
+        "missing_required": lambda s, p: mapping.missing_required(mapping.suggest_fields(_field_names(s, p)).drop("warning_if_required_field_missing")),
+        "field_roles": roles_of,
+        "file_type_detect": lambda s, p: _distributions(s, p).select(
+            "ord", "distribution_index", resources.file_type(_distributions(s, p)).alias("file_type"), resources.resource_url(_distributions(s, p)).alias("url")
+        ),
+        "zip_skip_reason": lambda s, p: _member_names(s, p).select("name", "size", resources.zip_skip_reason(F.col("name"), F.col("size"), 25 << 20).alias("reason")),
+        "header_row": lambda s, p: resources.header_rows(_cells(s, p)),
+        "payload_classify": lambda s, p: table(s, p, "raw_records").select(
+            "line_no", payload_kind(F.encode("payload", "utf-8"), F.lit("")).alias("k")
+        ).select("line_no", "k.suffix", "k.status"),
+        "harvest_urls": lambda s, p: _records(s, p, "catalog_records").select("ord", transformed_url(F.col("record")).alias("url")),
+        "validation_sample": lambda s, p: validation.validation_sample(checkpoint(cluster_pipeline(s, p))).drop("human_label", "human_notes"),
+        "validation_score": lambda s, p: validation.validation_scores(labels(s, p)),
+        "domain_counts": lambda s, p: domain.pattern_counts(_counted(s, p)),
+        "noisy_terms": lambda s, p: domain.noisy_terms(_counted(s, p)),
+        "domain_clusters": lambda s, p: domain.domain_clusters(checkpoint(cluster_pipeline(s, p))),
+    }
+
+
+def _part_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.lower("p_name").alias("term")).distinct()
+
+
+def _field_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "sample_records").select(F.explode("extras.key").alias("input_field")).where("input_field is not null").distinct()
+    fixed = spark.createDataFrame([(c,) for c in ("title", "notes", "topic", "modified", "Agency", "distribution_file_url", "file-urls")], "input_field string")
+    return keys.unionByName(fixed).distinct().withColumn("example_value", F.lit(""))
+
+
+def _member_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "sample_records").select(F.explode("resources").alias("r")).select("r.url").where("url is not null")
+    name = F.regexp_replace("url", r"^https?://[^/]+/", "")
+    return rows.select(name.alias("name"), (F.length("url") * 600_000).cast("long").alias("size")).distinct()
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of texts as tables of cells between white space."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    lines = docs.select(F.col("doc_id").alias("table"), F.posexplode(F.split("text", "\n")).alias("row", "line"))
+    return lines.select("table", "row", F.explode(F.split("line", " ")).alias("value"))
+
+
+# ------------------------------------------------------------------------------------------------------------------ SQL
+
+
+def _words(values: list[str]) -> str:
+    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+
+
+def _map(pairs: dict[str, str], key: str) -> str:
+    keys, values = ", ".join(f"'{k}'" for k in pairs), ", ".join(f"'{v}'" for v in pairs.values())
+    return f"MAP([{keys}], [{values}])[{key}]"
+
+
+SPACES = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _trim(text: str) -> str:
+    return rf"regexp_replace(regexp_replace({text}, '^{SPACES}+', ''), '{SPACES}+$', '')"
+
+
+def _normalize(text: str, stop: bool = False) -> str:
+    folded = f"coalesce({text}, '')"
+    for char, into in ((" ", " "), ("…", "..."), ("；", ";"), ("﷽", "   ")):
+        folded = f"replace({folded}, '{char}', '{into}')"
+    folded = rf"regexp_replace(lower(regexp_replace(strip_accents({folded}), '[^\x00-\x7F]', '', 'g')), 'https?://\S+', ' ', 'g')"
+    plain = f"trim(regexp_replace(replace({folded}, '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
+    if stop:
+        plain = f"array_to_string(list_filter(string_split({plain}, ' '), lambda w: w NOT IN {_words(STOPWORDS)}), ' ')"
+    return f"(SELECT coalesce({_map(SYNONYMS, 'z')}, z) FROM (SELECT {plain} AS z))"
+
+
+def _compact(values: str, limit: int) -> str:
+    kept = f"list_filter(list_transform({values}, lambda v: {_trim('v')}), lambda v: v IS NOT NULL AND v <> '')"
+    return f"coalesce((SELECT array_to_string(list_slice(list_filter(k, lambda v, i: list_position(k, v) = i), 1, {limit}), ' | ') FROM (SELECT {kept} AS k)), '')"
+
+
+def _first(*texts: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif({x}, '')" for x in texts) + ", '')"
+
+
+def _sample_items(*names: str) -> str:
+    return _compact(f"list_transform(resources, lambda r: {_first(*(f'r.{n}' for n in names))})", 50)
+
+
+def _catalog_items(*names: str) -> str:
+    return _compact(f"list_transform(dcat.distribution, lambda r: {_first(*(f'r.{n}' for n in names))})", 50)
+
+
+def _extra(*names: str) -> str:
+    """The last value of the first of these keys that occurs."""
+    parts = [
+        f"list_filter(extras, lambda x: x.key = '{n}' )[-1].value" for n in names
+    ]
+    keys = [f"len(list_filter(coalesce(extras, []), lambda x: x.key = '{n}')) > 0" for n in names]
+    chain = "''"
+    for key, part in reversed(list(zip(keys, parts, strict=True))):
+        chain = f"CASE WHEN {key} THEN coalesce({part}, '') ELSE {chain} END"
+    return chain
+
+
+def _flat_sql() -> str:
+    """The 47 oracle-checked metadata columns of both record tables."""
+    empty = "''"
+    keywords = f"{_extra('keyword', 'keywords')}"
+    sample = {
+        "id": "coalesce(id, '')", "name": "coalesce(name, '')", "title": "coalesce(title, '')", "notes": "coalesce(notes, '')",
+        "organization_title": "coalesce(organization.title, '')", "organization_name": "coalesce(organization.name, '')",
+        "organization_id": "coalesce(organization.id, '')",
+        "groups": _compact("list_transform(groups, lambda g: g.name)", 50),
+        "tags": f"coalesce(nullif({_compact('list_transform(tags, lambda g: g.name)', 50)}, ''), {keywords})",
+        "license_title": "coalesce(license_title, '')", "metadata_created": "coalesce(metadata_created, '')",
+        "metadata_modified": "coalesce(metadata_modified, '')", "url": "coalesce(url, '')",
+        "resources_count": "coalesce(len(list_filter(resources, lambda r: r IS NOT NULL)), 0)::INTEGER",
+        "resource_names": _sample_items("name"), "resource_descriptions": _sample_items("description"), "resource_formats": _sample_items("format"),
+        "resource_media_types": _sample_items("mimetype", "mediaType"), "resource_urls": _sample_items("url", "downloadURL", "accessURL"),
+        "dcat_type": empty, "dcat_title": "coalesce(title, '')", "dcat_description": "coalesce(notes, '')", "dcat_identifier": empty,
+        "dcat_accessLevel": empty, "dcat_modified": _extra("modified", "date_modified"), "dcat_issued": empty, "dcat_keyword": keywords,
+        "dcat_theme": empty, "dcat_bureauCode": empty, "dcat_programCode": empty, "dcat_publisher_name": _extra("publisher", "publisher_name"),
+        "dcat_contactPoint_fn": empty, "dcat_contactPoint_hasEmail": _extra("contactPoint.hasEmail", "contact_email"), "dcat_landingPage": empty,
+        "dcat_license": empty, "dcat_rights": empty, "dcat_spatial": empty, "dcat_temporal": empty,
+        "distribution_count": "coalesce(len(list_filter(resources, lambda r: r IS NOT NULL)), 0)::INTEGER",
+        "distribution_titles": _sample_items("name"), "distribution_descriptions": _sample_items("description"),
+        "distribution_formats": _sample_items("format"), "distribution_media_types": _sample_items("mimetype", "mediaType"),
+        "distribution_download_urls": _sample_items("downloadURL"), "distribution_access_urls": _sample_items("accessURL", "url"),
+        "harvest_record": empty, "harvest_record_raw": empty,
+    }
+    # A record may bring its title where DCAT has none: the table says title.
+    sample["dcat_title"] = sample["title"]
+    c = lambda name: f"coalesce(dcat.{name}, '')"
+    catalog = {
+        "id": _first("id", "dcat.identifier"), "name": empty, "title": _first("title", "dcat.title"), "notes": _first("description", "dcat.description"),
+        "organization_title": _first("organization.title", "dcat.publisher.name"), "organization_name": _first("organization.name", "dcat.publisher.name"),
+        "organization_id": empty, "groups": empty, "tags": _compact("dcat.keyword", 50), "license_title": c("license"), "metadata_created": empty,
+        "metadata_modified": c("modified"), "url": c("landingPage"),
+        "resources_count": "coalesce(len(list_filter(dcat.distribution, lambda r: r IS NOT NULL)), 0)::INTEGER",
+        "resource_names": _catalog_items("title"), "resource_descriptions": _catalog_items("description"), "resource_formats": _catalog_items("format"),
+        "resource_media_types": _catalog_items("mediaType"), "resource_urls": _catalog_items("downloadURL", "accessURL"),
+        "dcat_type": "coalesce(dcat.\"@type\", '')", "dcat_title": "coalesce(dcat.title, title, '')", "dcat_description": "coalesce(dcat.description, description, '')",
+        "dcat_identifier": c("identifier"), "dcat_accessLevel": c("accessLevel"), "dcat_modified": c("modified"), "dcat_issued": c("issued"),
+        "dcat_keyword": _compact("dcat.keyword", 50), "dcat_theme": _compact("dcat.theme", 50), "dcat_bureauCode": _compact("dcat.bureauCode", 50),
+        "dcat_programCode": _compact("dcat.programCode", 50), "dcat_publisher_name": c("publisher.name"), "dcat_contactPoint_fn": c("contactPoint.fn"),
+        "dcat_contactPoint_hasEmail": c("contactPoint.hasEmail"), "dcat_landingPage": c("landingPage"), "dcat_license": c("license"),
+        "dcat_rights": c("rights"), "dcat_spatial": c("spatial"), "dcat_temporal": c("temporal"),
+        "distribution_count": "coalesce(len(list_filter(dcat.distribution, lambda r: r IS NOT NULL)), 0)::INTEGER",
+        "distribution_titles": _catalog_items("title"), "distribution_descriptions": _catalog_items("description"),
+        "distribution_formats": _catalog_items("format"), "distribution_media_types": _catalog_items("mediaType"),
+        "distribution_download_urls": _catalog_items("downloadURL"), "distribution_access_urls": _catalog_items("accessURL"),
+        "harvest_record": "coalesce(harvest_record, '')", "harvest_record_raw": "coalesce(harvest_record_raw, '')",
+    }
+    one = ", ".join(f"{v} AS {k}" for k, v in sample.items())
+    two = ", ".join(f"{v} AS {k}" for k, v in catalog.items())
+    return f"SELECT row_id AS ord, {one} FROM sample_records UNION ALL SELECT row_id, {two} FROM catalog_records"
+
+
+def _dist_sql() -> str:
+    def side(path: str, source: str, names: dict[str, tuple[str, ...]]) -> str:
+        cells = ", ".join((_first(*(f"r.{n}" for n in keys)) if keys else "''") + f" AS {name}" for name, keys in names.items())
+        title = "title" if source == "sample_records" else _first("title", "dcat.title")
+        ident = "id" if source == "sample_records" else _first("id", "dcat.identifier")
+        return (
+            f"SELECT ord, dataset_id, dataset_title, distribution_index, {cells} FROM (SELECT row_id AS ord, coalesce({ident}, '') AS dataset_id, "
+            f"coalesce({title}, '') AS dataset_title, unnest({path}) AS r, (generate_subscripts({path}, 1) - 1)::INTEGER AS distribution_index FROM {source}) WHERE r IS NOT NULL"
+        )
+
+    names = ["distribution_title", "distribution_description", "format", "mediaType", "downloadURL", "accessURL", "conformsTo", "describedBy", "describedByType"]
+    of_sample = [("name",), ("description",), ("format",), ("mediaType", "mimetype"), ("downloadURL",), ("accessURL", "url"), (), (), ()]
+    of_catalog = [("title",), ("description",), ("format",), ("mediaType",), ("downloadURL",), ("accessURL",), ("conformsTo",), ("describedBy",), ("describedByType",)]
+    return side("resources", "sample_records", dict(zip(names, of_sample, strict=True))) + " UNION ALL " + side("dcat.distribution", "catalog_records", dict(zip(names, of_catalog, strict=True)))
+
+
+def _cell_terms(source: str, order: str = "ord", fields: list[str] | None = None) -> str:
+    """``ord, source_field, term, normalized_term`` from a metadata relation."""
+    from lexistrata.constants import COMPOUND_FIELDS, TERM_FIELDS
+
+    names = fields or TERM_FIELDS
+    listed = [f for f in names if f in COMPOUND_FIELDS]
+    plain = [f for f in names if f not in COMPOUND_FIELDS]
+    a = " UNION ALL ".join(f"SELECT {order} AS ord, '{f}' AS f, replace({f}, ' | ', ';') AS v FROM {source}" for f in listed) or f"SELECT {order} AS ord, '' AS f, '' AS v FROM {source} WHERE false"
+    b = " UNION ALL ".join(f"SELECT {order} AS ord, '{f}' AS f, {f} AS v FROM {source}" for f in plain) or f"SELECT {order} AS ord, '' AS f, '' AS v FROM {source} WHERE false"
+    split = (
+        f"SELECT ord, f, {_normalize('part')} AS term FROM (SELECT ord, f, unnest(regexp_split_to_array(v, '\\s*[;,|]\\s*')) AS part FROM ({a}) WHERE {_normalize('v')} <> '')"
+    )
+    split = f"SELECT ord, f, term FROM ({split}) WHERE term <> ''"
+    whole = f"SELECT ord, f, n, string_split(n, ' ') AS w FROM (SELECT ord, f, {_normalize('v', True)} AS n FROM ({b})) WHERE n <> ''"
+    runs = (
+        f"SELECT DISTINCT ord, f, n, term FROM (SELECT ord, f, n, n AS term FROM ({whole}) UNION ALL "
+        f"SELECT ord, f, n, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' '))) FROM ({whole}) WHERE len(w) > 2 UNION ALL "
+        f"SELECT ord, f, n, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) FROM ({whole}) WHERE len(w) > 2)"
+    )
+    every = f"SELECT ord, f, term FROM ({split}) UNION ALL SELECT ord, f, term FROM ({runs})"
+    return f"SELECT ord, f AS source_field, term, normalized_term FROM (SELECT ord, f, term, {_normalize('term', True)} AS normalized_term FROM ({every})) WHERE normalized_term <> ''"
+
+
+_FILTER_FORM = r"trim(regexp_replace(regexp_replace(lower(normalized_term), '[/-]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _excluded(form: str = _FILTER_FORM) -> str:
+    hexes = "^[a-f0-9]{8}([ -]?[a-f0-9]{4}){3}[ -]?[a-f0-9]{12}$"
+    date = r"^(\d{4}|\d{4}\s+\d{1,2}\s+\d{1,2}|\d{1,2}\s+\d{1,2}\s+\d{2,4})$"
+    return f"(length({form}) < 3 OR {form} IN {_words(EXCLUDED_TERMS)} OR regexp_matches({form}, '{hexes}') OR regexp_matches({form}, '{date}'))"
+
+
+def _sensor(form: str = _FILTER_FORM) -> str:
+    hits = " OR ".join(f"contains({form}, '{w}')" for w in SENSOR_TERMS)
+    return f"({form} NOT IN {_words(NOISY_STREAMS)} AND ({hits}))"
+
+
+def _part_sql() -> str:
+    return "SELECT DISTINCT lower(p_name) AS term FROM part"
+
+
+def _keys_sql(source: str) -> str:
+    back: dict[str, list[str]] = {}
+    for alias, meant in SYNONYMS.items():
+        back.setdefault(meant, []).append(alias)
+    pairs = ", ".join(f"('{k}', '{a}')" for k, v in back.items() for a in v) + ", " + ", ".join(f"('{a}', '{k}')" for a, k in SYNONYMS.items())
+    return (
+        f"SELECT DISTINCT term, key FROM (SELECT term, unnest(list_filter(string_split(term, ' '), lambda t: t NOT IN {_words(BLOCK_STOP_TOKENS)})) AS key FROM ({source}) "
+        f"UNION ALL SELECT term, string_split(term, ' ')[1] FROM ({source}) "
+        f"UNION ALL SELECT s.term, v.key FROM ({source}) s JOIN (VALUES {pairs}) v(name, key) ON s.term = v.name) WHERE length(key) >= 3"
+    )
+
+
+def _blocks_sql(source: str) -> str:
+    told = f"list_filter(string_split(term, ' '), lambda t: t NOT IN {_words(BLOCK_STOP_TOKENS)})"
+    return f"""
+      keyed AS MATERIALIZED ({_keys_sql(source)}), sized AS (SELECT term, key, count(*) OVER (PARTITION BY key) AS n FROM keyed),
+      parted AS (SELECT CASE WHEN n <= 150 THEN key ELSE key || chr(9) || substr(coalesce(({told})[1], term), 1, 6) END AS block, term, n <= 150 AS whole FROM sized WHERE n > 1),
+      blocks AS MATERIALIZED (SELECT block, term FROM (SELECT *, count(*) OVER (PARTITION BY block, whole) AS m FROM parted) WHERE whole OR m BETWEEN 2 AND 150)"""
+
+
+def _comparable(a: str, b: str) -> str:
+    x, y = f"list_distinct(string_split({a}, ' '))", f"list_distinct(string_split({b}, ' '))"
+    shared = f"len(list_intersect({x}, {y}))"
+    least, most = f"least(length({a}), length({b}))", f"greatest(length({a}), length({b}))"
+    fits = (
+        f"({shared} > 0 AND {least} >= 5 AND CASE WHEN len({x}) = 1 OR len({y}) = 1 THEN len({x}) = len({y}) AND {shared} = len({x}) "
+        f"ELSE {shared} / least(len({x}), len({y})) >= 0.67 AND {least} / {most} >= 0.55 END)"
+    )
+    pair = f"(coalesce({_map(SYNONYMS, a)} = {b}, false) OR coalesce({_map(SYNONYMS, b)} = {a}, false))"
+    return f"({a} NOT IN {_words(EXCLUDED_TERMS)} AND {b} NOT IN {_words(EXCLUDED_TERMS)} AND ({pair} OR {fits}))"
+
+
+def _cluster_terms_sql() -> str:
+    """Terms that are clustered, as ``cterms``, from the metadata relation."""
+    fields = ["tags", "organization_title", "resource_formats", "dcat_theme"]
+    return f"""meta AS MATERIALIZED ({_flat_sql()}), crows AS ({_cell_terms('meta', fields=fields)}),
+      ccount AS MATERIALIZED (SELECT term, normalized_term, source_field, count(*) AS count FROM crows GROUP BY ALL),
+      cterms AS MATERIALIZED (SELECT DISTINCT normalized_term AS term FROM ccount WHERE count >= {MIN_COUNT} AND NOT {_excluded()})"""
+
+
+def _patterns_sql() -> str:
+    parts = []
+    for label, words in SENSOR_PATTERNS.items():
+        hits = " OR ".join(f"contains({_FILTER_FORM}, '{w}')" for w in words)
+        parts.append(f"SELECT '{label}' AS label, coalesce(sum(count) FILTER (WHERE {hits}), 0)::BIGINT AS n FROM counted")
+    return " UNION ALL ".join(parts)
+
+
+def _completeness_sql() -> str:
+    parts = []
+    for field, columns in COMPLETENESS.items():
+        ok = " OR ".join(f"(trim({c}::VARCHAR) <> '' AND trim({c}::VARCHAR) <> '0')" for c in columns)
+        missing = f"(SELECT array_to_string(list(title ORDER BY ord), ' | ') FROM (SELECT title, ord FROM meta WHERE NOT ({ok}) ORDER BY ord LIMIT 3))"
+        parts.append(
+            f"SELECT '{field}' AS field, count(*) FILTER (WHERE {ok}) AS count_present, count(*) AS total, "
+            f"count(*) FILTER (WHERE {ok}) / count(*) * 100 AS percent_present, coalesce({missing}, '') AS examples_missing FROM meta"
+        )
+    return " UNION ALL ".join(parts)
+
+
+def _parts_sql(column: str) -> str:
+    return f"SELECT trim(unnest(string_split({column}, '|'))) AS value FROM meta"
+
+
+def _counts_sql(column: str) -> str:
+    return f"SELECT value, count(*) AS n FROM ({_parts_sql(column)}) WHERE value <> '' GROUP BY value"
 
 
 def oracle_sql() -> dict[str, str]:
     """Equivalent SQL by query name."""
-    return {}
+    meta = f"WITH meta AS MATERIALIZED ({_flat_sql()}) "
+    dist = f"WITH dist AS MATERIALIZED ({_dist_sql()}) "
+    counted = f"WITH meta AS MATERIALIZED ({_flat_sql()}), rows_ AS ({_cell_terms('meta')}), counted AS MATERIALIZED (SELECT term, normalized_term, source_field, count(*) AS count FROM rows_ GROUP BY ALL) "
+    from_dist = "SELECT ord || '-' || distribution_index AS ord, dataset_title AS title, distribution_title AS distribution_titles, format AS distribution_formats, \"mediaType\" AS distribution_media_types, distribution_description AS notes FROM dist"
+    url = _first("\"downloadURL\"", "\"accessURL\"")
+    columns = "term, normalized_term, source_field, count"
+    items = (
+        "SELECT row_id, 'tags.name' AS field, (generate_subscripts(tags, 1) - 1)::INTEGER AS item_pos, unnest(tags).name AS item FROM sample_records UNION ALL "
+        "SELECT row_id, 'dcat.keyword', (generate_subscripts(dcat.keyword, 1) - 1)::INTEGER, unnest(dcat.keyword) FROM catalog_records UNION ALL "
+        "SELECT row_id, 'dcat.bureauCode', (generate_subscripts(dcat.\"bureauCode\", 1) - 1)::INTEGER, unnest(dcat.\"bureauCode\") FROM catalog_records"
+    )
+    ending = r"lower(regexp_extract(path, '[^/.][^/]*(\.[^./]+)$', 1))"
+    clusterable = f"WITH {_cluster_terms_sql()}"
+    grams = """
+      padded AS (SELECT block, term, ' ' || unnest(list_filter(string_split(term, ' '), lambda w: w <> '')) || ' ' AS p FROM blocks),
+      lengths AS (SELECT block, term, p, n FROM padded, (VALUES (3), (4), (5)) v(n) WHERE n <= greatest(3, length(p))),
+      grams AS (SELECT block, term, CASE WHEN length(p) <= n THEN [p] ELSE list_transform(range(1, length(p) - n + 2), lambda i: substr(p, i::INTEGER, n)) END AS g FROM lengths),
+      tf AS (SELECT block, term, g, count(*) AS tf FROM (SELECT block, term, unnest(g) AS g FROM grams) GROUP BY ALL),
+      df AS (SELECT block, g, count(*) AS df FROM tf GROUP BY ALL), sz AS (SELECT block, count(*) AS n FROM blocks GROUP BY block),
+      w AS (SELECT block, term, g, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (block, g) JOIN sz USING (block)),
+      u AS (SELECT block, term, g, w / sqrt(sum(w * w) OVER (PARTITION BY block, term)) AS w FROM w),
+      s AS (SELECT a.block, a.term AS l, b.term AS r, sum(a.w * b.w) AS s FROM u a JOIN u b ON a.block = b.block AND a.g = b.g AND a.term < b.term GROUP BY ALL)"""
+    return {
+        "normalize_documents": f"SELECT doc_id, {_normalize('text')} AS normalized FROM documents",
+        "normalize_stopwords": f"SELECT doc_id, {_normalize('title', True)} AS normalized FROM documents",
+        "split_compound": f"""WITH i AS ({items}), parts AS (
+            SELECT row_id, field, item_pos, k, {_normalize('part')} AS part FROM (
+              SELECT row_id, field, item_pos, unnest(regexp_split_to_array(item, '\\s*[;,|]\\s*')) AS part, generate_subscripts(regexp_split_to_array(item, '\\s*[;,|]\\s*'), 1) AS k
+              FROM i WHERE item IS NOT NULL AND {_normalize('item')} <> ''))
+          SELECT row_id, field, item_pos, (row_number() OVER (PARTITION BY row_id, field, item_pos ORDER BY k) - 1)::INTEGER AS pos, part FROM parts WHERE part <> ''""",
+        "compact_list": f"SELECT row_id, {_compact('dcat.keyword', 5)} AS keywords FROM catalog_records",
+        "extract_terms": f"SELECT ord AS row_id, term FROM (WITH m AS (SELECT row_id AS ord, title FROM sample_records) {_cell_terms('m', fields=['title'])})",
+        "normalize_field_names": "SELECT key, regexp_replace(regexp_replace(lower(key), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS form FROM (SELECT DISTINCT unnest(extras).key AS key FROM sample_records)",
+        "synonym_canonicalize": counted + f"SELECT normalized_term, sum(count)::BIGINT AS n FROM counted WHERE normalized_term IN {_words(sorted(set(SYNONYMS.values())))} GROUP BY normalized_term",
+        "term_frequency": counted + f"SELECT {columns} FROM counted",
+        "union_terms": f"""WITH meta AS MATERIALIZED ({_flat_sql()}), dist AS MATERIALIZED ({_dist_sql()}), dmeta AS ({from_dist}),
+          smeta AS (SELECT * REPLACE (ord::VARCHAR AS ord) FROM meta), every AS ({_cell_terms('smeta')} UNION ALL {_cell_terms('dmeta', fields=['title', 'notes', 'distribution_titles', 'distribution_formats', 'distribution_media_types'])}),
+          c AS (SELECT term, normalized_term, source_field, count(*) AS n FROM every GROUP BY ALL)
+          SELECT source_field, count(*) AS terms, sum(n)::BIGINT AS occurrences FROM c GROUP BY source_field""",
+        "profile_terms": f"""WITH m AS (SELECT row_id AS ord, coalesce(title, '') AS title, coalesce(array_to_string(list_filter(list_transform(tags, lambda x: x.name), lambda v: v IS NOT NULL), ' | '), '') AS tags FROM sample_records),
+          r AS ({_cell_terms('m', fields=['title', 'tags'])}), k AS (SELECT r.*, trim(s.id) AS id FROM r JOIN sample_records s ON s.row_id = r.ord),
+          c AS (SELECT term, normalized_term, source_field, count(*) AS count FROM k GROUP BY ALL),
+          f AS (SELECT term, normalized_term, source_field, id, min(ord) AS o FROM k WHERE id <> '' GROUP BY ALL),
+          x AS (SELECT *, row_number() OVER (PARTITION BY term, normalized_term, source_field ORDER BY o) AS n FROM f),
+          e AS (SELECT term, normalized_term, source_field, array_to_string(list(id ORDER BY n), ' | ') AS example_record_ids FROM x WHERE n <= 5 GROUP BY ALL)
+          SELECT term, normalized_term, source_field, count, coalesce(example_record_ids, '') AS example_record_ids FROM c LEFT JOIN e USING (term, normalized_term, source_field)""",
+        "exclude_filter": counted + f"SELECT {columns} FROM counted WHERE NOT {_excluded()}",
+        "min_count_filter": counted + f"SELECT {columns} FROM counted WHERE count >= 5 AND NOT {_excluded()}",
+        "domain_filter": counted + f"SELECT {columns} FROM counted WHERE NOT {_excluded()} AND {_sensor()}",
+        "block_keys": f"{clusterable}, src AS (SELECT term FROM cterms UNION {_part_sql()}) {_keys_sql('SELECT term FROM src')}",
+        "block_sizes": f"{clusterable}, {_blocks_sql('SELECT term FROM cterms')} SELECT n, count(*) AS blocks FROM (SELECT block, count(*) AS n FROM blocks GROUP BY block) GROUP BY n",
+        "candidate_pairs": f"""{clusterable}, {_blocks_sql('SELECT term FROM cterms')}
+          SELECT DISTINCT a.term AS l, b.term AS r FROM blocks a JOIN blocks b ON a.block = b.block AND a.term < b.term WHERE {_comparable('a.term', 'b.term')}""",
+        "tfidf_edges": f"""WITH {_blocks_sql(_part_sql())}, {grams}, best AS (SELECT l, r, max(s) AS s FROM s WHERE {_comparable('l', 'r')} GROUP BY ALL)
+          SELECT l, r, round(s, 3) AS score FROM best WHERE round(s, 9) >= 0.5""",
+        "embedding_edges": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+          SELECT a.vec_id AS l, b.vec_id AS r, round(list_cosine_similarity(a.e, b.e), 3) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id
+          WHERE round(list_cosine_similarity(a.e, b.e), 9) >= 0.5""",
+        "edge_dedupe": """WITH e AS (SELECT l_suppkey::VARCHAR AS a, l_partkey::VARCHAR AS b, l_quantity::DOUBLE AS score, CASE WHEN l_linenumber % 2 = 0 THEN 'exact' ELSE 'fuzzy' END AS reason FROM lineitem)
+          SELECT l, r, score, reason FROM (SELECT least(a, b) AS l, greatest(a, b) AS r, score, reason,
+            row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY score DESC, reason = 'exact' DESC, reason DESC) AS n FROM e WHERE a <> b) WHERE n = 1""",
+        "connected_components": """WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS l, 'p' || l_partkey AS r FROM lineitem WHERE l_quantity >= 49),
+          b AS (SELECT l AS u, r AS v FROM e UNION SELECT r, l FROM e), reach(term, root) AS (SELECT u, u FROM b UNION SELECT b.v, reach.root FROM reach JOIN b ON b.u = reach.term)
+          SELECT term, min(root) AS root FROM reach GROUP BY term""",
+        "canonical_election": f"""WITH p AS (SELECT substr(p_brand, 1, 7) AS cluster_id, lower(p_name) AS term, count(*) AS count FROM part GROUP BY ALL)
+          SELECT cluster_id, coalesce(min(term) FILTER (WHERE term IN {_words(sorted(set(SYNONYMS.values())))}), first(term ORDER BY count DESC, term)) AS canonical_term FROM p GROUP BY cluster_id""",
+        "value_counts": meta + _counts_sql("distribution_formats"),
+        "top_values": meta + _counts_sql("distribution_media_types") + " ORDER BY n DESC, value LIMIT 10",
+        "distinct_split": meta + f"SELECT count(DISTINCT value) AS n FROM ({_parts_sql('tags')}) WHERE value <> ''",
+        "distinct_filled": meta + "SELECT count(DISTINCT nullif(organization_name, '')) AS n FROM meta",
+        "heterogeneity": meta + " UNION ALL ".join(
+            f"(SELECT '{label}' AS label, value, n FROM ({_counts_sql(c)}) ORDER BY n DESC, value LIMIT 8)"
+            for label, c in (("Formats", "distribution_formats"), ("Media types", "distribution_media_types"), ("Distribution labels", "distribution_titles"))
+        ),
+        "completeness": meta + _completeness_sql(),
+        "top_duplicates": counted + "SELECT normalized_term, source_field, sum(count)::BIGINT AS count FROM counted GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 10",
+        "flatten_records": meta + "SELECT * FROM meta",
+        "flatten_distributions": dist + "SELECT * FROM dist",
+        "field_mapping": _mapping_sql() + "SELECT input_field, suggested_dcat_field, confidence FROM mapped",
+        "missing_required": _mapping_sql() + f"""SELECT CASE WHEN count(*) = 0 THEN '' ELSE 'Missing likely required fields: ' || array_to_string(list(f ORDER BY f), ', ') END AS warning_if_required_field_missing
+          FROM (VALUES {', '.join(f"('{f}')" for f in REQUIRED_FIELDS)}) v(f) WHERE f NOT IN (SELECT suggested_dcat_field FROM mapped)""",
+        "file_type_detect": dist + f"""SELECT ord, distribution_index, CASE WHEN contains(upper(format), 'CSV') OR contains(lower("mediaType"), 'text/csv') OR lower({url}) LIKE '%.csv' THEN 'CSV'
+          WHEN contains(upper(format), 'XLSX') OR contains(lower("mediaType"), 'spreadsheet') OR lower({url}) LIKE '%.xlsx' THEN 'XLSX'
+          WHEN contains(upper(format), 'ZIP') OR contains(lower("mediaType"), 'application/zip') OR lower({url}) LIKE '%.zip' THEN 'ZIP' END AS file_type, {url} AS url FROM dist""",
+        "zip_skip_reason": rf"""WITH m AS (SELECT DISTINCT regexp_replace(u, '^https?://[^/]+/', '') AS name, (length(u) * 600000)::BIGINT AS size FROM (SELECT unnest(resources).url AS u FROM sample_records) WHERE u IS NOT NULL),
+          e AS (SELECT name, size, replace(name, '\', '/') AS path FROM m)
+          SELECT name, size, CASE WHEN regexp_matches(path, '^/|(^|/)\.\.(/|$)|^[A-Za-z]:') THEN 'unsafe_path' WHEN {ending} IN ('.shp', '.dbf', '.prj', '.pdf', '.jpg', '.jpeg', '.png', '.tif', '.tiff', '.zip') THEN 'skipped_extension'
+          WHEN {ending} NOT IN ('.csv', '.xlsx', '.json', '.xml', '.txt', '.geojson') THEN 'unsupported_extension' WHEN size > 26214400 THEN 'inner_file_too_large' ELSE '' END AS reason FROM e""",
+        "header_row": """WITH l AS (SELECT doc_id AS t, unnest(string_split(text, chr(10))) AS line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INTEGER AS r FROM documents WHERE text IS NOT NULL),
+          c AS (SELECT t, r, trim(unnest(string_split(line, ' '))) AS v FROM l WHERE r < 10),
+          s AS (SELECT t, r, sum(CASE WHEN v <> '' THEN 1 ELSE 0 END + CASE WHEN regexp_matches(v, '[A-Za-z]') THEN 1 ELSE 0 END) AS s FROM c GROUP BY ALL)
+          SELECT t AS "table", first(r ORDER BY s DESC, r) AS header_row FROM s GROUP BY t""",
+        "payload_classify": """SELECT line_no, CASE WHEN j AND json_valid(payload) THEN '.json' WHEN j THEN '.txt' WHEN trim(payload) LIKE '<%' THEN '.xml' ELSE '.txt' END AS suffix,
+          CASE WHEN j AND json_valid(payload) AND json_extract_string(CASE WHEN json_valid(payload) THEN payload END, '$."@type"') = 'dcat:Dataset' THEN 'dcat_json' WHEN j AND json_valid(payload) THEN 'json'
+          WHEN j THEN 'text' WHEN trim(payload) LIKE '<%' THEN 'xml' ELSE 'text' END AS status
+          FROM (SELECT line_no, payload, regexp_matches(trim(payload), '^[{\\[]') AS j FROM raw_records)""",
+        "harvest_urls": f"SELECT row_id AS ord, {_first('harvest_record', _raw_made())} AS url FROM catalog_records",
+        "validation_score": """WITH l AS (SELECT CASE lower(trim(status)) WHEN 'open' THEN 'equivalent' WHEN 'closed' THEN 'related' WHEN 'pending' THEN 'not_equivalent' WHEN 'in progress' THEN 'unsure' END AS h FROM resource_sample)
+          SELECT count(h) AS reviewed, count(*) FILTER (WHERE h = 'equivalent') AS equivalent, count(*) FILTER (WHERE h = 'not_equivalent') AS not_equivalent,
+          count(*) FILTER (WHERE h = 'related') AS related, count(*) FILTER (WHERE h = 'unsure') AS unsure,
+          CASE WHEN count(h) = 0 THEN 0.0::DOUBLE ELSE (count(*) FILTER (WHERE h IN ('equivalent', 'related')) / count(h))::DOUBLE END AS precision FROM l""",
+        "domain_counts": counted + _patterns_sql(),
+        "noisy_terms": counted + f"SELECT DISTINCT {_FILTER_FORM} AS term FROM counted WHERE {_FILTER_FORM} IN {_words(EXCLUDED_TERMS)}",
+    }
+
+
+def _raw_made() -> str:
+    return "replace(replace(coalesce(harvest_record_raw, ''), '/raw', '/transformed'), 'raw=true', 'transformed=true')"
+
+
+def _mapping_sql() -> str:
+    """``mapped``: field names and the alias most like each, by longest common subsequence of single words."""
+    aliases = ", ".join(f"({i}, '{a}', '{m}')" for i, (a, m) in enumerate(FIELD_ALIASES.items()))
+    return f"""WITH RECURSIVE fields AS (SELECT DISTINCT f AS input_field FROM (SELECT unnest(extras).key AS f FROM sample_records
+          UNION ALL SELECT unnest(['title', 'notes', 'topic', 'modified', 'Agency', 'distribution_file_url', 'file-urls'])) WHERE f IS NOT NULL),
+        named AS (SELECT input_field, regexp_replace(regexp_replace(regexp_replace(lower(input_field), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), '^distribution_', '') AS f FROM fields),
+        alias(p, a, m) AS (VALUES {aliases}),
+        lcs(f, a, i, row_) AS (
+          SELECT DISTINCT f, a, 0, list_transform(range(length(a) + 1), lambda x: 0) FROM named, alias
+          UNION ALL
+          SELECT f, a, i + 1, list_prepend(0, list_transform(range(1, length(a) + 1), lambda j: list_max(list_transform(range(1, j + 1),
+            lambda k: CASE WHEN substr(a, k::INTEGER, 1) = substr(f, i + 1, 1) THEN greatest(row_[k] + 1, row_[k + 1]) ELSE row_[k + 1] END)))) FROM lcs WHERE i < length(f)),
+        scored AS (SELECT f, a, CASE WHEN length(f) = 0 THEN 0 ELSE round_even(2 * row_[length(a) + 1] / (length(f) + length(a)), 3) END AS s FROM lcs WHERE i = length(f)),
+        best AS (SELECT f, first(m ORDER BY s DESC, p) AS m, max(s) AS s FROM scored JOIN alias USING (a) GROUP BY f),
+        mapped AS (SELECT input_field, CASE WHEN s >= 0.82 THEN m ELSE '' END AS suggested_dcat_field, CASE WHEN s >= 0.82 THEN s ELSE 0.0 END::DOUBLE AS confidence FROM named JOIN best USING (f)) """
+
+
+def queries() -> dict:
+    """Callables by query name."""
+    return _spark_queries() | problems.queries()

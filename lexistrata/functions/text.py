@@ -90,6 +90,12 @@ def normalize_text(value: Column, *, remove_stopwords: bool = False) -> Column:
     return bind(text, lambda whole: F.coalesce(lookup(SYNONYMS, whole), whole))
 
 
+def without_stopwords(normal: Column) -> Column:
+    """The normal form without stop words of a text that is a normal form already."""
+    kept = F.array_join(F.filter(F.split(normal, " "), lambda word: ~word.isin(STOPWORDS)), " ")
+    return bind(kept, lambda whole: F.coalesce(lookup(SYNONYMS, whole), whole))
+
+
 def split_compound(value: Column) -> Column:
     """Normal forms of the parts of a text between semicolons, commas and bars, none for a text without words."""
     none = F.array().cast("array<string>")

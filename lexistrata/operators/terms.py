@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexistrata.constants import COMPOUND_FIELDS, TERM_COLUMNS, TERM_FIELDS
 from lexistrata.engine import checkpoint, text_or_empty
-from lexistrata.functions.text import SEPARATOR, list_terms, normalize_text, phrases
+from lexistrata.functions.text import SEPARATOR, list_terms, phrases, without_stopwords
 
 EXAMPLES = 5
 
@@ -43,7 +43,7 @@ def term_rows(df: DataFrame, order: str) -> DataFrame:
         F.col("_t").alias("title"),
         F.col("field").alias("source_field"),
         "term",
-        normalize_text(F.col("term"), remove_stopwords=True).alias("normalized_term"),
+        without_stopwords(F.col("term")).alias("normalized_term"),
     )
     return rows.where("normalized_term <> ''")
 

@@ -55,7 +55,8 @@ def _distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _term_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.term_rows(_metadata(spark, sf_dir), "ord")
+    # Stages are tables, as files were between them: flattening is planned and done once.
+    return terms.term_rows(checkpoint(_metadata(spark, sf_dir)), "ord")
 
 
 def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +65,8 @@ def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cluster_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms of the tag, group and format fields, which are typed by people."""
-    metadata = _metadata(spark, sf_dir).select("ord", "id", "title", "tags", "resource_formats", "dcat_theme", "organization_title")
-    return checkpoint(terms.count_terms(terms.term_rows(metadata.drop("title"), "ord")).withColumn("example_titles", F.lit("")))
+    metadata = checkpoint(_metadata(spark, sf_dir).select("ord", "id", "tags", "resource_formats", "dcat_theme", "organization_title"))
+    return checkpoint(terms.count_terms(terms.term_rows(metadata, "ord")).withColumn("example_titles", F.lit("")))
 
 
 def _cluster_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +135,7 @@ def _spark_queries() -> dict:
         "synonym_canonicalize": synonyms,
         "term_frequency": lambda s, p: _counted(s, p).select("term", "normalized_term", "source_field", "count"),
         "union_terms": lambda s, p: terms.count_terms(
-            _term_rows(s, p).unionByName(terms.term_rows(terms.distribution_metadata(_distributions(s, p)), "ord"))
+            _term_rows(s, p).unionByName(terms.term_rows(terms.distribution_metadata(checkpoint(_distributions(s, p))), "ord"))
         ).groupBy("source_field").agg(F.count("*").alias("terms"), F.sum("count").alias("occurrences")),
         "profile_terms": lambda s, p: terms.profile_terms(
             table(s, p, "sample_records").select(F.col("row_id").alias("ord"), "id", "title", F.array_join("tags.name", " | ").alias("tags"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import sys
 import unicodedata
 from collections.abc import Callable
@@ -64,13 +63,23 @@ def _folds() -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(into), more
 
 
+def _wide_class(chars: list[str], gap: int = 600) -> str:
+    """A character class of few ranges that has all these characters, and others between them."""
+    codes = sorted(map(ord, chars))
+    starts = [c for i, c in enumerate(codes) if not i or c - codes[i - 1] > gap]
+    ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] - c > gap]
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
 def fold_ascii(text: Column) -> Column:
     """Compatibility decomposition of all of Unicode, then only its ASCII characters."""
     one, into, more = _folds()
-    plane = [c for c in more if ord(c) < 0x10000]
-    several = "[" + "".join(re.escape(c) for c in plane) + "]"
-    chars = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(lookup({c: more[c] for c in plane}, c), c)), "")
-    rare = F.when(text.rlike(several), chars).otherwise(text)
+    plane = {c: more[c] for c in more if ord(c) < 0x10000}
+    # Most characters pass by two tests: a few wide ranges for the text, plain ASCII for the character.
+    chars = F.array_join(
+        F.transform(F.split(text, ""), lambda c: F.when(c < "\u0080", c).otherwise(F.coalesce(lookup(plane, c), c))), ""
+    )
+    rare = F.when(text.rlike(_wide_class(list(plane))), chars).otherwise(text)
     folded = F.regexp_replace(F.translate(rare, one, into), r"[^\x00-\x7F]", "")
     return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 

@@ -30,7 +30,7 @@ from lexistrata.operators import blocking, clusters, domain, flatten, mapping, p
 from lexistrata.operators.components import connected_components
 from lexistrata.operators.harvest import payload_kind, transformed_url
 
-#: Least count of the terms that are clustered: whole tables, not too many terms for the feature's limits.
+#: Least count of the terms that are clustered: the default of the stage.
 MIN_COUNT = 2
 
 # ---------------------------------------------------------------------------------------------------------------- Spark
@@ -63,10 +63,22 @@ def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.count_terms(_term_rows(spark, sf_dir))
 
 
+def _numbered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ord, record`` of both record tables as one collection: ``ord`` tells all records apart, sample records first."""
+    first, later = (_records(spark, sf_dir, name) for name in ("sample_records", "catalog_records"))
+    last = first.agg(F.max("ord")).first()[0]
+    return first.unionByName(later.withColumn("ord", F.col("ord") + F.lit(-1 if last is None else last) + 1))
+
+
+def _profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The term table of all term fields of both record tables and of their distributions, as the stages make it."""
+    numbered = _numbered_records(spark, sf_dir)
+    metadata = checkpoint(flatten.flatten_records(numbered, "record", "ord"))
+    return terms.profile_terms(metadata, checkpoint(flatten.flatten_distributions(numbered, "record", "ord")))
+
+
 def _cluster_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of the tag, group and format fields, which are typed by people."""
-    metadata = checkpoint(_metadata(spark, sf_dir).select("ord", "id", "tags", "resource_formats", "dcat_theme", "organization_title"))
-    return checkpoint(terms.count_terms(terms.term_rows(metadata, "ord")).withColumn("example_titles", F.lit("")))
+    return checkpoint(_profiled(spark, sf_dir))
 
 
 def _cluster_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

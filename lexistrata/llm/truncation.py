@@ -1,9 +1,9 @@
 """Texts that were cut off by a field limit or in transfer.
 
 A backward character n-gram model tells how likely a unit (line, list entry, text) ends after a given final context, or
-goes on. It is fitted on a bounded sample of distinct texts whose every position is a labelled example: what precedes a
-line end ends, what precedes any other character goes on. Each text's final context is scored by the log-odds of the two,
-backed off from long contexts to short ones. Over all texts, expectation and maximisation on the score counts of each
+goes on. It counts every position of all distinct texts: what precedes a line end ends, what precedes any other character
+goes on. Only contexts that some text ends with are asked for, so only those are counted; the counts are joined to the
+texts. Each text's final context is scored by the log-odds of the two, backed off from long contexts to short ones. Over all texts, expectation and maximisation on the score counts of each
 language gives the share of cut texts, which sets that language's threshold, and the lengths at which the texts of a source
 pile up count as evidence. Scoring is row by row; only score counts and length counts are gathered.
 """
@@ -22,14 +22,15 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexistrata.engine import checkpoint, unique_path
 
 #: Lengths of the contexts counted.
 ORDERS = (1, 2, 3, 4, 5, 6, 8, 10, 13, 17)
-#: Distinct texts that the model is fitted on: the bound of its sample.
-TRAIN_TEXTS = 8_000
+#: Bits of the filter that keeps contexts no text ends with from being shuffled; it only saves work, whatever its size.
+FILTER_BITS = 1 << 27
+#: Characters that a task counts at a time.
+CHUNK_CHARS = 500_000
 #: Weight of the shorter context's estimate against counts of the longer one.
 BACK_OFF = 3.0
 _BASE = 0x9E3779B97F4A7C15
@@ -80,141 +81,158 @@ def contexts(codes: np.ndarray, listed: np.ndarray, at: np.ndarray) -> list[np.n
     return out
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def final_contexts(text: str) -> tuple[float | None, bool, list[int], list[bool]]:
+    """Log-odds that need no counts, else none; whether a link ends the text; its final contexts, and which it has itself.
+
+    A link is looked up with spaces for its other marks, so that its longer contexts need not be among the text's own.
+    """
+    unit, broken = units(text)
+    if broken or not unit:
+        return 30.0 if broken else 0.0, False, [], []
+    codes, listed = _codes(unit)
+    own = [int(x.view(np.int64)[0]) for x in contexts(codes, listed, np.array([len(codes) - 1]))]
+    link = unit.rpartition(" ")[2].rpartition("\n")[2]
+    if "://" not in link:
+        return None, False, own, [True] * len(own)
+    codes, listed = _codes(re.sub(r"\W+", " ", link))
+    asked = [int(x.view(np.int64)[0]) for x in contexts(codes, listed, np.array([len(codes) - 1]))]
+    return None, True, asked, [x == y for x, y in zip(asked, own, strict=True)]
+
+
+def _ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = [final_contexts(text) for text in batch["_text"]]
+        fixed, link, keys, own = zip(*found, strict=True) if found else ((), (), (), ())
+        yield batch[["_hash"]].assign(fixed=pd.array(fixed, "Float64"), link=list(link), keys=list(keys), own=list(own))
+
+
+def _bit(key: np.ndarray) -> np.ndarray:
+    return (key.view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[list[str]]:
+    """The texts in lists of about as many characters, so that memory does not depend on the batch."""
+    held, size = [], 0
     for batch in batches:
-        keys, ends, tails, words = [], [], [], []
         for text in batch["_text"]:
-            unit, broken = units(text)
-            if not unit:
-                continue
-            codes, listed = _codes(unit)
-            at = np.flatnonzero(codes != 10)
-            ended = np.append(codes[1:] == 10, not broken)[at]
-            whole = "\n" + unit
-            after = np.array([not c.isalnum() for c in unit] + [True], np.float64)[at]
-            own = np.zeros(len(at), np.int64)
-            own[ended] = [xxhash.xxh64_intdigest(whole[max(0, i + 1 - TAIL) : i + 1]) >> 1 for i in at[ended]]
-            for hashed in contexts(codes, listed, at):
-                keys.append(hashed.view(np.int64))
-                ends.append(ended)
-                tails.append(own)
-                words.append(after)
-        if keys:
-            key, end, tail = np.concatenate(keys), np.concatenate(ends), np.concatenate(tails)
-            on, inverse, n = np.unique(key[~end], return_inverse=True, return_counts=True)
-            apart = np.bincount(inverse, np.concatenate(words)[~end]).astype(np.int64)
-            yield pd.DataFrame({"k": on, "tail": pd.array([None] * len(on), "Int64"), "n": n, "w": apart})
-            both = pd.DataFrame({"k": key[end], "tail": pd.array(tail[end], "Int64")}).drop_duplicates()
-            yield both.assign(n=0, w=0)
-
-
-class EndModel:
-    """In how many distinct tails a unit ended after a context, and how often the context occurred.
-
-    The counts lie in the shared folder, in order of the context's hash, and are mapped when a worker first asks.
-    """
+            held.append(text)
+            size += len(text)
+            if size >= CHUNK_CHARS:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _counter(path: str):  # noqa: ANN202
+    """Counts of the contexts in the filter at ``path``: of goings-on for each context, of ends a row for each tail."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked = np.memmap(path, np.uint8, "r")
+        for texts in _chunks(batches):
+            keys, ends, tails, words, positions, ended_tails = [], [], [], [], 0, []
+            for text in texts:
+                unit, broken = units(text)
+                if not unit:
+                    continue
+                codes, listed = _codes(unit)
+                at = np.flatnonzero(codes != 10)
+                ended = np.append(codes[1:] == 10, not broken)[at]
+                whole = "\n" + unit
+                after = np.array([not c.isalnum() for c in unit] + [True], bool)[at]
+                own = np.zeros(len(at), np.int64)
+                own[ended] = [xxhash.xxh64_intdigest(whole[max(0, i + 1 - TAIL) : i + 1]) >> 1 for i in at[ended]]
+                positions += int((~ended).sum())
+                ended_tails.append(own[ended])
+                for hashed in contexts(codes, listed, at):
+                    bit = _bit(hashed)
+                    hit = np.flatnonzero(asked[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
+                    keys.append(hashed.view(np.int64)[hit])
+                    ends.append(ended[hit])
+                    tails.append(own[hit])
+                    words.append(after[hit])
+            if keys:
+                key, end, tail = np.concatenate(keys), np.concatenate(ends), np.concatenate(tails)
+                on, inverse, n = np.unique(key[~end], return_inverse=True, return_counts=True)
+                apart = np.bincount(inverse, np.concatenate(words)[~end], len(on)).astype(np.int64)
+                yield pd.DataFrame({"order": 1, "k": on, "tail": pd.array([None] * len(on), "Int64"), "n": n, "w": apart})
+                both = pd.DataFrame({"k": key[end], "tail": pd.array(tail[end], "Int64")}).drop_duplicates()
+                yield both.assign(order=1, n=0, w=0)[["order", "k", "tail", "n", "w"]]
+                # Order 0, the context of nothing, gives the base rate.
+                once = np.unique(np.concatenate(ended_tails))
+                yield pd.DataFrame({"order": 0, "k": 0, "tail": pd.array([None], "Int64"), "n": [positions], "w": [0]})
+                yield pd.DataFrame({"order": 0, "k": once, "tail": pd.array(once, "Int64"), "n": 0, "w": 0})
+
+    return count
+
+
+def _write_filter(keys: DataFrame) -> str:
+    """A bit for each context asked for, in a file of the shared folder; its size does not depend on the corpus."""
+    target = urlparse(unique_path(keys.sparkSession, "asked"))
+    if target.scheme not in ("", "file"):
+        raise ValueError("the model needs a shared folder with a file path in spark.checkpoint.dir")
+
+    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            bit = _bit(batch["k"].to_numpy(np.int64))
+            np.bitwise_or.at(bits, bit >> 3, np.uint8(1) << (bit & 7).astype(np.uint8))
+        # A file for each attempt: one that is lost half way leaves nothing that is read.
+        os.makedirs(os.path.dirname(target.path), exist_ok=True)
+        path = f"{target.path}-{uuid.uuid4().hex}"
+        bits.tofile(path)
+        yield pd.DataFrame({"path": [path]})
+
+    row = keys.coalesce(1).mapInPandas(store, "path string").first()
+    if row is None:  # no partition at all: an empty table
+        path = f"{target.path}-{uuid.uuid4().hex}"
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        np.zeros(FILTER_BITS // 8, np.uint8).tofile(path)
+        return path
+    return row.path
+
 
-    COLUMNS = ("k", "e", "n", "w")
-
-    def __init__(self, folder: str, base: float) -> None:
-        self.folder, self.base, self.key = folder, base, None
-
-    def _open(self) -> None:
-        parts = (np.memmap(f"{self.folder}/{c}.bin", np.int64 if c == "k" else np.int32, "r") for c in self.COLUMNS)
-        self.key, self.ended, self.seen, self.apart = parts
-
-    def __getstate__(self) -> dict:
-        return {"folder": self.folder, "base": self.base, "key": None}
-
-    def log_odds(self, text: str) -> float:
-        """Log-odds that the text goes on over that it ends.
-
-        One end is taken off every count, so that neither a text of the sample nor a copy of one vouches for itself.
-        """
-        if self.key is None:
-            self._open()
-        unit, broken = units(text)
-        if broken or not unit:
-            return 30.0 if broken else 0.0
-        link = unit.rpartition(" ")[2].rpartition("\n")[2]
-        if "://" in link:  # a link may end after any whole word
-            unit, counts, base = re.sub(r"\W+", " ", link), self.apart, 0.2
-        else:
-            counts, base = self.ended, self.base
-        codes, listed = _codes(unit)
-        p = base
-        for hashed in contexts(codes, listed, np.array([len(codes) - 1])):
-            key = hashed.view(np.int64)[0]
-            i = int(np.searchsorted(self.key, key))
-            e = n = 0.0
-            if i < len(self.key) and self.key[i] == key:
-                e, n = float(counts[i]), float(self.seen[i])
-                e, n = max(0.0, e - 1), max(0.0, n - min(e, 1.0))
-            p = (e + BACK_OFF * p) / (n + BACK_OFF)
-        p = min(max(p, 1e-12), 1 - 1e-12)
-        odds = math.log((1 - p) / p) - math.log((1 - base) / base)
-        if _CLOSING.search(text):
-            odds -= 10
-        return max(-30.0, min(30.0, odds))
-
-
-def fit(texts: DataFrame, train_texts: int = TRAIN_TEXTS) -> EndModel:
-    """The model over the ``train_texts`` distinct texts of the smallest hash.
-
-    ``texts`` has the column ``_text``, without nulls and blanks. Contexts that occurred once, or up to twice without an end,
-    are dropped: the model is as large as its sample allows, whatever the corpus.
+def text_odds(texts: DataFrame) -> DataFrame:
+    """``_hash, log_odds, _fixed``: for every distinct text, by its hash, the log-odds that it goes on over that it ends.
+
+    ``texts`` has the column ``_text``, without nulls and blanks. All distinct texts are counted. An end counts in how many
+    distinct tails it occurred; one is taken off where the context is the text's own, so that neither a text nor a copy of
+    one vouches for itself. Contexts that occurred once, or up to twice without an end, count as not seen.
     """
-    sample = checkpoint(
-        texts.select(F.xxhash64("_text").alias("_hash"), "_text")
-        .groupBy("_hash")
-        .agg(F.min("_text").alias("_text"))
-        .orderBy("_hash")
-        .limit(train_texts)
+    distinct = checkpoint(
+        texts.select(F.xxhash64("_text").alias("_hash"), "_text").groupBy("_hash").agg(F.min("_text").alias("_text"))
+    )
+    asks = checkpoint(distinct.mapInPandas(_ask, "_hash long, fixed double, link boolean, keys array<long>, own array<boolean>"))
+    places = asks.select("_hash", "link", F.posexplode(F.arrays_zip("keys", "own")).alias("i", "c")).select(
+        "_hash", "link", "i", F.col("c.keys").alias("k"), F.col("c.own").alias("own")
     )
-    counted = (
-        sample.repartition(32, "_hash")
-        .mapInPandas(_count, "k long, tail long, n long, w long")
-        .groupBy("k", "tail")
+    asked = checkpoint(places.select("k").distinct())
+    tasks = max(32, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counted = checkpoint(
+        distinct.repartition(tasks, "_hash")
+        .mapInPandas(_counter(_write_filter(asked)), "order int, k long, tail long, n long, w long")
+        .groupBy("order", "k", "tail")
         .agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
-        .groupBy("k")
+        .groupBy("order", "k")
         .agg(F.count("tail").alias("e"), F.sum("n").alias("n"), F.sum("w").alias("w"))
-        .where("e > 0 or n > 2")
-        .select(
-            "k",
-            F.col("e").cast("int"),
-            (F.col("e") + F.col("n")).cast("int").alias("n"),
-            (F.col("e") + F.col("w")).cast("int").alias("w"),
-        )
-        .where("n > 1")
     )
-    target = urlparse(unique_path(texts.sparkSession, "ends"))
-    if target.scheme not in ("", "file"):
-        raise ValueError("the model needs a shared folder with a file path in spark.checkpoint.dir")
+    total = counted.where("order = 0").agg(F.sum("e").alias("ended"), F.sum("n").alias("on")).first()
+    base = min(max(total.ended / (total.ended + total.on), 1e-4), 0.5) if total.ended else 0.01
+    known = counted.where("order = 1 and (e > 0 or n > 2) and e + n > 1").select(
+        "k", "e", (F.col("e") + F.col("n")).alias("n"), (F.col("e") + F.col("w")).alias("w")
+    )
+    met = places.join(known, "k", "left").groupBy("_hash").agg(
+        F.array_sort(F.collect_list(F.struct("i", F.when(F.col("link"), F.col("w")).otherwise(F.col("e")).alias("e"), "n", "own"))).alias("c")
+    )
+    first = F.when(F.col("link"), 0.2).otherwise(base)  # a link may end after any whole word
 
-    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # A folder for each attempt: one that is lost half way leaves nothing that is read.
-        folder = f"{target.path}-{uuid.uuid4().hex}"
-        os.makedirs(folder)
-        ended = seen = 0
-        files = {c: open(f"{folder}/{c}.bin", "wb") for c in EndModel.COLUMNS}  # noqa: SIM115
-        for batch in batches:
-            for c, file in files.items():
-                file.write(batch[c].to_numpy(np.int64 if c == "k" else np.int32).tobytes())
-            ended, seen = ended + int(batch["e"].sum()), seen + int(batch["n"].sum())
-        if not seen:
-            for c, file in files.items():
-                file.write(np.zeros(1, np.int64 if c == "k" else np.int32).tobytes())
-        for file in files.values():
-            file.close()
-        yield pd.DataFrame({"folder": [folder], "ended": [ended], "seen": [seen]})
-
-    # One task writes the counts in order: as many as the bounded sample has, never the corpus.
-    written = counted.repartition(1).sortWithinPartitions("k").mapInPandas(store, "folder string, ended long, seen long")
-    row = written.first()
-    if row is None:  # no partition at all: an empty table
-        return EndModel("", 0.01)
-    base = row.ended / row.seen if row.ended else 0.01
-    return EndModel(row.folder, min(max(base, 1e-4), 0.5))
+    def back_off(p, c):  # noqa: ANN001, ANN202
+        off = F.when(c["own"], F.least(c["e"], F.lit(1))).otherwise(0)
+        return F.when(c["n"].isNull(), p).otherwise((c["e"] - off + BACK_OFF * p) / (c["n"] - off + BACK_OFF))
+
+    p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), F.aggregate("c", first.cast("double"), back_off)))
+    odds = F.log((1 - p) / p) - F.log((1 - first) / first)
+    return asks.join(met, "_hash", "left").select("_hash", F.coalesce("fixed", odds).alias("log_odds"), F.col("fixed").isNotNull().alias("_fixed"))
 
 
 def cut_shares(histogram: list[tuple[str, float, int]], rounds: int = 60) -> dict[str, float]:
@@ -231,9 +249,7 @@ def cut_shares(histogram: list[tuple[str, float, int]], rounds: int = 60) -> dic
     return out
 
 
-def score_texts(
-    df: DataFrame, key: str, text: str, lang: str, source: str, *, train_texts: int = TRAIN_TEXTS
-) -> DataFrame:
+def score_texts(df: DataFrame, key: str, text: str, lang: str, source: str) -> DataFrame:
     """``key, source, lang, log_odds, evidence, cut`` of every text that is not null or blank.
 
     ``log_odds`` is for going on, ``evidence`` adds the language's share of cut texts and the source's length limit, and
@@ -244,26 +260,16 @@ def score_texts(
     rows = df.select(
         F.col(key).alias("_key"), F.col(text).alias("_text"), language.alias("_lang"), F.col(source).alias("_source")
     ).where(F.col("_text").rlike(r"(?U)\S"))
-    held = df.sparkSession.sparkContext.broadcast(fit(rows, train_texts))
-    kinds = dict(rows.dtypes)
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = held.value
-        for batch in batches:
-            yield batch.drop(columns=["_text"]).assign(log_odds=[own.log_odds(text) for text in batch["_text"]])
-
     measured = rows.select(
-        "_key", "_lang", "_source", "_text", F.length("_text").alias("_chars"),
+        "_key", "_lang", "_source", F.xxhash64("_text").alias("_hash"), F.length("_text").alias("_chars"),
         F.col("_text").rlike(r"(?U)(?:(?<!\.\.)[.?!)\]»”\"':;>])\s*$").alias("_closed"),
+        F.col("_text").rlike("(?U)" + _CLOSING.pattern).alias("_tag"),
     )
-    scored = checkpoint(
-        measured.mapInPandas(
-            score,
-            T.StructType.fromDDL(
-                f"_key {kinds['_key']}, _lang string, _source {kinds['_source']}, _chars int, _closed boolean, log_odds double"
-            ),
-        )
-    )
+    # A closing tag at the end weighs on the score of texts that needed counts.
+    joined = measured.join(text_odds(rows), "_hash")
+    odds = F.col("log_odds") - F.when(F.col("_tag") & ~F.col("_fixed"), 10.0).otherwise(0.0)
+    bounded = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))
+    scored = checkpoint(joined.select("_key", "_lang", "_source", "_chars", "_closed", bounded.alias("log_odds")))
     # Ends that close a sentence and ends that do not are judged apart in each language.
     group = F.concat("_lang", F.when(F.col("_closed"), ".").otherwise(""))
     histogram = [

@@ -1,7 +1,10 @@
 """Operators of the llm subpackage: defined cases, brute force, exact round trips."""
 
 import itertools
+import math
 import random
+import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +117,53 @@ def test_cut_texts(spark):
     true = set(range(360, 400))
     assert len(got & true) >= 36 and len(got - true) <= 4
     assert truncation.score_texts(df.limit(0), "doc_id", "text", "lang", "source").count() == 0
+
+
+def test_scores_of_texts_count_all_distinct_texts(spark):
+    """Equal to counting the contexts of every text as strings; more texts than any sample had."""
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(300)]
+    texts = [f"{rng.choice(words)} {rng.choice(words)} {i % 7}\n- {rng.choice(words)}" for i in range(9500)]
+    texts += ["see https://x.example/abc/def", "see https://x.example/abc/def", "cut &am", texts[0]]
+    seen, tails, apart = Counter(), defaultdict(set), Counter()
+    ends, on = set(), 0
+    for text in set(texts):
+        unit, broken = truncation.units(text)
+        whole, listed = "\n" + unit, [line.startswith("- ") for line in unit.split("\n") for _ in range(len(line) + 1)]
+        for i, char in enumerate(whole):
+            if char == "\n":
+                continue
+            final = i + 1 == len(whole)
+            ended = not broken if final else whole[i + 1] == "\n"
+            tail = whole[max(0, i + 1 - truncation.TAIL) : i + 1]
+            ends |= {tail} if ended else set()
+            on += not ended
+            for k in truncation.ORDERS:
+                context = (k, listed[i], whole[max(0, i + 1 - k) : i + 1])
+                if ended:
+                    tails[context].add(tail)
+                else:
+                    seen[context] += 1
+                    apart[context] += final or not whole[i + 1].isalnum()
+    base = len(ends) / (len(ends) + on)
+
+    def odds(text):
+        unit, broken = truncation.units(text)
+        if broken:
+            return 30.0
+        link = "://" in unit.split()[-1]
+        whole = "\n" + unit
+        asked = "\n" + re.sub(r"\W+", " ", unit.split()[-1]) if link else whole
+        start = p = 0.2 if link else base
+        for k in truncation.ORDERS:
+            context = (k, not link and unit.rpartition("\n")[2].startswith("- "), asked[-k:])
+            e, n = len(tails[context]), seen[context]
+            if (e or n > 2) and e + n > 1:
+                counted = e + apart[context] if link else e
+                off = min(counted, 1) if asked[-k:] == whole[-k:] else 0
+                p = (counted - off + 3 * p) / (e + n - off + 3)
+        return max(-30.0, min(30.0, math.log((1 - p) / p) - math.log((1 - start) / start)))
+
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id int, text string, lang string, source string")
+    got = {r.doc_id: r.log_odds for r in truncation.score_texts(df, "doc_id", "text", "lang", "source").collect()}
+    assert len(got) == len(texts) and all(abs(got[i] - odds(t)) < 1e-6 for i, t in enumerate(texts))

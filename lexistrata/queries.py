@@ -23,6 +23,7 @@ from lexistrata.constants import (
     SENSOR_TERMS,
     STOPWORDS,
     SYNONYMS,
+    TERM_COLUMNS,
 )
 from lexistrata.engine import checkpoint, table
 from lexistrata.functions import text as t
@@ -142,16 +143,16 @@ def _spark_queries() -> dict:
         "normalize_stopwords": lambda s, p: d(s, p).select("doc_id", t.normalize_text(F.col("title"), remove_stopwords=True).alias("normalized")),
         "split_compound": lambda s, p: problems._packed_items(s, p).select("row_id", "field", "item_pos", F.posexplode(t.split_compound(F.col("item"))).alias("pos", "part")),
         "compact_list": lambda s, p: table(s, p, "catalog_records").select("row_id", t.compact_list(F.col("dcat.keyword"), 5).alias("keywords")),
-        "extract_terms": lambda s, p: table(s, p, "sample_records").select("row_id", F.explode(t.phrases(F.col("title"))).alias("term")),
+        "extract_terms": lambda s, p: terms.term_rows(checkpoint(flatten.flatten_records(_numbered_records(s, p), "record", "ord")), "ord").select(
+            F.col("ord").alias("row_id"), "term"
+        ),
         "normalize_field_names": lambda s, p: table(s, p, "sample_records").select(F.explode("extras.key").alias("key")).distinct().select("key", t.field_form(F.col("key")).alias("form")),
         "synonym_canonicalize": synonyms,
         "term_frequency": lambda s, p: _counted(s, p).select("term", "normalized_term", "source_field", "count"),
         "union_terms": lambda s, p: terms.count_terms(
             _term_rows(s, p).unionByName(terms.term_rows(terms.distribution_metadata(checkpoint(_distributions(s, p))), "ord"))
         ).groupBy("source_field").agg(F.count("*").alias("terms"), F.sum("count").alias("occurrences")),
-        "profile_terms": lambda s, p: terms.profile_terms(
-            table(s, p, "sample_records").select(F.col("row_id").alias("ord"), "id", "title", F.array_join("tags.name", " | ").alias("tags"))
-        ).select("term", "normalized_term", "source_field", "count", "example_record_ids"),
+        "profile_terms": lambda s, p: _profiled(s, p).select(*TERM_COLUMNS),
         "exclude_filter": lambda s, p: clusters.filter_terms(_counted(s, p), min_count=1).select("term", "normalized_term", "source_field", "count"),
         "min_count_filter": lambda s, p: clusters.filter_terms(_counted(s, p), min_count=5).select("term", "normalized_term", "source_field", "count"),
         "domain_filter": lambda s, p: clusters.filter_terms(_counted(s, p), min_count=1, domain="sensor_telemetry").select("term", "normalized_term", "source_field", "count"),

@@ -178,8 +178,8 @@ def _spark_queries() -> dict:
         "top_clusters": lambda s, p: profiling.top_clusters(checkpoint(cluster_pipeline(s, p))),
         "flatten_records": lambda s, p: _metadata(s, p).drop("extras"),
         "flatten_distributions": lambda s, p: _distributions(s, p),
-        "field_examples": lambda s, p: flatten.field_examples(_records(s, p, "catalog_records"), "record", "ord").select("input_field"),
-        "field_mapping": lambda s, p: mapping.suggest_fields(_field_names(s, p)).select("input_field", "suggested_dcat_field", "confidence"),
+        "field_examples": lambda s, p: _field_names(s, p),
+        "field_mapping": lambda s, p: mapping.suggest_fields(_field_names(s, p)).select("input_field", "suggested_dcat_field", "confidence", "example_value"),
         "missing_required": lambda s, p: mapping.missing_required(mapping.suggest_fields(_field_names(s, p)).drop("warning_if_required_field_missing")),
         "field_roles": roles_of,
         "file_type_detect": lambda s, p: _distributions(s, p).select(
@@ -204,9 +204,8 @@ def _part_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _field_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "sample_records").select(F.explode("extras.key").alias("input_field")).where("input_field is not null").distinct()
-    fixed = spark.createDataFrame([(c,) for c in ("title", "notes", "topic", "modified", "Agency", "distribution_file_url", "file-urls")], "input_field string")
-    return keys.unionByName(fixed).distinct().withColumn("example_value", F.lit(""))
+    """Every member name of both record tables, their extras and resources, with its first value."""
+    return checkpoint(flatten.field_examples(_numbered_records(spark, sf_dir), "record", "ord"))
 
 
 def _member_names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,21 +1,24 @@
 """Catalog records into flat metadata rows and distribution rows.
 
-Records are VARIANT values, so that optional, missing and oddly typed members need no schema. Everything is one projection
-of built-in expressions; distributions come from one ``posexplode``. Member access falls back the way loosely typed
-records need: an empty text, zero, false, empty list or empty object counts as nothing.
+Records are structs, whose members are plain columns that the scan is pruned to, or VARIANT values, whose optional, missing
+and oddly typed members need no schema. Everything is one projection of built-in expressions; distributions come from one
+``posexplode``. Member access falls back the way loosely typed records need: an empty text, zero, false, empty list or
+empty object counts as nothing.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexistrata.functions.cleaning import strip_ends
 from lexistrata.functions.text import compact_list
-from lexistrata.operators.nested import as_list, is_object, member
+from lexistrata.operators.nested import is_object, member
+from lexistrata.operators.values import Value, first_list, of
 
 LIST_LIMIT = 50
-_NOTHING = ["null", '""', "0", "0.0", "false", "[]", "{}"]
 
 
 def as_record(df: DataFrame, *columns: str) -> Column:
@@ -28,68 +31,97 @@ def as_text(value: Column) -> Column:
     return F.coalesce(F.try_variant_get(value, "$", "string"), F.lit(""))
 
 
-def truthy(value: Column) -> Column:
-    """Whether a VARIANT counts as something."""
-    return value.isNotNull() & ~F.coalesce(F.to_json(value), F.lit("null")).isin(_NOTHING)
-
-
 def has(value: Column, name: str) -> Column:
-    """Whether an object has a member, be it null."""
+    """Whether a VARIANT object has a member, be it null."""
     return member(value, name).isNotNull()
 
 
-def first_text(record: Column, *names: str) -> Column:
-    """The first member that counts as something, as text."""
-    found = [F.when(truthy(member(record, name)), as_text(member(record, name))) for name in names]
-    return F.coalesce(*found, F.lit(""))
-
-
 def list_items(value: Column) -> Column:
     """The items of a VARIANT list, none for anything else."""
     return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
 
 
-def join_values(value: Column) -> Column:
+def first_text(record: Value | Column, *names: str) -> Column:
+    """The first member that counts as something, as text. A column is taken as a VARIANT."""
+    holder = record if isinstance(record, Value) else Value(record, T.VariantType())
+    return F.coalesce(*(holder.member(name).text_if_truthy() for name in names), F.lit(""))
+
+
+def join_values(value: Value) -> Column:
     """A list as one cell, an object as JSON, anything else as text; nothing as the empty string."""
-    items = F.try_variant_get(value, "$", "array<variant>")
+    if not value.dynamic:
+        return compact_list(value.each(Value.text), LIST_LIMIT) if isinstance(value.kind, T.ArrayType) else value.text()
+    items = F.try_variant_get(value.column, "$", "array<variant>")
     joined = compact_list(F.transform(items, as_text), LIST_LIMIT)
-    return F.when(items.isNotNull(), joined).when(truthy(value), as_text(value)).otherwise("")
+    return F.when(items.isNotNull(), joined).when(value.truthy(), value.text()).otherwise("")
 
 
-def join_named(value: Column) -> Column:
+def join_named(value: Value) -> Column:
     """The names of a list of objects in one cell."""
-    objects = F.filter(list_items(value), is_object)
-    return compact_list(F.transform(objects, lambda x: first_text(x, "display_name", "name", "title")), LIST_LIMIT)
+    objects = value.items().only(Value.is_object)
+    return compact_list(objects.each(lambda x: first_text(x, "display_name", "name", "title")), LIST_LIMIT)
 
 
-def dcat_payload(record: Column) -> Column:
+def dcat_payload(record: Value) -> Value:
     """The ``dcat`` object, else the record itself if it looks like one, else nothing."""
-    dcat = member(record, "dcat")
-    alike = truthy(member(record, "@type")) | truthy(member(record, "distribution")) | truthy(member(record, "keyword"))
-    return F.when(is_object(dcat), dcat).when(alike, record)
+    dcat = record.member("dcat")
+    marks = [m for m in (record.member(name) for name in ("@type", "distribution", "keyword")) if not m.never]
+    if not marks:
+        return dcat
+    alike = reduce(Column.__or__, (m.truthy() for m in marks))
+    if dcat.never:
+        return Value(F.when(alike, record.column), record.kind)
+    if record.dynamic:
+        return Value(F.when(dcat.is_object(), dcat.column).when(alike, record.column), record.kind)
+    return Value(F.when(dcat.is_object(), dcat.as_variant()).when(alike, record.as_variant()), T.VariantType())
+
+
+def dcat_distributions(dcat: Value) -> Value:
+    """The distributions of a payload: one object or the objects of a list."""
+    one, more = dcat.member("distribution"), dcat.member("distributions")
+    if one.never or more.never:
+        return (more if one.never else one).one_or_more().only(Value.is_object)
+    return first_list((one.truthy(), one.one_or_more()), (None, more.one_or_more())).only(Value.is_object)
 
 
-def dcat_distributions(dcat: Column) -> Column:
-    """The distributions of a payload: one object or the objects of a list."""
-    found = F.when(truthy(member(dcat, "distribution")), member(dcat, "distribution")).otherwise(member(dcat, "distributions"))
-    return F.coalesce(F.filter(as_list(found), is_object), F.array().cast("array<variant>"))
+def extra_pairs(extras: Value) -> Value:
+    """Extras as a list of ``k, v``: the members of an object, or the keys and values of a list of objects."""
+    items = extras.items().only(lambda x: x.is_object() & x.member("key").there())
 
+    def pair(x: Value) -> Column:
+        return F.struct(x.member("key").text().alias("k"), x.member("value").column.alias("v") if not x.member("value").never else F.lit(None).cast("string").alias("v"))
 
-def extras_map(extras: Column) -> Column:
-    """Extras as a map of VARIANT: an object as it is, of a list of keys and values the last value of each key."""
-    items = F.filter(list_items(extras), lambda x: is_object(x) & has(x, "key"))
-    names = F.transform(items, lambda x: as_text(member(x, "key")))
-    pairs = F.transform(items, lambda x: F.struct(as_text(member(x, "key")).alias("k"), member(x, "value").alias("v")))
-    last = F.filter(pairs, lambda x, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), x["k"]))
-    return F.when(is_object(extras), F.try_variant_get(extras, "$", "map<string,variant>")).otherwise(F.map_from_entries(last))
+    held = T.VariantType() if extras.dynamic else T.StringType()
+    if isinstance(items.kind.elementType, T.StructType) and "value" in items.kind.elementType.names:
+        held = items.kind.elementType["value"].dataType
+    kind = T.ArrayType(T.StructType([T.StructField("k", T.StringType()), T.StructField("v", held)]))
+    if not extras.dynamic:
+        return Value(items.each(pair) if isinstance(items.kind.elementType, T.StructType) else F.array().cast(kind), kind)
+    entries = F.map_entries(F.try_variant_get(extras.column, "$", "map<string,variant>"))
+    members = F.transform(entries, lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
+    return Value(F.when(extras.is_object(), members).otherwise(items.each(pair)), kind)
 
 
-def _extra(extras: Column, *names: str) -> Column:
-    """The first key that is there, as a VARIANT."""
-    chain = F.lit(None).cast("variant")
+def _extra(pairs: Value, *names: str) -> Value:
+    """The last value of the first key that is there."""
+
+    def under(name: str) -> Column:
+        return F.filter(pairs.column, lambda x: x["k"] == name)
+
+    chain = F.lit(None)
     for name in reversed(names):
-        chain = F.when(F.map_contains_key(extras, F.lit(name)), F.try_element_at(extras, F.lit(name))).otherwise(chain)
-    return chain
+        held = under(name)
+        chain = F.when(F.size(held) > 0, F.try_element_at(held, F.lit(-1))["v"]).otherwise(chain)
+    return Value(chain, pairs.kind.elementType["v"].dataType)
+
+
+def _extras_json(pairs: Value) -> Column:
+    """All extras as a JSON object of texts in order of key, of equal keys the last."""
+    p = pairs.column
+    last = F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.greatest(F.lit(0), F.size(p) - i - 1)), lambda y: y["k"] == x["k"]))
+    held = pairs.kind.elementType["v"].dataType
+    texts = F.transform(last, lambda x: F.struct(x["k"].alias("k"), Value(x["v"], held).text().alias("v")))
+    return F.coalesce(F.to_json(F.map_from_entries(F.array_sort(texts))), F.lit("{}"))
 
 
 def _either(*texts: Column) -> Column:
@@ -97,35 +129,57 @@ def _either(*texts: Column) -> Column:
     return F.coalesce(*(F.nullif(text, F.lit("")) for text in texts), F.lit(""))
 
 
+def _record_of(df: DataFrame, record: str, keep: tuple[str, ...]) -> tuple[DataFrame, Value]:
+    """The rows with the record in ``_r``, null where it is no object."""
+    value = of(df, record)
+    base = df.select(*keep, (F.when(value.is_object(), value.column) if value.dynamic else value.column).alias("_r"))
+    return base, Value(F.col("_r"), value.kind)
+
+
 def flatten_records(df: DataFrame, record: str, *keep: str) -> DataFrame:
     """One row of 48 columns for each record; ``keep`` names further columns of ``df`` to carry along.
 
-    Records that are null or no objects give a row of empty cells. All columns are strings but the two counts. Contract
-    checks are separate (``record_violations``), so that one odd record does not stop a run.
+    ``record`` is a struct or a VARIANT. Records that are null or no objects give a row of empty cells. All columns are
+    strings but the two counts. Contract checks are separate (``record_violations``), so that one odd record does not
+    stop a run.
     """
-    r = F.col("_r")
-    base = df.select(*keep, F.when(is_object(F.col(record)), F.col(record)).alias("_r"))
-    base = base.withColumn("_d", dcat_payload(r)).withColumn("_x", extras_map(member(r, "extras")))
-    d, x = F.col("_d"), F.col("_x")
-    own, listed = member(r, "resources"), member(r, "distributions")
-    items = F.when(truthy(own), list_items(own)).when(truthy(listed), list_items(listed)).otherwise(dcat_distributions(d))
-    keyword = F.when(has(d, "keyword"), member(d, "keyword")).otherwise(_extra(x, "keyword", "keywords"))
-    base = base.withColumn("_i", F.filter(items, is_object)).withColumn("_k", keyword)
+    base, r = _record_of(df, record, keep)
+
+    def hold(name: str, value: Value) -> Value:
+        """A value that is worked out once under a name of its own, where it is not a mere member."""
+        nonlocal base
+        if value.never:
+            return value
+        base = base.withColumn(name, value.column)
+        return Value(F.col(name), value.kind)
+
+    d = hold("_d", dcat_payload(r))
+    x = hold("_x", extra_pairs(r.member("extras")))
+    own, listed = r.member("resources"), r.member("distributions")
+    items = hold(
+        "_i", first_list((own.truthy(), own.items()), (listed.truthy(), listed.items()), (None, dcat_distributions(d))).only(Value.is_object)
+    )
+    keyword, extra_keyword = d.member("keyword"), _extra(x, "keyword", "keywords")
+    if keyword.never:
+        keywords = join_values(extra_keyword)
+    else:
+        keywords = F.when(keyword.there(), join_values(keyword)).otherwise(join_values(extra_keyword))
+    base = base.withColumn("_k", keywords)
 
     def cells(*names: str) -> Column:
-        return compact_list(F.transform("_i", lambda item: first_text(item, *names)), LIST_LIMIT)
+        return compact_list(items.each(lambda item: first_text(item, *names)), LIST_LIMIT)
 
-    def chain(*values: Column) -> Column:
+    def chain(*values: Value) -> Column:
         """The first value that is there, even if null or empty."""
-        return as_text(F.coalesce(*values))
+        return F.coalesce(*(v.text_if_there() for v in values), F.lit(""))
 
-    text = lambda v, *names: first_text(v, *names)
-    org, publisher, contact = member(r, "organization"), member(d, "publisher"), member(d, "contactPoint")
-    publisher_name = F.when(is_object(publisher), join_values(member(publisher, "name"))).otherwise("")
-    reach = lambda name: F.when(is_object(contact), join_values(member(contact, name))).otherwise("")
+    text = first_text
+    org, publisher, contact = r.member("organization"), d.member("publisher"), d.member("contactPoint")
+    publisher_name = F.when(publisher.is_object(), join_values(publisher.member("name"))).otherwise("")
+    reach = lambda name: F.when(contact.is_object(), join_values(contact.member(name))).otherwise("")
     titles, notes = cells("name", "title"), cells("description")
     formats, media = cells("format"), cells("mimetype", "mediaType", "media_type")
-    plain = lambda name: as_text(member(d, name))
+    plain = lambda name: d.member(name).text()
     columns = {
         "id": _either(text(r, "id"), plain("identifier")),
         "name": text(r, "name"),
@@ -134,66 +188,63 @@ def flatten_records(df: DataFrame, record: str, *keep: str) -> DataFrame:
         "organization_title": _either(text(org, "title"), publisher_name),
         "organization_name": _either(text(org, "name"), publisher_name),
         "organization_id": text(org, "id"),
-        "groups": join_named(member(r, "groups")),
-        "tags": _either(join_named(member(r, "tags")), join_values(F.col("_k"))),
+        "groups": join_named(r.member("groups")),
+        "tags": _either(join_named(r.member("tags")), F.col("_k")),
         "license_title": _either(text(r, "license_title"), plain("license")),
         "metadata_created": text(r, "metadata_created"),
         "metadata_modified": _either(text(r, "metadata_modified"), plain("modified")),
         "url": _either(text(r, "url"), plain("landingPage")),
-        "extras": F.coalesce(
-            F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(x, lambda _, v: as_text(v)))))), F.lit("{}")
-        ),
-        "resources_count": F.size("_i"),
+        "extras": _extras_json(x),
+        "resources_count": F.size(items.column),
         "resource_names": titles,
         "resource_descriptions": notes,
         "resource_formats": formats,
         "resource_media_types": media,
         "resource_urls": cells("url", "downloadURL", "download_url", "accessURL", "access_url"),
-        "dcat_type": chain(member(d, "@type"), member(r, "@type")),
-        "dcat_title": chain(member(d, "title"), member(r, "dct:title"), member(r, "title")),
-        "dcat_description": chain(
-            member(d, "description"), member(r, "dct:description"), member(r, "description"), member(r, "notes")
-        ),
-        "dcat_identifier": chain(member(d, "identifier"), member(r, "identifier")),
+        "dcat_type": chain(d.member("@type"), r.member("@type")),
+        "dcat_title": chain(d.member("title"), r.member("dct:title"), r.member("title")),
+        "dcat_description": chain(d.member("description"), r.member("dct:description"), r.member("description"), r.member("notes")),
+        "dcat_identifier": chain(d.member("identifier"), r.member("identifier")),
         "dcat_accessLevel": plain("accessLevel"),
-        "dcat_modified": chain(member(d, "modified"), _extra(x, "modified", "date_modified")),
+        "dcat_modified": chain(d.member("modified"), _extra(x, "modified", "date_modified")),
         "dcat_issued": plain("issued"),
-        "dcat_keyword": join_values(F.col("_k")),
-        "dcat_theme": join_values(member(d, "theme")),
-        "dcat_bureauCode": join_values(member(d, "bureauCode")),
-        "dcat_programCode": join_values(member(d, "programCode")),
-        "dcat_publisher_name": _either(publisher_name, as_text(_extra(x, "publisher", "publisher_name"))),
+        "dcat_keyword": F.col("_k"),
+        "dcat_theme": join_values(d.member("theme")),
+        "dcat_bureauCode": join_values(d.member("bureauCode")),
+        "dcat_programCode": join_values(d.member("programCode")),
+        "dcat_publisher_name": _either(publisher_name, _extra(x, "publisher", "publisher_name").text()),
         "dcat_contactPoint_fn": reach("fn"),
-        "dcat_contactPoint_hasEmail": _either(reach("hasEmail"), as_text(_extra(x, "contactPoint.hasEmail", "contact_email"))),
+        "dcat_contactPoint_hasEmail": _either(reach("hasEmail"), _extra(x, "contactPoint.hasEmail", "contact_email").text()),
         "dcat_landingPage": plain("landingPage"),
         "dcat_license": plain("license"),
         "dcat_rights": plain("rights"),
         "dcat_spatial": plain("spatial"),
         "dcat_temporal": plain("temporal"),
-        "distribution_count": F.size("_i"),
+        "distribution_count": F.size(items.column),
         "distribution_titles": titles,
         "distribution_descriptions": notes,
         "distribution_formats": formats,
         "distribution_media_types": media,
         "distribution_download_urls": cells("downloadURL", "download_url"),
         "distribution_access_urls": cells("accessURL", "access_url", "url"),
-        "harvest_record": as_text(member(r, "harvest_record")),
-        "harvest_record_raw": as_text(member(r, "harvest_record_raw")),
+        "harvest_record": r.member("harvest_record").text(),
+        "harvest_record_raw": r.member("harvest_record_raw").text(),
     }
     return base.select(*keep, *(column.alias(name) for name, column in columns.items()))
 
 
 def flatten_distributions(df: DataFrame, record: str, *keep: str) -> DataFrame:
     """One row of 12 columns for each distribution of each record, with its place from 0, unusable items counted."""
-    r = F.col("_r")
-    base = df.select(*keep, F.when(is_object(F.col(record)), F.col(record)).alias("_r")).withColumn("_d", dcat_payload(r))
-    listed, own = member(r, "distributions"), member(r, "resources")
-    items = F.when(truthy(listed), list_items(listed)).when(truthy(own), list_items(own)).otherwise(dcat_distributions(F.col("_d")))
-    identifier = _either(first_text(r, "id"), first_text(F.col("_d"), "identifier"))
-    title = _either(first_text(r, "title"), first_text(F.col("_d"), "title"))
+    base, r = _record_of(df, record, keep)
+    d = dcat_payload(r)
+    listed, own = r.member("distributions"), r.member("resources")
+    items = first_list((listed.truthy(), listed.items()), (own.truthy(), own.items()), (None, dcat_distributions(d)))
+    identifier = _either(first_text(r, "id"), first_text(d, "identifier"))
+    title = _either(first_text(r, "title"), first_text(d, "title"))
     rows = base.select(
-        *keep, identifier.alias("dataset_id"), title.alias("dataset_title"), F.posexplode(items).alias("distribution_index", "_i")
-    ).where(is_object(F.col("_i")))
+        *keep, identifier.alias("dataset_id"), title.alias("dataset_title"), F.posexplode(items.column).alias("distribution_index", "_i")
+    )
+    item = Value(F.col("_i"), items.kind.elementType)
     names = {
         "distribution_title": ("title", "name"),
         "distribution_description": ("description",),
@@ -205,8 +256,8 @@ def flatten_distributions(df: DataFrame, record: str, *keep: str) -> DataFrame:
         "describedBy": ("describedBy",),
         "describedByType": ("describedByType",),
     }
-    cells = [first_text(F.col("_i"), *keys).alias(name) for name, keys in names.items()]
-    return rows.select(*keep, "dataset_id", "dataset_title", "distribution_index", *cells)
+    cells = [first_text(item, *keys).alias(name) for name, keys in names.items()]
+    return rows.where(item.is_object()).select(*keep, "dataset_id", "dataset_title", "distribution_index", *cells)
 
 
 def record_violations(df: DataFrame, record: str) -> Column:

@@ -47,12 +47,25 @@ def _records(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _typed(spark: SparkSession, sf_dir: str, name: str, add: int = 0) -> DataFrame:
+    """``ord, record`` of one record table, the record being a struct of its columns."""
+    rows = table(spark, sf_dir, name)
+    columns = [c for c in rows.columns if c not in ("row_id", "portal_id", "ingested_at")]
+    return rows.select((F.col("row_id") + F.lit(add)).alias("ord"), F.struct(*columns).alias("record"))
+
+
+def _flat(spark: SparkSession, sf_dir: str, flat, add: int = 0) -> DataFrame:  # noqa: ANN001
+    """Both record tables, each flattened by its own declared type; ``add`` is added to the order of the later one."""
+    first, later = (_typed(spark, sf_dir, name, n) for name, n in (("sample_records", 0), ("catalog_records", add)))
+    return flat(first, "record", "ord").unionByName(flat(later, "record", "ord"))
+
+
 def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatten.flatten_records(_records(spark, sf_dir), "record", "ord")
+    return _flat(spark, sf_dir, flatten.flatten_records)
 
 
 def _distributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flatten.flatten_distributions(_records(spark, sf_dir), "record", "ord")
+    return _flat(spark, sf_dir, flatten.flatten_distributions)
 
 
 def _term_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,18 +77,23 @@ def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.count_terms(_term_rows(spark, sf_dir))
 
 
+def _after(spark: SparkSession, sf_dir: str) -> int:
+    """What is added to the order of catalog records so that they follow all sample records."""
+    last = table(spark, sf_dir, "sample_records").agg(F.max("row_id")).first()[0]
+    return 0 if last is None else last + 1
+
+
 def _numbered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ord, record`` of both record tables as one collection: ``ord`` tells all records apart, sample records first."""
     first, later = (_records(spark, sf_dir, name) for name in ("sample_records", "catalog_records"))
-    last = first.agg(F.max("ord")).first()[0]
-    return first.unionByName(later.withColumn("ord", F.col("ord") + F.lit(-1 if last is None else last) + 1))
+    return first.unionByName(later.withColumn("ord", F.col("ord") + F.lit(_after(spark, sf_dir))))
 
 
 def _profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The term table of all term fields of both record tables and of their distributions, as the stages make it."""
-    numbered = _numbered_records(spark, sf_dir)
-    metadata = checkpoint(flatten.flatten_records(numbered, "record", "ord"))
-    return terms.profile_terms(metadata, checkpoint(flatten.flatten_distributions(numbered, "record", "ord")))
+    add = _after(spark, sf_dir)
+    metadata = checkpoint(_flat(spark, sf_dir, flatten.flatten_records, add))
+    return terms.profile_terms(metadata, checkpoint(_flat(spark, sf_dir, flatten.flatten_distributions, add)))
 
 
 def _cluster_input(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,9 +161,7 @@ def _spark_queries() -> dict:
         "normalize_stopwords": lambda s, p: d(s, p).select("doc_id", t.normalize_text(F.col("title"), remove_stopwords=True).alias("normalized")),
         "split_compound": lambda s, p: problems._packed_items(s, p).select("row_id", "field", "item_pos", F.posexplode(t.split_compound(F.col("item"))).alias("pos", "part")),
         "compact_list": lambda s, p: table(s, p, "catalog_records").select("row_id", t.compact_list(F.col("dcat.keyword"), 5).alias("keywords")),
-        "extract_terms": lambda s, p: terms.term_rows(checkpoint(flatten.flatten_records(_numbered_records(s, p), "record", "ord")), "ord").select(
-            F.col("ord").alias("row_id"), "term"
-        ),
+        "extract_terms": lambda s, p: _term_rows(s, p).select(F.col("ord").alias("row_id"), "term"),
         "normalize_field_names": lambda s, p: table(s, p, "sample_records").select(F.explode("extras.key").alias("key")).distinct().select("key", t.field_form(F.col("key")).alias("form")),
         "synonym_canonicalize": synonyms,
         "term_frequency": lambda s, p: _counted(s, p).select("term", "normalized_term", "source_field", "count"),
@@ -176,7 +192,7 @@ def _spark_queries() -> dict:
         "completeness": lambda s, p: profiling.completeness(_metadata(s, p)),
         "top_duplicates": lambda s, p: profiling.top_duplicates(_counted(s, p)),
         "top_clusters": lambda s, p: profiling.top_clusters(checkpoint(cluster_pipeline(s, p))),
-        "flatten_records": lambda s, p: _metadata(s, p).drop("extras"),
+        "flatten_records": lambda s, p: _metadata(s, p),
         "flatten_distributions": lambda s, p: _distributions(s, p),
         "field_examples": lambda s, p: _field_names(s, p),
         "field_mapping": lambda s, p: mapping.suggest_fields(_field_names(s, p)).select("input_field", "suggested_dcat_field", "confidence", "example_value"),

@@ -8,15 +8,12 @@ empty object counts as nothing.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexistrata.functions.text import compact_list
 from lexistrata.operators.nested import is_object, member
-from lexistrata.operators.values import Value, first_list, of
+from lexistrata.operators.values import Value, compact_sql, either, first_list, fresh, literal, of
 
 LIST_LIMIT = 50
 
@@ -41,99 +38,101 @@ def list_items(value: Column) -> Column:
     return F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
 
 
-def first_text(record: Value | Column, *names: str) -> Column:
-    """The first member that counts as something, as text. A column is taken as a VARIANT."""
-    holder = record if isinstance(record, Value) else Value(record, T.VariantType())
-    return F.coalesce(*(holder.member(name).text_if_truthy() for name in names), F.lit(""))
+def first_text(record: Column, *names: str) -> Column:
+    """The first member of a VARIANT that counts as something, as text."""
+    found = []
+    for name in names:
+        value = member(record, name)
+        text = F.try_variant_get(value, "$", "string")
+        nothing = text.isin("", "0", "0.0", "false", "[]", "{}") & ~(F.to_json(value).startswith('"') & (text != ""))
+        found.append(F.when(~nothing, text))
+    return F.coalesce(*found, F.lit(""))
+
 
+def _first(record: Value, *names: str) -> str:
+    """The first member that counts as something, as text."""
+    found = [record.member(name).text_if_truthy() for name in names if not record.member(name).never]
+    return "coalesce(" + ", ".join([*found, "''"]) + ")"
 
-def join_values(value: Value) -> Column:
+
+def _joined(value: Value) -> str:
     """A list as one cell, an object as JSON, anything else as text; nothing as the empty string."""
     if not value.dynamic:
-        return compact_list(value.each(Value.text), LIST_LIMIT) if isinstance(value.kind, T.ArrayType) else value.text()
-    items = F.try_variant_get(value.column, "$", "array<variant>")
-    joined = compact_list(F.transform(items, as_text), LIST_LIMIT)
-    return F.when(items.isNotNull(), joined).when(value.truthy(), value.text()).otherwise("")
+        return compact_sql(value.each(Value.text), LIST_LIMIT) if isinstance(value.kind, T.ArrayType) else value.text()
+    items = Value(f"try_variant_get({value.sql}, '$', 'array<variant>')", T.ArrayType(T.VariantType()))
+    listed = compact_sql(items.each(Value.text), LIST_LIMIT)
+    return f"CASE WHEN {items.sql} IS NOT NULL THEN {listed} WHEN {value.truthy()} THEN {value.text()} ELSE '' END"
 
 
-def join_named(value: Value) -> Column:
+def _names(value: Value) -> str:
     """The names of a list of objects in one cell."""
     objects = value.items().only(Value.is_object)
-    return compact_list(objects.each(lambda x: first_text(x, "display_name", "name", "title")), LIST_LIMIT)
+    return compact_sql(objects.each(lambda x: _first(x, "display_name", "name", "title")), LIST_LIMIT)
 
 
-def dcat_payload(record: Value) -> Value:
+def _payload(record: Value) -> Value:
     """The ``dcat`` object, else the record itself if it looks like one, else nothing."""
     dcat = record.member("dcat")
-    marks = [m for m in (record.member(name) for name in ("@type", "distribution", "keyword")) if not m.never]
+    marks = [m.truthy() for m in (record.member(name) for name in ("@type", "distribution", "keyword")) if not m.never]
     if not marks:
         return dcat
-    alike = reduce(Column.__or__, (m.truthy() for m in marks))
+    alike = " OR ".join(marks)
     if dcat.never:
-        return Value(F.when(alike, record.column), record.kind)
-    if record.dynamic:
-        return Value(F.when(dcat.is_object(), dcat.column).when(alike, record.column), record.kind)
-    return Value(F.when(dcat.is_object(), dcat.as_variant()).when(alike, record.as_variant()), T.VariantType())
+        return Value(f"CASE WHEN {alike} THEN {record.sql} END", record.kind)
+    return Value(
+        f"CASE WHEN {dcat.is_object()} THEN {dcat.as_variant()} WHEN {alike} THEN {record.as_variant()} END", T.VariantType()
+    )
 
 
-def dcat_distributions(dcat: Value) -> Value:
+def _own_distributions(dcat: Value) -> Value:
     """The distributions of a payload: one object or the objects of a list."""
     one, more = dcat.member("distribution"), dcat.member("distributions")
-    if one.never or more.never:
-        return (more if one.never else one).one_or_more().only(Value.is_object)
     return first_list((one.truthy(), one.one_or_more()), (None, more.one_or_more())).only(Value.is_object)
 
 
-def extra_pairs(extras: Value) -> Value:
+def _extra_pairs(extras: Value) -> Value:
     """Extras as a list of ``k, v``: the members of an object, or the keys and values of a list of objects."""
-    items = extras.items().only(lambda x: x.is_object() & x.member("key").there())
+    items = extras.items().only(lambda x: f"({x.is_object()} AND {x.member('key').there()})")
+    value = Value("x", items.kind.elementType).member("value")
+    held = T.StringType() if value.never else value.kind
+    kind = T.ArrayType(T.StructType([T.StructField("k", T.StringType()), T.StructField("v", held)]))
 
-    def pair(x: Value) -> Column:
-        return F.struct(x.member("key").text().alias("k"), x.member("value").column.alias("v") if not x.member("value").never else F.lit(None).cast("string").alias("v"))
+    def pair(x: Value) -> str:
+        own = "CAST(NULL AS STRING)" if value.never else x.member("value").sql
+        return f"named_struct('k', {x.member('key').text()}, 'v', {own})"
 
-    held = T.VariantType() if extras.dynamic else T.StringType()
-    if isinstance(items.kind.elementType, T.StructType) and "value" in items.kind.elementType.names:
-        held = items.kind.elementType["value"].dataType
-    kind = T.ArrayType(T.StructType([T.StructField("k", T.StringType()), T.StructField("v", held)]))
-    if not extras.dynamic:
-        return Value(items.each(pair) if isinstance(items.kind.elementType, T.StructType) else F.array().cast(kind), kind)
-    entries = F.map_entries(F.try_variant_get(extras.column, "$", "map<string,variant>"))
-    members = F.transform(entries, lambda e: F.struct(e["key"].alias("k"), e["value"].alias("v")))
-    return Value(F.when(extras.is_object(), members).otherwise(items.each(pair)), kind)
+    listed = items.each(pair)
+    if extras.dynamic:
+        v = fresh()
+        entries = f"map_entries(try_variant_get({extras.sql}, '$', 'map<string,variant>'))"
+        members = f"transform({entries}, {v} -> named_struct('k', {v}.key, 'v', {v}.value))"
+        return Value(f"CASE WHEN {extras.is_object()} THEN {members} ELSE {listed} END", kind)
+    return Value(listed, kind)
 
 
 def _extra(pairs: Value, *names: str) -> Value:
     """The last value of the first key that is there."""
+    x, parts = fresh(), ""
+    for name in names:
+        held = f"filter({pairs.sql}, {x} -> {x}.k = {literal(name)})"
+        parts += f" WHEN size({held}) > 0 THEN try_element_at({held}, -1).v"
+    return Value(f"CASE{parts} END", pairs.kind.elementType["v"].dataType)
 
-    def under(name: str) -> Column:
-        return F.filter(pairs.column, lambda x: x["k"] == name)
-
-    chain = F.lit(None)
-    for name in reversed(names):
-        held = under(name)
-        chain = F.when(F.size(held) > 0, F.try_element_at(held, F.lit(-1))["v"]).otherwise(chain)
-    return Value(chain, pairs.kind.elementType["v"].dataType)
 
-
-def _extras_json(pairs: Value) -> Column:
+def _extras_json(pairs: Value) -> str:
     """All extras as a JSON object of texts in order of key, of equal keys the last."""
-    p = pairs.column
-    last = F.filter(p, lambda x, i: ~F.exists(F.slice(p, i + 2, F.greatest(F.lit(0), F.size(p) - i - 1)), lambda y: y["k"] == x["k"]))
-    held = pairs.kind.elementType["v"].dataType
-    texts = F.transform(last, lambda x: F.struct(x["k"].alias("k"), Value(x["v"], held).text().alias("v")))
-    return F.coalesce(F.to_json(F.map_from_entries(F.array_sort(texts))), F.lit("{}"))
-
-
-def _either(*texts: Column) -> Column:
-    """The first text that is not empty."""
-    return F.coalesce(*(F.nullif(text, F.lit("")) for text in texts), F.lit(""))
+    x, i, y = fresh(), fresh(), fresh()
+    later = f"slice({pairs.sql}, {i} + 2, greatest(0, size({pairs.sql}) - {i} - 1))"
+    last = Value(f"filter({pairs.sql}, ({x}, {i}) -> NOT exists({later}, {y} -> {y}.k = {x}.k))", pairs.kind)
+    texts = last.each(lambda p: f"named_struct('k', {p.member('k').sql}, 'v', {p.member('v').text()})")
+    return f"coalesce(to_json(map_from_entries(array_sort({texts}))), '{{}}')"
 
 
 def _record_of(df: DataFrame, record: str, keep: tuple[str, ...]) -> tuple[DataFrame, Value]:
     """The rows with the record in ``_r``, null where it is no object."""
     value = of(df, record)
-    base = df.select(*keep, (F.when(value.is_object(), value.column) if value.dynamic else value.column).alias("_r"))
-    return base, Value(F.col("_r"), value.kind)
+    held = f"CASE WHEN {value.is_object()} THEN {value.sql} END" if value.dynamic else value.sql
+    return df.select(*keep, F.expr(held).alias("_r")), Value("_r", value.kind)
 
 
 def flatten_records(df: DataFrame, record: str, *keep: str) -> DataFrame:
@@ -146,60 +145,57 @@ def flatten_records(df: DataFrame, record: str, *keep: str) -> DataFrame:
     base, r = _record_of(df, record, keep)
 
     def hold(name: str, value: Value) -> Value:
-        """A value that is worked out once under a name of its own, where it is not a mere member."""
+        """A value that is worked out once under a name of its own."""
         nonlocal base
         if value.never:
             return value
-        base = base.withColumn(name, value.column)
-        return Value(F.col(name), value.kind)
+        base = base.withColumn(name, F.expr(value.sql))
+        return Value(name, value.kind)
 
-    d = hold("_d", dcat_payload(r))
-    x = hold("_x", extra_pairs(r.member("extras")))
+    d = hold("_d", _payload(r))
+    x = hold("_x", _extra_pairs(r.member("extras")))
     own, listed = r.member("resources"), r.member("distributions")
-    items = hold(
-        "_i", first_list((own.truthy(), own.items()), (listed.truthy(), listed.items()), (None, dcat_distributions(d))).only(Value.is_object)
-    )
-    keyword, extra_keyword = d.member("keyword"), _extra(x, "keyword", "keywords")
-    if keyword.never:
-        keywords = join_values(extra_keyword)
-    else:
-        keywords = F.when(keyword.there(), join_values(keyword)).otherwise(join_values(extra_keyword))
-    base = base.withColumn("_k", keywords)
+    found = first_list((own.truthy(), own.items()), (listed.truthy(), listed.items()), (None, _own_distributions(d)))
+    items = hold("_i", found.only(Value.is_object))
+    keyword, extra_keyword = d.member("keyword"), _joined(_extra(x, "keyword", "keywords"))
+    keywords = extra_keyword if keyword.never else f"CASE WHEN {keyword.there()} THEN {_joined(keyword)} ELSE {extra_keyword} END"
+    base = base.withColumn("_k", F.expr(keywords))
 
-    def cells(*names: str) -> Column:
-        return compact_list(items.each(lambda item: first_text(item, *names)), LIST_LIMIT)
+    def cells(*names: str) -> str:
+        return compact_sql(items.each(lambda item: _first(item, *names)), LIST_LIMIT)
 
-    def chain(*values: Value) -> Column:
+    def chain(*values: Value) -> str:
         """The first value that is there, even if null or empty."""
-        return F.coalesce(*(v.text_if_there() for v in values), F.lit(""))
-
-    text = first_text
-    org, publisher, contact = r.member("organization"), d.member("publisher"), d.member("contactPoint")
-    publisher_name = F.when(publisher.is_object(), join_values(publisher.member("name"))).otherwise("")
-    reach = lambda name: F.when(contact.is_object(), join_values(contact.member(name))).otherwise("")
-    titles, notes = cells("name", "title"), cells("description")
-    formats, media = cells("format"), cells("mimetype", "mediaType", "media_type")
-    plain = lambda name: d.member(name).text()
+        return "coalesce(" + ", ".join([*(v.text_if_there() for v in values), "''"]) + ")"
+
+    def plain(name: str) -> str:
+        return d.member(name).text()
+
+    def of_object(holder: Value, name: str) -> str:
+        return f"CASE WHEN {holder.is_object()} THEN {_joined(holder.member(name))} ELSE '' END"
+
+    org, contact = r.member("organization"), d.member("contactPoint")
+    publisher_name = of_object(d.member("publisher"), "name")
     columns = {
-        "id": _either(text(r, "id"), plain("identifier")),
-        "name": text(r, "name"),
-        "title": _either(text(r, "title"), plain("title")),
-        "notes": _either(text(r, "notes", "description"), plain("description")),
-        "organization_title": _either(text(org, "title"), publisher_name),
-        "organization_name": _either(text(org, "name"), publisher_name),
-        "organization_id": text(org, "id"),
-        "groups": join_named(r.member("groups")),
-        "tags": _either(join_named(r.member("tags")), F.col("_k")),
-        "license_title": _either(text(r, "license_title"), plain("license")),
-        "metadata_created": text(r, "metadata_created"),
-        "metadata_modified": _either(text(r, "metadata_modified"), plain("modified")),
-        "url": _either(text(r, "url"), plain("landingPage")),
+        "id": either(_first(r, "id"), plain("identifier")),
+        "name": _first(r, "name"),
+        "title": either(_first(r, "title"), plain("title")),
+        "notes": either(_first(r, "notes", "description"), plain("description")),
+        "organization_title": either(_first(org, "title"), publisher_name),
+        "organization_name": either(_first(org, "name"), publisher_name),
+        "organization_id": _first(org, "id"),
+        "groups": _names(r.member("groups")),
+        "tags": either(_names(r.member("tags")), "_k"),
+        "license_title": either(_first(r, "license_title"), plain("license")),
+        "metadata_created": _first(r, "metadata_created"),
+        "metadata_modified": either(_first(r, "metadata_modified"), plain("modified")),
+        "url": either(_first(r, "url"), plain("landingPage")),
         "extras": _extras_json(x),
-        "resources_count": F.size(items.column),
-        "resource_names": titles,
-        "resource_descriptions": notes,
-        "resource_formats": formats,
-        "resource_media_types": media,
+        "resources_count": f"size({items.sql})",
+        "resource_names": cells("name", "title"),
+        "resource_descriptions": cells("description"),
+        "resource_formats": cells("format"),
+        "resource_media_types": cells("mimetype", "mediaType", "media_type"),
         "resource_urls": cells("url", "downloadURL", "download_url", "accessURL", "access_url"),
         "dcat_type": chain(d.member("@type"), r.member("@type")),
         "dcat_title": chain(d.member("title"), r.member("dct:title"), r.member("title")),
@@ -208,43 +204,47 @@ def flatten_records(df: DataFrame, record: str, *keep: str) -> DataFrame:
         "dcat_accessLevel": plain("accessLevel"),
         "dcat_modified": chain(d.member("modified"), _extra(x, "modified", "date_modified")),
         "dcat_issued": plain("issued"),
-        "dcat_keyword": F.col("_k"),
-        "dcat_theme": join_values(d.member("theme")),
-        "dcat_bureauCode": join_values(d.member("bureauCode")),
-        "dcat_programCode": join_values(d.member("programCode")),
-        "dcat_publisher_name": _either(publisher_name, _extra(x, "publisher", "publisher_name").text()),
-        "dcat_contactPoint_fn": reach("fn"),
-        "dcat_contactPoint_hasEmail": _either(reach("hasEmail"), _extra(x, "contactPoint.hasEmail", "contact_email").text()),
+        "dcat_keyword": "_k",
+        "dcat_theme": _joined(d.member("theme")),
+        "dcat_bureauCode": _joined(d.member("bureauCode")),
+        "dcat_programCode": _joined(d.member("programCode")),
+        "dcat_publisher_name": either(publisher_name, _extra(x, "publisher", "publisher_name").text()),
+        "dcat_contactPoint_fn": of_object(contact, "fn"),
+        "dcat_contactPoint_hasEmail": either(of_object(contact, "hasEmail"), _extra(x, "contactPoint.hasEmail", "contact_email").text()),
         "dcat_landingPage": plain("landingPage"),
         "dcat_license": plain("license"),
         "dcat_rights": plain("rights"),
         "dcat_spatial": plain("spatial"),
         "dcat_temporal": plain("temporal"),
-        "distribution_count": F.size(items.column),
-        "distribution_titles": titles,
-        "distribution_descriptions": notes,
-        "distribution_formats": formats,
-        "distribution_media_types": media,
+        "distribution_count": "resources_count",
+        "distribution_titles": "resource_names",
+        "distribution_descriptions": "resource_descriptions",
+        "distribution_formats": "resource_formats",
+        "distribution_media_types": "resource_media_types",
         "distribution_download_urls": cells("downloadURL", "download_url"),
         "distribution_access_urls": cells("accessURL", "access_url", "url"),
         "harvest_record": r.member("harvest_record").text(),
         "harvest_record_raw": r.member("harvest_record_raw").text(),
     }
-    return base.select(*keep, *(column.alias(name) for name, column in columns.items()))
+    # A column that is named in the same list is that column: several carry the same values under two names.
+    quoted = [f"`{name}`" for name in keep]
+    return base.selectExpr(*quoted, *(f"{sql} AS `{name}`" for name, sql in columns.items()))
 
 
 def flatten_distributions(df: DataFrame, record: str, *keep: str) -> DataFrame:
     """One row of 12 columns for each distribution of each record, with its place from 0, unusable items counted."""
     base, r = _record_of(df, record, keep)
-    d = dcat_payload(r)
+    d = _payload(r)
     listed, own = r.member("distributions"), r.member("resources")
-    items = first_list((listed.truthy(), listed.items()), (own.truthy(), own.items()), (None, dcat_distributions(d)))
-    identifier = _either(first_text(r, "id"), first_text(d, "identifier"))
-    title = _either(first_text(r, "title"), first_text(d, "title"))
-    rows = base.select(
-        *keep, identifier.alias("dataset_id"), title.alias("dataset_title"), F.posexplode(items.column).alias("distribution_index", "_i")
+    items = first_list((listed.truthy(), listed.items()), (own.truthy(), own.items()), (None, _own_distributions(d)))
+    quoted = [f"`{name}`" for name in keep]
+    rows = base.selectExpr(
+        *quoted,
+        f"{either(_first(r, 'id'), _first(d, 'identifier'))} AS dataset_id",
+        f"{either(_first(r, 'title'), _first(d, 'title'))} AS dataset_title",
+        f"posexplode({items.sql}) AS (distribution_index, _i)",
     )
-    item = Value(F.col("_i"), items.kind.elementType)
+    item = Value("_i", items.kind.elementType)
     names = {
         "distribution_title": ("title", "name"),
         "distribution_description": ("description",),
@@ -256,8 +256,8 @@ def flatten_distributions(df: DataFrame, record: str, *keep: str) -> DataFrame:
         "describedBy": ("describedBy",),
         "describedByType": ("describedByType",),
     }
-    cells = [first_text(item, *keys).alias(name) for name, keys in names.items()]
-    return rows.where(item.is_object()).select(*keep, "dataset_id", "dataset_title", "distribution_index", *cells)
+    cells = [f"{_first(item, *keys)} AS `{name}`" for name, keys in names.items()]
+    return rows.where(item.is_object()).selectExpr(*quoted, "dataset_id", "dataset_title", "distribution_index", *cells)
 
 
 def record_violations(df: DataFrame, record: str) -> Column:

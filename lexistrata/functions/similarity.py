@@ -11,17 +11,33 @@ from lexistrata.constants import EXCLUDED_TERMS, SYNONYMS
 from lexistrata.functions.text import lookup
 
 
+#: The least share of common words and the least ratio of lengths of terms that are compared.
+LEAST_SHARED = 0.67
+LEAST_RATIO = 0.55
+
+
+def comparable(term: Column) -> Column:
+    """What comparing needs of a term: its text, distinct words, length and synonym; null for a term that is never compared."""
+    words = F.array_distinct(F.split(term, " "))
+    held = F.struct(term.alias("t"), words.alias("w"), F.size(words).alias("n"), F.length(term).alias("len"), lookup(SYNONYMS, term).alias("s"))
+    return F.when(~term.isin(EXCLUDED_TERMS), held)
+
+
+def comparable_pair(a: Column, b: Column) -> Column:
+    """Whether two terms, given as ``comparable``, share enough words and have like lengths; synonyms always."""
+    shared = F.size(F.array_intersect(a["w"], b["w"]))
+    least, most = F.least(a["len"], b["len"]), F.greatest(a["len"], b["len"])
+    alone = (a["n"] == 1) | (b["n"] == 1)
+    same = (a["n"] == b["n"]) & (shared == a["n"])
+    near = (least / most >= LEAST_RATIO) & (shared / F.least(a["n"], b["n"]) >= LEAST_SHARED) & (shared > 0)
+    fits = ((least >= 5) | (a["t"] == b["t"])) & F.when(alone, same).otherwise(near)
+    return F.coalesce(fits | a["s"].eqNullSafe(b["t"]) | b["s"].eqNullSafe(a["t"]), F.lit(False))
+
+
 def can_compare(left: Column, right: Column) -> Column:
     """Whether two terms share enough words and have like lengths, synonyms always, excluded terms never."""
-    a, b = F.array_distinct(F.split(left, " ")), F.array_distinct(F.split(right, " "))
-    shared = F.size(F.array_intersect(a, b))
-    synonym = lookup(SYNONYMS, left).eqNullSafe(right) | lookup(SYNONYMS, right).eqNullSafe(left)
-    least, most = F.least(F.length(left), F.length(right)), F.greatest(F.length(left), F.length(right))
-    alone = (F.size(a) == 1) | (F.size(b) == 1)
-    same = (F.size(a) == F.size(b)) & (shared == F.size(a))
-    near = (shared / F.least(F.size(a), F.size(b)) >= 0.67) & (least / most >= 0.55)
-    fits = (shared > 0) & ((least >= 5) | (left == right)) & F.when(alone, same).otherwise(near)
-    return ~left.isin(EXCLUDED_TERMS) & ~right.isin(EXCLUDED_TERMS) & (synonym | fits)
+    a, b = comparable(left), comparable(right)
+    return a.isNotNull() & b.isNotNull() & comparable_pair(a, b)
 
 
 def common_subsequence(a: str, b: str) -> int:

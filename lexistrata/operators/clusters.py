@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lexistrata.constants import CLUSTER_COLUMNS, SYNONYMS
 from lexistrata.engine import checkpoint, text_or_empty
 from lexistrata.functions.similarity import token_set_ratio
-from lexistrata.functions.text import SEPARATOR, is_excluded, is_sensor_term
-from lexistrata.operators.blocking import block_pairs, candidate_pairs, comparison_blocks
+from lexistrata.functions.text import SEPARATOR, block_keys, is_excluded, is_sensor_term
+from lexistrata.operators.blocking import all_pairs, block_pairs, candidate_pairs, comparison_blocks, keyed_terms
 from lexistrata.operators.components import connected_components
 
 MOST_TFIDF_TERMS = 50_000
@@ -41,9 +41,9 @@ def synonym_edges(terms: DataFrame, reason: str) -> DataFrame:
     )
 
 
-def token_set_edges(terms: DataFrame, threshold: float, reason: str) -> DataFrame:
+def token_set_edges(terms: DataFrame, threshold: float, reason: str, *, exact: bool = False) -> DataFrame:
     """Edges between terms whose words are alike as sets."""
-    scored = candidate_pairs(terms).withColumn("score", token_set_ratio("l", "r"))
+    scored = candidate_pairs(terms, exact=exact).withColumn("score", token_set_ratio("l", "r"))
     return scored.where(F.round("score", DIGITS) >= threshold).select("l", "r", "score", F.lit(reason).alias("reason"))
 
 
@@ -64,29 +64,47 @@ def char_grams(term: Column) -> Column:
     return F.flatten(F.transform(F.filter(F.split(term, " "), lambda w: w != ""), of_word))
 
 
-def tfidf_scores(blocks: DataFrame) -> DataFrame:
-    """``l, r, score``: the best cosine of two terms over the blocks they share, weights being fitted in each block."""
-    grams = blocks.select("block", "term", F.explode(char_grams(F.col("term"))).alias("g"))
-    counted = grams.groupBy("block", "term", "g").agg(F.count("*").alias("tf"))
-    held = counted.groupBy("block", "g").agg(F.count("*").alias("df"))
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("n"))
-    weighed = counted.join(held, ["block", "g"]).join(sizes, "block").withColumn(
-        "w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)
+def tfidf_scores(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``l, r, score``: the best cosine of two terms over the blocks they share, weights being fitted in each block.
+
+    ``pairs`` has ``block, l, r``. Runs of characters are cut once a term, and only for the terms of blocks with a pair.
+    """
+    pairs = checkpoint(pairs)
+    asked = pairs.select("block").distinct()
+    live = checkpoint(blocks.join(asked, "block", "left_semi"))
+    grams = live.select("term").distinct().select("term", F.explode(char_grams(F.col("term"))).alias("g"))
+    counted = checkpoint(grams.groupBy("term", F.xxhash64("g").alias("g")).agg(F.count("*").alias("tf")))
+    placed = live.join(counted, "term")
+    held = placed.groupBy("block", "g").agg(F.count("*").alias("df"))
+    sizes = live.groupBy("block").agg(F.count("*").alias("n"))
+    # The weight of a run in a block is that of any term there: what differs is how often the term has it.
+    rarity = held.join(sizes, "block").select("block", "g", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    members = pairs.select("block", F.col("l").alias("term")).union(pairs.select("block", "r")).distinct()
+    weighed = checkpoint(
+        members.join(counted, "term").join(rarity, ["block", "g"]).select("block", "term", "g", (F.col("tf") * F.col("idf")).alias("w"))
     )
     norms = weighed.groupBy("block", "term").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = checkpoint(weighed.join(norms, ["block", "term"]).select("block", "term", "g", (F.col("w") / F.col("norm")).alias("w")))
-    pairs = block_pairs(blocks)
-    left = unit.select("block", F.col("term").alias("l"), "g", F.col("w").alias("wl"))
-    right = unit.select("block", F.col("term").alias("r"), "g", F.col("w").alias("wr"))
+    left = weighed.select("block", F.col("term").alias("l"), "g", F.col("w").alias("wl"))
+    right = weighed.select("block", F.col("term").alias("r"), "g", F.col("w").alias("wr"))
     dots = (
         pairs.join(left, ["block", "l"]).join(right, ["block", "r", "g"]).groupBy("block", "l", "r").agg(F.sum(F.col("wl") * F.col("wr")).alias("s"))
     )
-    return dots.groupBy("l", "r").agg(F.max("s").alias("score"))
+    scored = dots.join(norms.select("block", F.col("term").alias("l"), F.col("norm").alias("nl")), ["block", "l"]).join(
+        norms.select("block", F.col("term").alias("r"), F.col("norm").alias("nr")), ["block", "r"]
+    )
+    return scored.groupBy("l", "r").agg(F.max(F.col("s") / (F.col("nl") * F.col("nr"))).alias("score"))
 
 
-def tfidf_edges(terms: DataFrame, threshold: float, reason: str) -> DataFrame:
+def tfidf_edges(terms: DataFrame, threshold: float, reason: str, *, exact: bool = False) -> DataFrame:
     """Edges between terms whose character runs are alike."""
-    scored = tfidf_scores(comparison_blocks(terms))
+    if exact:
+        blocks = keyed_terms(terms).select(F.col("key").alias("block"), "term")
+        shared = all_pairs(terms).withColumn("block", F.explode(F.array_intersect(block_keys(F.col("l")), block_keys(F.col("r")))))
+        pairs = shared.select("block", "l", "r")
+    else:
+        blocks = checkpoint(comparison_blocks(terms))
+        pairs = block_pairs(blocks)
+    scored = tfidf_scores(blocks, pairs)
     return scored.where(F.round("score", DIGITS) >= threshold).select("l", "r", "score", F.lit(reason).alias("reason"))
 
 
@@ -119,17 +137,20 @@ def dedupe_edges(edges: DataFrame) -> DataFrame:
     )
 
 
-def build_edges(terms: DataFrame, *, method: str = "hybrid", threshold: float = 0.82, vectors: DataFrame | None = None) -> DataFrame:
+def build_edges(
+    terms: DataFrame, *, method: str = "hybrid", threshold: float = 0.82, vectors: DataFrame | None = None, exact: bool = False, most: int = MOST_TFIDF_TERMS
+) -> DataFrame:
     """Edges of one method, ``fuzzy``, ``tfidf``, ``hybrid`` or ``embedding``; synonyms always count.
 
-    Above 50 000 terms the n-gram part is left out. ``embedding`` needs a table of vectors by term.
+    Above ``most`` terms the n-gram part is left out, and so are blocks that stay too large; ``exact`` leaves out neither.
+    ``embedding`` needs a table of vectors by term.
     """
     reason = "hybrid" if method == "hybrid" else None
     edges = synonym_edges(terms, reason or "exact")
     if method in ("fuzzy", "hybrid"):
-        edges = edges.unionByName(token_set_edges(terms, threshold, reason or "fuzzy"))
-    if method in ("tfidf", "hybrid") and terms.count() <= MOST_TFIDF_TERMS:
-        edges = edges.unionByName(tfidf_edges(terms, threshold, reason or "tfidf"))
+        edges = edges.unionByName(token_set_edges(terms, threshold, reason or "fuzzy", exact=exact))
+    if method in ("tfidf", "hybrid") and (exact or terms.count() <= most):
+        edges = edges.unionByName(tfidf_edges(terms, threshold, reason or "tfidf", exact=exact))
     if method == "embedding":
         if vectors is None:
             raise RuntimeError("method embedding needs a table of vectors by term")
@@ -137,11 +158,14 @@ def build_edges(terms: DataFrame, *, method: str = "hybrid", threshold: float =
     return dedupe_edges(edges)
 
 
-def assign_clusters(terms: DataFrame, edges: DataFrame, most: int = MOST_CLUSTER_TERMS) -> DataFrame:
-    """``term, root, cluster_id``: components numbered by their least term; larger ones fall apart, numbered after all others."""
+def assign_clusters(terms: DataFrame, edges: DataFrame, most: int | None = MOST_CLUSTER_TERMS) -> DataFrame:
+    """``term, root, cluster_id``: components numbered by their least term.
+
+    Those of more than ``most`` terms fall apart, numbered after all others; with none, every component stays whole.
+    """
     roots = connected_components(terms, edges)
     sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
-    split = roots.join(sizes, "root").withColumn("_apart", F.col("n") > most)
+    split = roots.join(sizes, "root").withColumn("_apart", F.col("n") > most if most is not None else F.lit(False))
     head = split.withColumn("_head", F.when(F.col("_apart"), F.struct("root", "term")).otherwise(F.struct("root", F.col("root").alias("term"))))
     heads = head.select("_apart", "_head").distinct()
     return head.join(_numbered(heads), ["_apart", "_head"]).select("term", "root", "cluster_id")
@@ -247,12 +271,16 @@ def cluster_terms(
     domain: str = "",
     include_singletons: bool = True,
     vectors: DataFrame | None = None,
+    exact: bool = False,
 ) -> DataFrame:
-    """The cluster table of a term table. An empty term table gives an empty table of the same columns."""
+    """The cluster table of a term table. An empty term table gives an empty table of the same columns.
+
+    ``exact`` drops the feature's limits: no block, no n-gram edge and no large component is left out.
+    """
     kept = checkpoint(filter_terms(terms, min_count=min_count, domain=domain))
     distinct = checkpoint(kept.select(F.col("normalized_term").alias("term")).where(F.trim("term") != "").distinct())
-    edges = checkpoint(build_edges(distinct, method=method, threshold=threshold, vectors=vectors))
-    rows = cluster_rows(kept, assign_clusters(distinct, edges), edges)
+    edges = checkpoint(build_edges(distinct, method=method, threshold=threshold, vectors=vectors, exact=exact))
+    rows = cluster_rows(kept, assign_clusters(distinct, edges, None if exact else MOST_CLUSTER_TERMS), edges)
     return rows if include_singletons else drop_singletons(rows)
 
 

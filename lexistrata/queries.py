@@ -134,7 +134,8 @@ def _spark_queries() -> dict:
         return clusters.elect_canonical(rows)
 
     def tfidf(s: SparkSession, p: str) -> DataFrame:
-        scored = clusters.tfidf_scores(blocking.comparison_blocks(_part_terms(s, p)))
+        blocks = checkpoint(blocking.comparison_blocks(_cluster_terms(s, p)))
+        scored = clusters.tfidf_scores(blocks, blocking.block_pairs(blocks))
         return scored.where(F.round("score", 9) >= 0.5).select("l", "r", F.round("score", 3).alias("score"))
 
     def vectors(s: SparkSession, p: str) -> DataFrame:

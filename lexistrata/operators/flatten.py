@@ -58,7 +58,7 @@ def _first(record: Value, *names: str) -> str:
 def _joined(value: Value) -> str:
     """A list as one cell, an object as JSON, anything else as text; nothing as the empty string."""
     if not value.dynamic:
-        return compact_sql(value.each(Value.text), LIST_LIMIT) if isinstance(value.kind, T.ArrayType) else value.text()
+        return f"coalesce({compact_sql(value.each(Value.text), LIST_LIMIT)}, '')" if isinstance(value.kind, T.ArrayType) else value.text()
     items = Value(f"try_variant_get({value.sql}, '$', 'array<variant>')", T.ArrayType(T.VariantType()))
     listed = compact_sql(items.each(Value.text), LIST_LIMIT)
     return f"CASE WHEN {items.sql} IS NOT NULL THEN {listed} WHEN {value.truthy()} THEN {value.text()} ELSE '' END"

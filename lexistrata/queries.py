@@ -297,8 +297,23 @@ def _extra(*names: str) -> str:
     return chain
 
 
-def _flat_sql() -> str:
-    """The 47 oracle-checked metadata columns of both record tables."""
+def _extras_sql() -> str:
+    """Extras as a JSON object in order of key, of equal keys the last."""
+    objects = "list_filter(coalesce(extras, []), lambda x: x.key IS NOT NULL)"
+    last = "list_filter(e, lambda x, i: len(list_filter(e[i + 1:], lambda y: y.key = x.key)) = 0)"
+    pair = "to_json(x.key)::VARCHAR || ':' || to_json(coalesce(x.value, ''))::VARCHAR"
+    return (
+        f"(SELECT '{{' || coalesce(array_to_string(list_transform(list_sort(list_transform({last}, lambda x: {{'key': x.key, 'value': x.value}})), "
+        f"lambda x: {pair}), ','), '') || '}}' FROM (SELECT {objects} AS e))"
+    )
+
+
+#: SQL of what is added to the order of catalog records so that they follow all sample records.
+AFTER = "(SELECT coalesce(max(row_id) + 1, 0) FROM sample_records)"
+
+
+def _flat_sql(add: str = "0") -> str:
+    """The metadata columns of both record tables; ``add`` is added to the order of catalog records."""
     empty = "''"
     keywords = f"{_extra('keyword', 'keywords')}"
     sample = {
@@ -308,7 +323,7 @@ def _flat_sql() -> str:
         "groups": _compact("list_transform(groups, lambda g: g.name)", 50),
         "tags": f"coalesce(nullif({_compact('list_transform(tags, lambda g: g.name)', 50)}, ''), {keywords})",
         "license_title": "coalesce(license_title, '')", "metadata_created": "coalesce(metadata_created, '')",
-        "metadata_modified": "coalesce(metadata_modified, '')", "url": "coalesce(url, '')",
+        "metadata_modified": "coalesce(metadata_modified, '')", "url": "coalesce(url, '')", "extras": _extras_sql(),
         "resources_count": "coalesce(len(list_filter(resources, lambda r: r IS NOT NULL)), 0)::INTEGER",
         "resource_names": _sample_items("name"), "resource_descriptions": _sample_items("description"), "resource_formats": _sample_items("format"),
         "resource_media_types": _sample_items("mimetype", "mediaType"), "resource_urls": _sample_items("url", "downloadURL", "accessURL"),
@@ -330,7 +345,7 @@ def _flat_sql() -> str:
         "id": _first("id", "dcat.identifier"), "name": empty, "title": _first("title", "dcat.title"), "notes": _first("description", "dcat.description"),
         "organization_title": _first("organization.title", "dcat.publisher.name"), "organization_name": _first("organization.name", "dcat.publisher.name"),
         "organization_id": empty, "groups": empty, "tags": _compact("dcat.keyword", 50), "license_title": c("license"), "metadata_created": empty,
-        "metadata_modified": c("modified"), "url": c("landingPage"),
+        "metadata_modified": c("modified"), "url": c("landingPage"), "extras": "'{}'",
         "resources_count": "coalesce(len(list_filter(dcat.distribution, lambda r: r IS NOT NULL)), 0)::INTEGER",
         "resource_names": _catalog_items("title"), "resource_descriptions": _catalog_items("description"), "resource_formats": _catalog_items("format"),
         "resource_media_types": _catalog_items("mediaType"), "resource_urls": _catalog_items("downloadURL", "accessURL"),
@@ -348,16 +363,17 @@ def _flat_sql() -> str:
     }
     one = ", ".join(f"{v} AS {k}" for k, v in sample.items())
     two = ", ".join(f"{v} AS {k}" for k, v in catalog.items())
-    return f"SELECT row_id AS ord, {one} FROM sample_records UNION ALL SELECT row_id, {two} FROM catalog_records"
+    return f"SELECT row_id AS ord, {one} FROM sample_records UNION ALL SELECT row_id + {add}, {two} FROM catalog_records"
 
 
-def _dist_sql() -> str:
+def _dist_sql(add: str = "0") -> str:
     def side(path: str, source: str, names: dict[str, tuple[str, ...]]) -> str:
         cells = ", ".join((_first(*(f"r.{n}" for n in keys)) if keys else "''") + f" AS {name}" for name, keys in names.items())
         title = "title" if source == "sample_records" else _first("title", "dcat.title")
         ident = "id" if source == "sample_records" else _first("id", "dcat.identifier")
+        more = "0" if source == "sample_records" else add
         return (
-            f"SELECT ord, dataset_id, dataset_title, distribution_index, {cells} FROM (SELECT row_id AS ord, coalesce({ident}, '') AS dataset_id, "
+            f"SELECT ord, dataset_id, dataset_title, distribution_index, {cells} FROM (SELECT row_id + {more} AS ord, coalesce({ident}, '') AS dataset_id, "
             f"coalesce({title}, '') AS dataset_title, unnest({path}) AS r, (generate_subscripts({path}, 1) - 1)::INTEGER AS distribution_index FROM {source}) WHERE r IS NOT NULL"
         )
 
@@ -368,26 +384,29 @@ def _dist_sql() -> str:
 
 
 def _cell_terms(source: str, order: str = "ord", fields: list[str] | None = None) -> str:
-    """``ord, source_field, term, normalized_term`` from a metadata relation."""
+    """``ord, source_field, pos, term, normalized_term`` from a metadata relation; ``pos`` orders the terms of a record."""
     from lexistrata.constants import COMPOUND_FIELDS, TERM_FIELDS
 
     names = fields or TERM_FIELDS
     listed = [f for f in names if f in COMPOUND_FIELDS]
     plain = [f for f in names if f not in COMPOUND_FIELDS]
-    a = " UNION ALL ".join(f"SELECT {order} AS ord, '{f}' AS f, replace({f}, ' | ', ';') AS v FROM {source}" for f in listed) or f"SELECT {order} AS ord, '' AS f, '' AS v FROM {source} WHERE false"
-    b = " UNION ALL ".join(f"SELECT {order} AS ord, '{f}' AS f, {f} AS v FROM {source}" for f in plain) or f"SELECT {order} AS ord, '' AS f, '' AS v FROM {source} WHERE false"
+    place = {f: TERM_FIELDS.index(f) * 10_000_000 for f in names}
+    none = "SELECT 0::BIGINT AS ord, '' AS f, 0 AS p, '' AS v WHERE false"
+    a = " UNION ALL ".join(f"SELECT {order} AS ord, '{f}' AS f, {place[f]} AS p, replace({f}, ' | ', ';') AS v FROM {source}" for f in listed) or none
+    b = " UNION ALL ".join(f"SELECT {order} AS ord, '{f}' AS f, {place[f]} AS p, {f} AS v FROM {source}" for f in plain) or none
+    cut = r"regexp_split_to_array(v, '\s*[;,|]\s*')"
     split = (
-        f"SELECT ord, f, {_normalize('part')} AS term FROM (SELECT ord, f, unnest(regexp_split_to_array(v, '\\s*[;,|]\\s*')) AS part FROM ({a}) WHERE {_normalize('v')} <> '')"
+        f"SELECT ord, f, p + k AS pos, {_normalize('part')} AS term FROM (SELECT ord, f, p, unnest({cut}) AS part, generate_subscripts({cut}, 1) AS k FROM ({a}) WHERE {_normalize('v')} <> '')"
     )
-    split = f"SELECT ord, f, term FROM ({split}) WHERE term <> ''"
-    whole = f"SELECT ord, f, n, string_split(n, ' ') AS w FROM (SELECT ord, f, {_normalize('v', True)} AS n FROM ({b})) WHERE n <> ''"
+    split = f"SELECT ord, f, pos, term FROM ({split}) WHERE term <> ''"
+    whole = f"SELECT ord, f, p, n, string_split(n, ' ') AS w FROM (SELECT ord, f, p, {_normalize('v', True)} AS n FROM ({b})) WHERE n <> ''"
     runs = (
-        f"SELECT DISTINCT ord, f, n, term FROM (SELECT ord, f, n, n AS term FROM ({whole}) UNION ALL "
-        f"SELECT ord, f, n, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' '))) FROM ({whole}) WHERE len(w) > 2 UNION ALL "
-        f"SELECT ord, f, n, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) FROM ({whole}) WHERE len(w) > 2)"
+        f"SELECT ord, f, n, term, min(pos) AS pos FROM (SELECT ord, f, p AS pos, n, n AS term FROM ({whole}) UNION ALL "
+        f"SELECT ord, f, p + unnest(range(1, len(w))), n, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' '))) FROM ({whole}) WHERE len(w) > 2 UNION ALL "
+        f"SELECT ord, f, p + len(w) + unnest(range(1, len(w) - 1)), n, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) FROM ({whole}) WHERE len(w) > 2) GROUP BY ord, f, n, term"
     )
-    every = f"SELECT ord, f, term FROM ({split}) UNION ALL SELECT ord, f, term FROM ({runs})"
-    return f"SELECT ord, f AS source_field, term, normalized_term FROM (SELECT ord, f, term, {_normalize('term', True)} AS normalized_term FROM ({every})) WHERE normalized_term <> ''"
+    every = f"SELECT ord, f, pos, term FROM ({split}) UNION ALL SELECT ord, f, pos, term FROM ({runs})"
+    return f"SELECT ord, f AS source_field, pos, term, normalized_term FROM (SELECT ord, f, pos, term, {_normalize('term', True)} AS normalized_term FROM ({every})) WHERE normalized_term <> ''"
 
 
 _FILTER_FORM = r"trim(regexp_replace(regexp_replace(lower(normalized_term), '[/-]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -440,12 +459,112 @@ def _comparable(a: str, b: str) -> str:
     return f"({a} NOT IN {_words(EXCLUDED_TERMS)} AND {b} NOT IN {_words(EXCLUDED_TERMS)} AND ({pair} OR {fits}))"
 
 
+#: Distribution rows as metadata rows, after all metadata.
+_DIST_META = """SELECT (d.ord + (SELECT coalesce(max(ord), 0) + 1 FROM meta)) * 10000 + distribution_index AS ord, dataset_id AS id, dataset_title AS title, distribution_title AS distribution_titles,
+  format AS distribution_formats, "mediaType" AS distribution_media_types, distribution_description AS notes FROM dist d"""
+_DIST_FIELDS = ["title", "notes", "distribution_titles", "distribution_formats", "distribution_media_types"]
+
+
+def _first_sql(source: str, keys: str, value: str, order: str, limit: int, name: str) -> str:
+    """The first distinct values of a column for each key, in one cell."""
+    return (
+        f"SELECT {keys}, array_to_string(list(v ORDER BY o, v), ' | ') AS {name} FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY o, v) AS n FROM "
+        f"(SELECT {keys}, trim({value}) AS v, min({order}) AS o FROM {source} WHERE trim({value}) <> '' GROUP BY {keys}, trim({value}))) WHERE n <= {limit} GROUP BY {keys}"
+    )
+
+
+def _profile_sql() -> str:
+    """``profiled``: the term table of all fields, both record tables and the distributions, with ``o``, its order."""
+    keys = "term, normalized_term, source_field"
+    return f"""meta AS MATERIALIZED ({_flat_sql(AFTER)}), dist AS MATERIALIZED ({_dist_sql(AFTER)}), dmeta AS MATERIALIZED ({_DIST_META}),
+      prows AS MATERIALIZED (SELECT {keys}, ord * 1000000000 + pos AS o, id, title FROM ({_cell_terms('meta')}) JOIN (SELECT ord, id, title FROM meta) USING (ord)
+        UNION ALL SELECT {keys}, ord // 10000 * 1000000000 + pos, id, title FROM ({_cell_terms('dmeta', fields=_DIST_FIELDS)}) JOIN (SELECT ord, id, title FROM dmeta) USING (ord)),
+      pcount AS (SELECT {keys}, count(*) AS count, min(o) AS o FROM prows GROUP BY {keys}),
+      pids AS ({_first_sql('prows', keys, 'id', 'o', 5, 'example_record_ids')}), ptitles AS ({_first_sql('prows', keys, 'title', 'o', 5, 'example_titles')}),
+      profiled AS MATERIALIZED (SELECT {keys}, count, coalesce(example_record_ids, '') AS example_record_ids, coalesce(example_titles, '') AS example_titles, o
+        FROM pcount LEFT JOIN pids USING ({keys}) LEFT JOIN ptitles USING ({keys}))"""
+
+
 def _cluster_terms_sql() -> str:
-    """Terms that are clustered, as ``cterms``, from the metadata relation."""
-    fields = ["tags", "organization_title", "resource_formats", "dcat_theme"]
-    return f"""meta AS MATERIALIZED ({_flat_sql()}), crows AS ({_cell_terms('meta', fields=fields)}),
-      ccount AS MATERIALIZED (SELECT term, normalized_term, source_field, count(*) AS count FROM crows GROUP BY ALL),
-      cterms AS MATERIALIZED (SELECT DISTINCT normalized_term AS term FROM ccount WHERE count >= {MIN_COUNT} AND NOT {_excluded()})"""
+    """``kept``, the rows that are clustered, and their terms ``cterms``."""
+    return f"""{_profile_sql()}, kept AS MATERIALIZED (SELECT * FROM profiled WHERE count >= {MIN_COUNT} AND NOT {_excluded()}),
+      cterms AS MATERIALIZED (SELECT DISTINCT normalized_term AS term FROM kept)"""
+
+
+def _components_sql(nodes: str, edges: str) -> str:
+    """``components(term, root)`` of a relation of ``term`` and one of ``l, r``; must stand in a recursive WITH."""
+    return f"""both_ways AS MATERIALIZED (SELECT l AS u, r AS v FROM {edges} UNION SELECT r, l FROM {edges}),
+      components(term, root) USING KEY (term) AS (SELECT term, term FROM {nodes} UNION (
+        SELECT DISTINCT ON (a.term) a.term, b.root FROM recurring.components a JOIN both_ways e ON e.u = a.term JOIN components b ON b.term = e.v
+        WHERE b.root < a.root ORDER BY a.term, b.root))"""
+
+
+_GRAMS_SQL = """
+      padded AS (SELECT block, term, ' ' || unnest(list_filter(string_split(term, ' '), lambda w: w <> '')) || ' ' AS p FROM blocks),
+      lengths AS (SELECT block, term, p, n FROM padded, (VALUES (3), (4), (5)) v(n) WHERE n <= greatest(3, length(p))),
+      grams AS (SELECT block, term, CASE WHEN length(p) <= n THEN [p] ELSE list_transform(range(1, length(p) - n + 2), lambda i: substr(p, i::INTEGER, n)) END AS g FROM lengths),
+      tf AS MATERIALIZED (SELECT block, term, g, count(*) AS tf FROM (SELECT block, term, unnest(g) AS g FROM grams) GROUP BY ALL),
+      df AS (SELECT block, g, count(*) AS df FROM tf GROUP BY ALL), sz AS (SELECT block, count(*) AS n FROM blocks GROUP BY block),
+      w AS (SELECT block, term, g, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (block, g) JOIN sz USING (block)),
+      u AS MATERIALIZED (SELECT block, term, g, w / sqrt(sum(w * w) OVER (PARTITION BY block, term)) AS w FROM w),
+      tfidf AS MATERIALIZED (SELECT l, r, max(s) AS score FROM (SELECT p.block, p.l, p.r, sum(a.w * b.w) AS s FROM pairs p JOIN u a ON a.block = p.block AND a.term = p.l
+        JOIN u b ON b.block = p.block AND b.term = p.r AND b.g = a.g GROUP BY ALL) GROUP BY ALL)"""
+
+
+def _token_set_sql() -> str:
+    """``pairs`` of all blocks, their distinct ``cand`` and ``tokenset(l, r, score)``; must stand in a recursive WITH.
+
+    The longest common subsequence of what is left of two terms is worked out a row of the table at a time.
+    """
+    x, y = "list_distinct(string_split(l, ' '))", "list_distinct(string_split(r, ' '))"
+    rest = lambda a, b: f"array_to_string(list_sort(list_filter({a}, lambda t: NOT list_contains({b}, t))), ' ')"
+    return f"""{_blocks_sql('SELECT term FROM cterms')},
+      pairs AS MATERIALIZED (SELECT a.block, a.term AS l, b.term AS r FROM blocks a JOIN blocks b ON a.block = b.block AND a.term < b.term WHERE {_comparable('a.term', 'b.term')}),
+      cand AS MATERIALIZED (SELECT DISTINCT l, r FROM pairs),
+      rests AS MATERIALIZED (SELECT l, r, array_to_string(list_sort(list_intersect({x}, {y})), ' ') AS both_, {rest(x, y)} AS a, {rest(y, x)} AS b FROM cand),
+      ends AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a, b) AS id, a, b FROM (SELECT DISTINCT a, b FROM rests WHERE both_ = '' OR (a <> '' AND b <> ''))),
+      places AS MATERIALIZED (SELECT id, unnest(range(1, length(b) + 1)) AS j, unnest(string_split(b, '')) AS c FROM ends WHERE a <> '' AND b <> ''),
+      lcs_rows(id, i, j, c, n) AS (SELECT id, 0, j, c, 0 FROM places UNION ALL
+        SELECT id, i + 1, j, c, greatest(n, max(CASE WHEN c = x THEN m + 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY j)) FROM (
+          SELECT t.id, t.i, t.j, t.c, t.n, substr(e.a, t.i + 1, 1) AS x, coalesce(lag(t.n) OVER (PARTITION BY t.id ORDER BY t.j), 0) AS m
+          FROM lcs_rows t JOIN ends e ON e.id = t.id WHERE t.i < length(e.a))),
+      lcs_ends AS (SELECT e.a, e.b, max(t.n) AS n FROM lcs_rows t JOIN ends e ON e.id = t.id AND t.i = length(e.a) GROUP BY ALL),
+      tokenset AS MATERIALIZED (SELECT l, r, CASE WHEN both_ <> '' AND (a = '' OR b = '') THEN 1.0::DOUBLE ELSE greatest(1 - (length(a) + length(b) - 2 * coalesce(n, 0)) / (wa + wb),
+          CASE WHEN both_ <> '' THEN 1 - (1 + length(a)) / (length(both_) + wa) ELSE 0 END, CASE WHEN both_ <> '' THEN 1 - (1 + length(b)) / (length(both_) + wb) ELSE 0 END) END AS score
+        FROM (SELECT l, r, both_, s.a, s.b, n, length(both_) + (both_ <> '')::INTEGER + length(s.a) AS wa, length(both_) + (both_ <> '')::INTEGER + length(s.b) AS wb
+          FROM rests s LEFT JOIN lcs_ends e ON s.a = e.a AND s.b = e.b))"""
+
+
+def _cluster_sql() -> str:
+    """``clustered``: the cluster table of nine columns."""
+    synonyms = ", ".join(f"('{min(a, b)}', '{max(a, b)}')" for a, b in SYNONYMS.items() if a != b)
+    preferred = _words(sorted(set(SYNONYMS.values())))
+    return f"""WITH RECURSIVE {_cluster_terms_sql()}, {_token_set_sql()}, {_GRAMS_SQL},
+      edges AS MATERIALIZED (SELECT l, r, max(score) AS score FROM (
+        SELECT DISTINCT v.l, v.r, 1.0::DOUBLE AS score FROM (VALUES {synonyms}) v(l, r) WHERE v.l IN (SELECT term FROM cterms) AND v.r IN (SELECT term FROM cterms)
+        UNION ALL SELECT l, r, score FROM tokenset WHERE round(score, 9) >= 0.82
+        UNION ALL SELECT l, r, score FROM tfidf WHERE round(score, 9) >= 0.82 AND (SELECT count(*) FROM cterms) <= 50000) GROUP BY ALL),
+      {_components_sql('cterms', 'edges')},
+      placed AS (SELECT term, root, n > 500 AS apart, CASE WHEN n > 500 THEN term ELSE root END AS head FROM (SELECT *, count(*) OVER (PARTITION BY root) AS n FROM components)),
+      assigned AS MATERIALIZED (SELECT term AS normalized_term, dense_rank() OVER (ORDER BY apart, root, head)::INTEGER AS cluster_id FROM placed),
+      summed AS (SELECT normalized_term, sum(count)::BIGINT AS count FROM kept GROUP BY ALL),
+      fields AS ({_first_sql('kept', 'normalized_term', 'source_field', 'o', 10, 'source_fields')}), seen AS ({_first_sql('kept', 'normalized_term', 'term', 'o', 10, 'observed')}),
+      titles AS ({_first_sql('kept', 'normalized_term', 'example_titles', 'o', 5, 'examples')}),
+      base AS MATERIALIZED (SELECT * FROM summed JOIN assigned USING (normalized_term) LEFT JOIN fields USING (normalized_term) LEFT JOIN seen USING (normalized_term) LEFT JOIN titles USING (normalized_term)),
+      elected AS (SELECT cluster_id, coalesce(min(normalized_term) FILTER (WHERE normalized_term IN {preferred}), first(normalized_term ORDER BY count DESC, normalized_term)) AS canonical_term FROM base GROUP BY cluster_id),
+      clustered AS MATERIALIZED (SELECT b.cluster_id, canonical_term, coalesce(nullif(observed, ''), normalized_term) AS observed_term, normalized_term, coalesce(source_fields, '') AS source_fields, count,
+        round_even(coalesce(score, 1.0), 3)::DOUBLE AS similarity_score, CASE WHEN canonical_term = normalized_term OR score IS NULL THEN 'exact' ELSE 'hybrid' END AS cluster_reason, coalesce(examples, '') AS examples
+        FROM base b JOIN elected USING (cluster_id) LEFT JOIN edges e ON e.l = least(canonical_term, normalized_term) AND e.r = greatest(canonical_term, normalized_term)) """
+
+
+_SEVERAL = "SELECT cluster_id FROM clustered GROUP BY cluster_id HAVING count(DISTINCT normalized_term) > 1"
+_METRICS_SQL = """, sizes AS (SELECT cluster_id, count(DISTINCT normalized_term) AS n, count(*) AS m FROM clustered GROUP BY cluster_id)
+  SELECT sum(n)::BIGINT AS total_terms, count(*) AS total_clusters, max(n) AS largest_cluster_size, count(*) FILTER (WHERE n = 1) AS singleton_clusters, count(*) FILTER (WHERE n > 1) AS multi_term_clusters,
+    CASE WHEN max(n) > sum(m) * 0.05 THEN 'largest cluster has ' || max(n) || ' rows (>5% of clustered rows)' ELSE '' END AS warning FROM sizes"""
+_TOP_SQL = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_id, canonical_term ORDER BY count DESC, observed_term, normalized_term) AS n FROM clustered),
+  grouped AS (SELECT cluster_id, canonical_term, array_to_string(list(observed_term ORDER BY n) FILTER (WHERE n <= 5), ' | ') AS observed_term, sum(count)::BIGINT AS count,
+    array_to_string(list_sort(list(DISTINCT cluster_reason)), ' | ') AS cluster_reason FROM ranked GROUP BY ALL)
+  SELECT * FROM grouped WHERE contains(observed_term, '|') ORDER BY count DESC, cluster_id LIMIT 10"""
 
 
 def _patterns_sql() -> str:
@@ -490,7 +609,8 @@ def oracle_sql() -> dict[str, str]:
         "SELECT row_id, 'dcat.bureauCode', (generate_subscripts(dcat.\"bureauCode\", 1) - 1)::INTEGER, unnest(dcat.\"bureauCode\") FROM catalog_records"
     )
     ending = r"lower(regexp_extract(path, '[^/.][^/]*(\.[^./]+)$', 1))"
-    clusterable = f"WITH {_cluster_terms_sql()}"
+    clusterable = f"WITH RECURSIVE {_cluster_terms_sql()}"
+    clustered = _cluster_sql()
     grams = """
       padded AS (SELECT block, term, ' ' || unnest(list_filter(string_split(term, ' '), lambda w: w <> '')) || ' ' AS p FROM blocks),
       lengths AS (SELECT block, term, p, n FROM padded, (VALUES (3), (4), (5)) v(n) WHERE n <= greatest(3, length(p))),
@@ -509,7 +629,7 @@ def oracle_sql() -> dict[str, str]:
               FROM i WHERE item IS NOT NULL AND {_normalize('item')} <> ''))
           SELECT row_id, field, item_pos, (row_number() OVER (PARTITION BY row_id, field, item_pos ORDER BY k) - 1)::INTEGER AS pos, part FROM parts WHERE part <> ''""",
         "compact_list": f"SELECT row_id, {_compact('dcat.keyword', 5)} AS keywords FROM catalog_records",
-        "extract_terms": f"SELECT ord AS row_id, term FROM (WITH m AS (SELECT row_id AS ord, title FROM sample_records) {_cell_terms('m', fields=['title'])})",
+        "extract_terms": meta + f"SELECT ord AS row_id, term FROM ({_cell_terms('meta')})",
         "normalize_field_names": "SELECT key, regexp_replace(regexp_replace(lower(key), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS form FROM (SELECT DISTINCT unnest(extras).key AS key FROM sample_records)",
         "synonym_canonicalize": counted + f"SELECT normalized_term, sum(count)::BIGINT AS n FROM counted WHERE normalized_term IN {_words(sorted(set(SYNONYMS.values())))} GROUP BY normalized_term",
         "term_frequency": counted + f"SELECT {columns} FROM counted",
@@ -517,31 +637,27 @@ def oracle_sql() -> dict[str, str]:
           smeta AS (SELECT * REPLACE (ord::VARCHAR AS ord) FROM meta), every AS ({_cell_terms('smeta')} UNION ALL {_cell_terms('dmeta', fields=['title', 'notes', 'distribution_titles', 'distribution_formats', 'distribution_media_types'])}),
           c AS (SELECT term, normalized_term, source_field, count(*) AS n FROM every GROUP BY ALL)
           SELECT source_field, count(*) AS terms, sum(n)::BIGINT AS occurrences FROM c GROUP BY source_field""",
-        "profile_terms": f"""WITH m AS (SELECT row_id AS ord, coalesce(title, '') AS title, coalesce(array_to_string(list_filter(list_transform(tags, lambda x: x.name), lambda v: v IS NOT NULL), ' | '), '') AS tags FROM sample_records),
-          r AS ({_cell_terms('m', fields=['title', 'tags'])}), k AS (SELECT r.*, trim(s.id) AS id FROM r JOIN sample_records s ON s.row_id = r.ord),
-          c AS (SELECT term, normalized_term, source_field, count(*) AS count FROM k GROUP BY ALL),
-          f AS (SELECT term, normalized_term, source_field, id, min(ord) AS o FROM k WHERE id <> '' GROUP BY ALL),
-          x AS (SELECT *, row_number() OVER (PARTITION BY term, normalized_term, source_field ORDER BY o) AS n FROM f),
-          e AS (SELECT term, normalized_term, source_field, array_to_string(list(id ORDER BY n), ' | ') AS example_record_ids FROM x WHERE n <= 5 GROUP BY ALL)
-          SELECT term, normalized_term, source_field, count, coalesce(example_record_ids, '') AS example_record_ids FROM c LEFT JOIN e USING (term, normalized_term, source_field)""",
+        "profile_terms": f"WITH {_profile_sql()} SELECT * EXCLUDE (o) FROM profiled",
         "exclude_filter": counted + f"SELECT {columns} FROM counted WHERE NOT {_excluded()}",
         "min_count_filter": counted + f"SELECT {columns} FROM counted WHERE count >= 5 AND NOT {_excluded()}",
         "domain_filter": counted + f"SELECT {columns} FROM counted WHERE NOT {_excluded()} AND {_sensor()}",
         "block_keys": f"{clusterable}, src AS (SELECT term FROM cterms UNION {_part_sql()}) {_keys_sql('SELECT term FROM src')}",
         "block_sizes": f"{clusterable}, {_blocks_sql('SELECT term FROM cterms')} SELECT n, count(*) AS blocks FROM (SELECT block, count(*) AS n FROM blocks GROUP BY block) GROUP BY n",
-        "candidate_pairs": f"""{clusterable}, {_blocks_sql('SELECT term FROM cterms')}
-          SELECT DISTINCT a.term AS l, b.term AS r FROM blocks a JOIN blocks b ON a.block = b.block AND a.term < b.term WHERE {_comparable('a.term', 'b.term')}""",
-        "tfidf_edges": f"""WITH {_blocks_sql(_part_sql())}, {grams}, best AS (SELECT l, r, max(s) AS s FROM s WHERE {_comparable('l', 'r')} GROUP BY ALL)
-          SELECT l, r, round(s, 3) AS score FROM best WHERE round(s, 9) >= 0.5""",
+        "candidate_pairs": f"{clusterable}, {_token_set_sql()} SELECT l, r FROM cand",
+        "token_set_edges": f"{clusterable}, {_token_set_sql()} SELECT l, r, round(score, 6) AS score FROM tokenset WHERE round(score, 9) >= 0.82",
+        "tfidf_edges": f"{clusterable}, {_token_set_sql()}, {_GRAMS_SQL} SELECT l, r, round(score, 3) AS score FROM tfidf WHERE round(score, 9) >= 0.5",
+        "cluster_rows": clustered + "SELECT * FROM clustered",
+        "cluster_metrics": clustered + _METRICS_SQL,
+        "drop_singletons": clustered + f"SELECT * FROM clustered WHERE cluster_id IN ({_SEVERAL})",
+        "top_clusters": clustered + _TOP_SQL,
         "embedding_edges": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
           SELECT a.vec_id AS l, b.vec_id AS r, round(list_cosine_similarity(a.e, b.e), 3) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id
           WHERE round(list_cosine_similarity(a.e, b.e), 9) >= 0.5""",
         "edge_dedupe": """WITH e AS (SELECT l_suppkey::VARCHAR AS a, l_partkey::VARCHAR AS b, l_quantity::DOUBLE AS score, CASE WHEN l_linenumber % 2 = 0 THEN 'exact' ELSE 'fuzzy' END AS reason FROM lineitem)
           SELECT l, r, score, reason FROM (SELECT least(a, b) AS l, greatest(a, b) AS r, score, reason,
             row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY score DESC, reason = 'exact' DESC, reason DESC) AS n FROM e WHERE a <> b) WHERE n = 1""",
-        "connected_components": """WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS l, 'p' || l_partkey AS r FROM lineitem WHERE l_quantity >= 49),
-          b AS (SELECT l AS u, r AS v FROM e UNION SELECT r, l FROM e), reach(term, root) AS (SELECT u, u FROM b UNION SELECT b.v, reach.root FROM reach JOIN b ON b.u = reach.term)
-          SELECT term, min(root) AS root FROM reach GROUP BY term""",
+        "connected_components": f"""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT 'o' || l_orderkey AS l, 'p' || l_partkey AS r FROM lineitem),
+          nodes AS (SELECT l AS term FROM e UNION SELECT r FROM e), {_components_sql('nodes', 'e')} SELECT term, root FROM components""",
         "canonical_election": f"""WITH p AS (SELECT substr(p_brand, 1, 7) AS cluster_id, lower(p_name) AS term, count(*) AS count FROM part GROUP BY ALL)
           SELECT cluster_id, coalesce(min(term) FILTER (WHERE term IN {_words(sorted(set(SYNONYMS.values())))}), first(term ORDER BY count DESC, term)) AS canonical_term FROM p GROUP BY cluster_id""",
         "value_counts": meta + _counts_sql("distribution_formats"),

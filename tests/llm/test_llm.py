@@ -101,6 +101,26 @@ def test_leaks_are_found_and_quotations_are_not(spark):
     assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(0, 0), (1, 1), (5, 0), (5, 3), (6, 0)]
 
 
+def test_edited_and_near_copied_passages_leak_by_index_and_by_join(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(400)]
+    base = rng.sample(words, 80)
+    copies = [[*base[:i], "other", *base[i + 1 :]] for i in range(10)]  # ten near-copies hold almost all shingles in common
+    passages = [" ".join(c) for c in copies] + [" ".join(rng.sample(words, 70)), "five words and no more", None, ""]
+    edited = passages[10].split()
+    for k in range(3, len(edited), 7):  # no eight words in a row are left as they were
+        edited[k] = "changed"
+    docs = ["x " * 30 + passages[3], "y " + " ".join(edited), "so five words and no more, said they", "nothing of it " * 20, None, ""]
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id int, passage string")
+    corpus = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
+    expected = {(0, i) for i in range(10)} | {(1, 10), (2, 11)}
+    for most in (leakage.INDEX_WORDS, 10):
+        found = leakage.leaked_items(corpus, "doc_id", "text", items, "item_id", "passage", index_words=most).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == expected and all(r.share >= 0.4 for r in found)
+    assert leakage.leaked_items(corpus, "doc_id", "text", items.limit(0), "item_id", "passage").count() == 0
+    assert leakage.leaked_items(corpus.limit(0), "doc_id", "text", items, "item_id", "passage", index_words=10).count() == 0
+
+
 def test_cut_texts(spark):
     rng = random.Random(5)
     names = ["river", "school", "bridge", "harbor", "forest", "museum"]

@@ -16,12 +16,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexistrata.engine import checkpoint
+from lexistrata.llm.bits import key_filter, may_hold
 
 #: Tokens in more than one of so many sets are hot. Their number is at most this times the mean set size.
 HOT_SHARE = 500
@@ -44,62 +47,87 @@ def bands(over: int, of: int, smallest: int, largest: int) -> list[tuple[int, in
     return out
 
 
-def _segment_hash(scheme: int, segment: int, tokens: list[int]) -> int:
-    h = xxhash.xxh64(seed=scheme * 1_000 + segment)
-    for token in tokens:
-        h.update(token.to_bytes(8, "little", signed=True))
-    return h.intdigest() - (1 << 63)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Hashes of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def signatures(
-    tokens: list[int], scheme: int, h: int, larger: bool, hot: dict[int, float], usual: float
-) -> list[tuple[int, int]]:
-    """(signature, deletions) of one sorted token list in one scheme.
+class Segments:
+    """The token sets of a batch cut into the segments of one scheme.
 
-    The smaller set's deletions are 0 or 1 for each segment. The larger set emits what its budgets call for.
+    A segment's hash is that of the sum of its tokens' hashes, so that leaving a token out is a subtraction. Equal segments
+    have equal hashes; unlike ones that happen to have equal hashes are told apart when candidates are verified.
     """
-    m = h + 1
-    segments: list[list[int]] = [[] for _ in range(m)]
-    for token in tokens:
-        segments[(token ^ (token >> 17)) % m].append(token)
-    if not larger:
-        out = []
-        for i, segment in enumerate(segments):
-            out.append((_segment_hash(scheme, i, segment), 0))
-            out += [(_segment_hash(scheme, i, segment[:k] + segment[k + 1 :]), 1) for k in range(len(segment))]
-        return out
-
-    def expected(part: list[int]) -> float:
-        return math.prod(hot.get(token, usual) for token in part)
-
-    offers = []
-    for i, segment in enumerate(segments):
-        one = expected(segment) * (1 + len(segment))
-        fewer = sum(expected(segment[:k] + segment[k + 1 :]) for k in range(len(segment)))
-        # Equal segments; then one token apart, either way round.
-        offers.append((one, i, 1))
-        offers.append((one + fewer + (0 if segment else 1), i, 2))
-    # Least cost for a total budget of h + 1, one choice a segment: a small knapsack, solved exactly.
-    best: list[tuple[float, tuple[int, ...]]] = [(0.0, ())] + [(math.inf, ())] * (h + 1)
-    for i in range(m):
-        equal, apart = offers[2 * i][0], offers[2 * i + 1][0]
-        grown = []
-        for total in range(h + 2):
-            choices = [(best[total][0], (*best[total][1], 0))]
-            for units, cost in ((1, equal), (2, apart)):
-                before = best[max(0, total - units)]
-                choices.append((before[0] + cost, (*before[1], units)))
-            grown.append(min(choices))
-        best = grown
-    out = []
-    for i, units in enumerate(best[h + 1][1]):
-        segment = segments[i]
-        if units:
-            # Budget 1 meets equal segments only; budget 2 also meets the smaller set's deletions and emits its own.
-            out.append((_segment_hash(scheme, i, segment), 0 if units == 2 else 2))
-        if units == 2:
-            out += [(_segment_hash(scheme, i, segment[:k] + segment[k + 1 :]), 1) for k in range(len(segment))]
-    return out
+
+    def __init__(self, tokens: np.ndarray, owner: np.ndarray, sets: int, scheme: int, m: int) -> None:
+        self.sets, self.m, self.owner = sets, m, owner
+        unsigned = tokens.view(np.uint64)
+        self.cell = owner * m + ((unsigned ^ (unsigned >> np.uint64(17))) % np.uint64(m)).astype(np.int64)
+        self.hashes = _mixed(unsigned)
+        self.sums = np.zeros(sets * m, np.uint64)
+        np.add.at(self.sums, self.cell, self.hashes)
+        salt = np.uint64(scheme + 1) * np.uint64(0x9E3779B97F4A7C15)
+        self.salts = _mixed(np.arange(m, dtype=np.uint64) + salt)
+
+    def whole(self, cells: np.ndarray) -> np.ndarray:
+        """The signatures of some segments."""
+        return _mixed(self.sums[cells] + self.salts[cells % self.m]).view(np.int64)
+
+    def without(self, places: np.ndarray) -> np.ndarray:
+        """The signatures of some tokens' segments without that token."""
+        cells = self.cell[places]
+        return _mixed(self.sums[cells] - self.hashes[places] + self.salts[cells % self.m]).view(np.int64)
+
+    def budgets(self, rarity: np.ndarray, h: int) -> np.ndarray:
+        """The budget of every segment: least expected partners for a total of ``h`` + 1, by an exact knapsack of all sets.
+
+        ``rarity`` is the logarithm of each token's share of the sets.
+        """
+        cells = self.sets * self.m
+        summed = np.bincount(self.cell, rarity, cells)
+        size = np.bincount(self.cell, minlength=cells)
+        equal = np.exp(summed) * (1 + size)
+        fewer = np.bincount(self.cell, np.exp(summed[self.cell] - rarity), cells)
+        apart = equal + fewer + (size == 0)
+        equal, apart = equal.reshape(self.sets, self.m), apart.reshape(self.sets, self.m)
+        units = np.zeros((self.sets, self.m), np.int8)
+        chunk = max(1, 20_000_000 // (self.m * (h + 2)))
+        for first in range(0, self.sets, chunk):
+            part = slice(first, first + chunk)
+            n = len(equal[part])
+            best = np.full((n, h + 2), np.inf)
+            best[:, 0] = 0
+            taken = np.zeros((self.m, n, h + 2), np.int8)
+            one, two = np.maximum(np.arange(h + 2) - 1, 0), np.maximum(np.arange(h + 2) - 2, 0)
+            for i in range(self.m):
+                choices = np.stack([best, best[:, one] + equal[part, i, None], best[:, two] + apart[part, i, None]])
+                taken[i] = choices.argmin(axis=0)
+                best = choices.min(axis=0)
+            left = np.full(n, h + 1)
+            for i in reversed(range(self.m)):
+                units[part, i] = taken[i, np.arange(n), left]
+                left = np.maximum(left - units[part, i], 0)
+        return units.ravel()
+
+
+def signatures(batch: Segments, rarity: np.ndarray | None, h: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, kind, set) of all sets of a batch in one scheme.
+
+    As the smaller sets (no ``rarity``) every segment has kind 0 and every segment without one token kind 1. As the larger
+    ones they emit what their budgets call for: kind 2 meets equal segments only, 0 and 1 meet as above.
+    """
+    if rarity is None:
+        cells, places = np.arange(batch.sets * batch.m), np.arange(len(batch.owner))
+        kinds = np.zeros(len(cells), np.int8)
+    else:
+        units = batch.budgets(rarity, h)
+        cells = np.flatnonzero(units)
+        places = np.flatnonzero(units[batch.cell] == 2)
+        kinds = np.where(units[cells] == 1, 2, 0).astype(np.int8)
+    found = np.concatenate([batch.whole(cells), batch.without(places)])
+    return found, np.concatenate([kinds, np.ones(len(places), np.int8)]), np.concatenate([cells // batch.m, batch.owner[places]])
 
 
 def classes(df: DataFrame, key: str, values: str, smallest: int) -> tuple[DataFrame, DataFrame]:
@@ -118,65 +146,90 @@ def classes(df: DataFrame, key: str, values: str, smallest: int) -> tuple[DataFr
     return rows.drop("_set"), sets
 
 
-def _hot_tokens(sets: DataFrame, n: int) -> dict[int, float]:
-    """Share of the sets that hold a token, for the tokens in more than one of ``HOT_SHARE``: a bounded number."""
+def _hot_tokens(sets: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens in more than one of ``HOT_SHARE`` sets, a bounded number, in order, with the share that holds them."""
     counted = (
         sets.select(F.explode("_tokens").alias("t")).groupBy("t").count().where(F.col("count") * HOT_SHARE > n)
     )
-    return {row.t: row["count"] / n for row in counted.collect()}
+    rows = sorted((row.t, row["count"] / n) for row in counted.collect())
+    return np.array([t for t, _ in rows], np.int64), np.array([share for _, share in rows])
+
+
+def _emit(sized: DataFrame, schemes: list[tuple[int, int, int]], over: int, of: int, hot: Broadcast, asked: Broadcast | None) -> DataFrame:
+    """``_sig, _kind, _id, _n`` of all sets: as the larger ones of a pair, or as the smaller ones where a filter is given."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, share = hot.value
+        for batch in batches:
+            column = batch.column("_tokens")
+            ids, sizes = batch.column("_id").to_numpy(), np.diff(column.offsets.to_numpy())
+            tokens = column.flatten().to_numpy()
+            begins = np.cumsum(sizes) - sizes
+            for scheme, (first, last, h) in enumerate(schemes):
+                # Smaller partners of a set in this band have at least over/of of its size.
+                fits = (sizes >= first) & (sizes <= last) if asked is None else (sizes <= last) & (sizes * of >= first * over)
+                chosen = np.flatnonzero(fits)
+                if not len(chosen):
+                    continue
+                owner = np.repeat(np.arange(len(chosen)), sizes[chosen])
+                local = np.arange(len(owner)) - np.repeat(np.cumsum(sizes[chosen]) - sizes[chosen], sizes[chosen])
+                some = tokens[np.repeat(begins[chosen], sizes[chosen]) + local]
+                rarity = None
+                if asked is None:
+                    rarity = np.full(len(some), -math.log(HOT_SHARE))
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, some), len(known) - 1)
+                        rarity = np.where(known[at] == some, np.log(share[at]), rarity)
+                sig, kind, which = signatures(Segments(some, owner, len(chosen), scheme, h + 1), rarity, h)
+                if asked is not None:
+                    kept = may_hold(asked.value, sig)
+                    sig, kind, which = sig[kept], kind[kept], which[kept]
+                frame = pd.DataFrame({"_sig": sig, "_kind": kind, "_id": ids[chosen[which]], "_n": sizes[chosen[which]].astype(np.int32)})
+                yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+
+    return sized.select("_id", "_tokens").mapInArrow(emit, "_sig long, _kind tinyint, _id long, _n int")
 
 
 def similar_classes(sets: DataFrame, over: int, of: int, smallest: int) -> DataFrame:
-    """``_a, _b``: the pairs of different classes (``_a < _b``) that share at least over/of of their union."""
+    """``_a, _b``: the pairs of different classes (``_a < _b``) that share at least over/of of their union.
+
+    Only signatures and numbers of sets are joined; token lists are fetched for candidates. What the smaller sets emit is
+    first held against a filter of the signatures that larger sets ask for, so that empty and other common segments that
+    nobody asks for never leave their task.
+    """
     hashed = F.array_sort(F.transform("_set", lambda v: F.xxhash64(v)))
-    sized = checkpoint(sets.withColumn("_tokens", hashed))
+    sized = checkpoint(sets.withColumn("_tokens", hashed).withColumn("_id", F.monotonically_increasing_id()))
     stats = sized.agg(F.count("*").alias("n"), F.max(F.size("_tokens")).alias("largest")).first()
     n, largest = stats.n, stats.largest or 0
     schemes = bands(over, of, smallest, largest)
-    hot = sized.sparkSession.sparkContext.broadcast(_hot_tokens(sized, n) if n else {})
-    usual = 1 / HOT_SHARE
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shares = hot.value
-        for batch in batches:
-            out = []
-            for name, tokens in zip(batch["_class"], batch["_tokens"], strict=True):
-                tokens = [int(t) for t in tokens]
-                size = len(tokens)
-                for scheme, (first, last, h) in enumerate(schemes):
-                    if first <= size <= last:
-                        out += [(s, d, True, name, tokens) for s, d in signatures(tokens, scheme, h, True, shares, usual)]
-                    # Smaller partners of a set in this band: at least over/of of its size.
-                    if size <= last and size * of >= first * over:
-                        out += [(s, d, False, name, tokens) for s, d in signatures(tokens, scheme, h, False, shares, usual)]
-            yield pd.DataFrame(out, columns=["_sig", "_del", "_larger", "_class", "_tokens"])
-
-    emitted = sized.select("_class", "_tokens").mapInPandas(
-        emit, "_sig long, _del int, _larger boolean, _class string, _tokens array<long>"
-    )
-    big = emitted.where("_larger").select("_sig", F.col("_del").alias("_d1"), F.col("_class").alias("_x"), F.col("_tokens").alias("_t1"))
-    small = emitted.where("not _larger").select("_sig", F.col("_del").alias("_d2"), F.col("_class").alias("_y"), F.col("_tokens").alias("_t2"))
-    shared = F.size(F.array_intersect("_t1", "_t2"))
-    union = F.size("_t1") + F.size("_t2") - shared
-    # Deletions: 0 and 1 of the larger set meet 0 of the smaller, 0 meets 1 too; 2 (budget 1) meets 0 only.
-    meets = (F.col("_d2") == 0) | (F.col("_d1") == 0)
-    ordered = (F.size("_t1") > F.size("_t2")) | ((F.size("_t1") == F.size("_t2")) & (F.col("_x") != F.col("_y")))
+    none = np.empty(0, np.int64), np.empty(0)
+    hot = sized.sparkSession.sparkContext.broadcast(_hot_tokens(sized, n) if n else none)
+    big = checkpoint(_emit(sized, schemes, over, of, hot, None))
+    small = _emit(sized, schemes, over, of, hot, key_filter(big, "_sig"))
+    left = big.select("_sig", F.col("_kind").alias("_k1"), F.col("_id").alias("_x"), F.col("_n").alias("_n1"))
+    right = small.select("_sig", F.col("_kind").alias("_k2"), F.col("_id").alias("_y"), F.col("_n").alias("_n2"))
+    meets = (F.col("_k2") == 0) | (F.col("_k1") == 0)
+    ordered = (F.col("_n1") > F.col("_n2")) | ((F.col("_n1") == F.col("_n2")) & (F.col("_x") != F.col("_y")))
     candidates = (
-        big.join(small, "_sig")
-        .where(meets & ordered & (F.size("_t2") * of >= F.size("_t1") * over))
-        .where(shared * of >= union * over)
-        .select(F.least("_x", "_y").alias("_a"), F.greatest("_x", "_y").alias("_b"))
+        left.join(right, "_sig")
+        .where(meets & ordered & (F.col("_n2") * of >= F.col("_n1") * over))
+        .select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y"))
         .distinct()
     )
-    # Token hashes found them; the values themselves decide.
-    left = sized.select(F.col("_class").alias("_a"), F.col("_set").alias("_s1"))
-    right = sized.select(F.col("_class").alias("_b"), F.col("_set").alias("_s2"))
+    # Token hashes thin the candidates out; the values themselves decide.
+    shared = F.size(F.array_intersect("_t1", "_t2"))
+    alike = (
+        candidates.join(sized.select(F.col("_id").alias("_x"), F.col("_tokens").alias("_t1")), "_x")
+        .join(sized.select(F.col("_id").alias("_y"), F.col("_tokens").alias("_t2")), "_y")
+        .where(shared * of >= (F.size("_t1") + F.size("_t2") - shared) * over)
+        .select("_x", "_y")
+    )
     both = F.size(F.array_intersect("_s1", "_s2"))
     return (
-        candidates.join(left, "_a")
-        .join(right, "_b")
+        alike.join(sized.select(F.col("_id").alias("_x"), F.col("_set").alias("_s1"), F.col("_class").alias("_c1")), "_x")
+        .join(sized.select(F.col("_id").alias("_y"), F.col("_set").alias("_s2"), F.col("_class").alias("_c2")), "_y")
         .where(both * of >= (F.size("_s1") + F.size("_s2") - both) * over)
-        .select("_a", "_b")
+        .select(F.least("_c1", "_c2").alias("_a"), F.greatest("_c1", "_c2").alias("_b"))
     )
 
 

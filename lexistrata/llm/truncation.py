@@ -10,34 +10,40 @@ pile up count as evidence. Scoring is row by row; only score counts and length c
 
 from __future__ import annotations
 
+import functools
 import math
-import os
 import re
-import uuid
+import sys
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexistrata.engine import checkpoint, unique_path
+from lexistrata.engine import checkpoint
+from lexistrata.llm.bits import key_filter, may_hold
 
 #: Lengths of the contexts counted.
 ORDERS = (1, 2, 3, 4, 5, 6, 8, 10, 13, 17)
-#: Bits of the filter that keeps contexts no text ends with from being shuffled; it only saves work, whatever its size.
-FILTER_BITS = 1 << 27
-#: Characters that a task counts at a time.
+#: Characters that a task counts at a time, and distinct contexts that it holds before it hands their counts on.
 CHUNK_CHARS = 500_000
+HELD_CONTEXTS = 1_500_000
 #: Weight of the shorter context's estimate against counts of the longer one.
 BACK_OFF = 3.0
 _BASE = 0x9E3779B97F4A7C15
+#: The code of no character; one more is 0, as for a place before a text.
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BULLET = re.compile(r"^\s*(?:[-*•–·]|\d+[.)])\s")
 _BROKEN = re.compile(r"(?:\\u[0-9a-fA-F]{0,3}|\\|&#?\w{0,8}|<[^<>\n]{0,200}|[�\x00-\x08\x0e-\x1f])+$")
 _MARK = re.compile(r"\s*(?:\.{3,}|…)$")
 _CLOSING = re.compile(r"</[a-zA-Z]+\s*>\s*$")
+_RUNS = re.compile(r"[^\S\n ][^\S\n]*| [^\S\n]+")
+_NINES = {ord(d): "9" for d in "012345678"}
+#: Final characters that decide how a text ends; more are read where no line starts among them.
+FINAL = 4_000
 #: An end counts once for all texts that agree in so many final characters: copies cut alike are one example.
 TAIL = 120
 
@@ -51,9 +57,20 @@ def units(text: str) -> tuple[str, bool]:
     if broken:
         text = _BROKEN.sub("", text).rstrip()
     text = _MARK.sub("", text)
-    text = re.sub(r"[^\S\n]+", " ", text)
-    text = re.sub(r" ?\n[\s]*", "\n", text)
-    return re.sub(r"\d", "9", text), broken
+    text = _RUNS.sub(" ", text)
+    text = re.sub(r" ?\n[\s]*", "\n", text).translate(_NINES)
+    return text if text.isascii() else re.sub(r"\d", "9", text), broken
+
+
+def final_units(text: str) -> tuple[str, bool]:
+    """What ``units`` gives, of a long text only its last lines: the same for all that is asked of a text's end."""
+    if len(text) > FINAL:
+        start = text.find("\n", len(text) - FINAL, len(text) - FINAL // 2)
+        if start >= 0:
+            unit, broken = units(text[start:])
+            if len(unit) > FINAL // 8:
+                return unit, broken
+    return units(text)
 
 
 def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -64,21 +81,27 @@ def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
     return codes, listed
 
 
-def contexts(codes: np.ndarray, listed: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """For each order, a hash of the characters that end at each place ``at``; contexts stop at the text's start."""
-    out = []
-    with np.errstate(over="ignore"):
-        total = (listed[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        power = np.uint64(1)
-        for k in range(1, ORDERS[-1] + 1):
-            place = at - (k - 1)
-            char = np.where(place >= 0, codes[np.maximum(place, 0)] + np.uint64(1), np.uint64(0))
-            power = power * np.uint64(_BASE)
-            total = total + (char ^ (char << np.uint64(21))) * power
-            if k in ORDERS:
-                mixed = (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                out.append((mixed ^ (mixed >> np.uint64(32))) + np.uint64(k))
-    return out
+def contexts(codes: np.ndarray, listed: np.ndarray, at: np.ndarray, asked: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order, the places among ``at`` and a hash of the characters that end there; contexts stop at the text's start.
+
+    With a filter of the contexts asked for, a place goes on to longer contexts only while its shorter ones are asked for:
+    whoever asks for a context asks for all shorter ones that it ends with.
+    """
+    kept = np.arange(len(at))
+    total = (listed[at].astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    power = 1
+    for k in range(1, ORDERS[-1] + 1):
+        place = at[kept] - (k - 1)
+        char = np.where(place >= 0, codes[np.maximum(place, 0)] + np.uint64(1), np.uint64(0))
+        power = power * _BASE % (1 << 64)
+        total = total + (char ^ (char << np.uint64(21))) * np.uint64(power)
+        if k in ORDERS:
+            mixed = (total ^ (total >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            hashed = ((mixed ^ (mixed >> np.uint64(32))) + np.uint64(k)).view(np.int64)
+            if asked is not None:
+                hit = may_hold(asked, hashed)
+                kept, total, hashed = kept[hit], total[hit], hashed[hit]
+            yield kept, hashed
 
 
 def final_contexts(text: str) -> tuple[float | None, bool, list[int], list[bool]]:
@@ -86,16 +109,16 @@ def final_contexts(text: str) -> tuple[float | None, bool, list[int], list[bool]
 
     A link is looked up with spaces for its other marks, so that its longer contexts need not be among the text's own.
     """
-    unit, broken = units(text)
+    unit, broken = final_units(text)
     if broken or not unit:
         return 30.0 if broken else 0.0, False, [], []
     codes, listed = _codes(unit)
-    own = [int(x.view(np.int64)[0]) for x in contexts(codes, listed, np.array([len(codes) - 1]))]
+    own = [int(x[0]) for _, x in contexts(codes, listed, np.array([len(codes) - 1]))]
     link = unit.rpartition(" ")[2].rpartition("\n")[2]
     if "://" not in link:
         return None, False, own, [True] * len(own)
     codes, listed = _codes(re.sub(r"\W+", " ", link))
-    asked = [int(x.view(np.int64)[0]) for x in contexts(codes, listed, np.array([len(codes) - 1]))]
+    asked = [int(x[0]) for _, x in contexts(codes, listed, np.array([len(codes) - 1]))]
     return None, True, asked, [x == y for x, y in zip(asked, own, strict=True)]
 
 
@@ -106,10 +129,6 @@ def _ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch[["_hash"]].assign(fixed=pd.array(fixed, "Float64"), link=list(link), keys=list(keys), own=list(own))
 
 
-def _bit(key: np.ndarray) -> np.ndarray:
-    return (key.view(np.uint64) % np.uint64(FILTER_BITS)).astype(np.int64)
-
-
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[list[str]]:
     """The texts in lists of about as many characters, so that memory does not depend on the batch."""
     held, size = [], 0
@@ -124,74 +143,88 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[list[str]]:
         yield held
 
 
-def _counter(path: str):  # noqa: ANN202
-    """Counts of the contexts in the filter at ``path``: of goings-on for each context, of ends a row for each tail."""
+class _Counts:
+    """Goings-on counted by context, those before a word's end apart, added up over the texts of a task."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, key: np.ndarray, n: np.ndarray | None, apart: np.ndarray) -> None:
+        codes, found = pd.factorize(key)
+        many = np.bincount(codes, n, len(found)).astype(np.int64)
+        self.parts.append((found, many, np.bincount(codes, apart, len(found)).astype(np.int64)))
+        self.size += len(found)
+
+    def combine(self) -> None:
+        parts, self.parts, self.size = self.parts, [], 0
+        if parts:
+            self.add(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+    def frame(self) -> pd.DataFrame:
+        self.combine()
+        parts, self.parts, self.size = self.parts, [], 0
+        key, n, apart = parts[0] if parts else (np.empty(0, np.int64),) * 3
+        return pd.DataFrame({"order": 1, "k": key, "tail": pd.array([None] * len(key), "Int64"), "n": n, "w": apart})
+
+
+@functools.lru_cache(maxsize=1)
+def _alphanumeric() -> np.ndarray:
+    """For every code point, whether it is a letter or digit."""
+    return np.fromiter((chr(i).isalnum() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def _counter(asked: Broadcast):  # noqa: ANN202
+    """Counts of the contexts in the filter: of goings-on for each context, of ends a row for each tail."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        asked = np.memmap(path, np.uint8, "r")
+        letters, counts, positions = _alphanumeric(), _Counts(), 0
         for texts in _chunks(batches):
-            keys, ends, tails, words, positions, ended_tails = [], [], [], [], 0, []
+            pieces, seen_tails = [], []
             for text in texts:
                 unit, broken = units(text)
                 if not unit:
                     continue
                 codes, listed = _codes(unit)
-                at = np.flatnonzero(codes != 10)
-                ended = np.append(codes[1:] == 10, not broken)[at]
+                ended = np.append(codes[1:] == 10, not broken) & (codes != 10)
                 whole = "\n" + unit
-                after = np.array([not c.isalnum() for c in unit] + [True], bool)[at]
-                own = np.zeros(len(at), np.int64)
-                own[ended] = [xxhash.xxh64_intdigest(whole[max(0, i + 1 - TAIL) : i + 1]) >> 1 for i in at[ended]]
-                positions += int((~ended).sum())
-                ended_tails.append(own[ended])
-                for hashed in contexts(codes, listed, at):
-                    bit = _bit(hashed)
-                    hit = np.flatnonzero(asked[bit >> 3] >> (bit & 7).astype(np.uint8) & 1)
-                    keys.append(hashed.view(np.int64)[hit])
-                    ends.append(ended[hit])
-                    tails.append(own[hit])
-                    words.append(after[hit])
-            if keys:
-                key, end, tail = np.concatenate(keys), np.concatenate(ends), np.concatenate(tails)
-                on, inverse, n = np.unique(key[~end], return_inverse=True, return_counts=True)
-                apart = np.bincount(inverse, np.concatenate(words)[~end], len(on)).astype(np.int64)
-                yield pd.DataFrame({"order": 1, "k": on, "tail": pd.array([None] * len(on), "Int64"), "n": n, "w": apart})
-                both = pd.DataFrame({"k": key[end], "tail": pd.array(tail[end], "Int64")}).drop_duplicates()
-                yield both.assign(order=1, n=0, w=0)[["order", "k", "tail", "n", "w"]]
-                # Order 0, the context of nothing, gives the base rate.
-                once = np.unique(np.concatenate(ended_tails))
-                yield pd.DataFrame({"order": 0, "k": 0, "tail": pd.array([None], "Int64"), "n": [positions], "w": [0]})
-                yield pd.DataFrame({"order": 0, "k": once, "tail": pd.array(once, "Int64"), "n": 0, "w": 0})
+                own = np.zeros(len(codes), np.int64)
+                own[ended] = [xxhash.xxh64_intdigest(whole[max(0, i + 1 - TAIL) : i + 1].encode("utf-8", "replace")) >> 1 for i in np.flatnonzero(ended)]
+                seen_tails.append(own[ended])
+                # The characters before a text's start are none: a gap as long as the longest context parts the texts.
+                pieces.append((codes, listed, ended, own))
+            if not pieces:
+                continue
+            gap = ORDERS[-1]
+            codes = np.concatenate([np.concatenate([np.full(gap, _NONE), c]) for c, _, _, _ in pieces])
+            listed, ended, own = (np.concatenate([np.concatenate([np.zeros(gap, p[i].dtype), p[i]]) for p in pieces]) for i in (1, 2, 3))
+            at = np.flatnonzero((codes != 10) & (codes != _NONE))
+            following, after = np.append(codes[1:], _NONE), np.ones(len(codes), bool)
+            inside = following != _NONE
+            after[inside] = ~letters[following[inside].astype(np.int64)]
+            positions += int((~ended[at]).sum())
+            keys, ends = [], []
+            for kept, hashed in contexts(codes, listed, at, asked.value):
+                place = at[kept]
+                on = ~ended[place]
+                keys.append((hashed[on], after[place[on]]))
+                ends.append((hashed[~on], own[place[~on]]))
+            counts.add(np.concatenate([k for k, _ in keys]), None, np.concatenate([w for _, w in keys]))
+            if counts.size > HELD_CONTEXTS:
+                counts.combine()
+                if counts.size > HELD_CONTEXTS // 2:
+                    yield counts.frame()
+            both = pd.DataFrame({"k": np.concatenate([k for k, _ in ends]), "tail": np.concatenate([t for _, t in ends])}).drop_duplicates()
+            yield both.assign(order=1, n=0, w=0, tail=both["tail"].astype("Int64"))[["order", "k", "tail", "n", "w"]]
+            # Order 0, the context of nothing, gives the base rate.
+            once = np.unique(np.concatenate(seen_tails))
+            yield pd.DataFrame({"order": 0, "k": 0, "tail": pd.array(once, "Int64"), "n": 0, "w": 0})
+        yield counts.frame()
+        yield pd.DataFrame({"order": [0], "k": [0], "tail": pd.array([None], "Int64"), "n": [positions], "w": [0]})
 
     return count
 
 
-def _write_filter(keys: DataFrame) -> str:
-    """A bit for each context asked for, in a file of the shared folder; its size does not depend on the corpus."""
-    target = urlparse(unique_path(keys.sparkSession, "asked"))
-    if target.scheme not in ("", "file"):
-        raise ValueError("the model needs a shared folder with a file path in spark.checkpoint.dir")
-
-    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(FILTER_BITS // 8, np.uint8)
-        for batch in batches:
-            bit = _bit(batch["k"].to_numpy(np.int64))
-            np.bitwise_or.at(bits, bit >> 3, np.uint8(1) << (bit & 7).astype(np.uint8))
-        # A file for each attempt: one that is lost half way leaves nothing that is read.
-        os.makedirs(os.path.dirname(target.path), exist_ok=True)
-        path = f"{target.path}-{uuid.uuid4().hex}"
-        bits.tofile(path)
-        yield pd.DataFrame({"path": [path]})
-
-    row = keys.coalesce(1).mapInPandas(store, "path string").first()
-    if row is None:  # no partition at all: an empty table
-        path = f"{target.path}-{uuid.uuid4().hex}"
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        np.zeros(FILTER_BITS // 8, np.uint8).tofile(path)
-        return path
-    return row.path
-
-
 def text_odds(texts: DataFrame) -> DataFrame:
     """``_hash, log_odds, _fixed``: for every distinct text, by its hash, the log-odds that it goes on over that it ends.
 
@@ -207,10 +240,8 @@ def text_odds(texts: DataFrame) -> DataFrame:
         "_hash", "link", "i", F.col("c.keys").alias("k"), F.col("c.own").alias("own")
     )
     asked = checkpoint(places.select("k").distinct())
-    tasks = max(32, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counted = checkpoint(
-        distinct.repartition(tasks, "_hash")
-        .mapInPandas(_counter(_write_filter(asked)), "order int, k long, tail long, n long, w long")
+        distinct.mapInPandas(_counter(key_filter(asked, "k")), "order int, k long, tail long, n long, w long")
         .groupBy("order", "k", "tail")
         .agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
         .groupBy("order", "k")
@@ -235,18 +266,17 @@ def text_odds(texts: DataFrame) -> DataFrame:
     return asks.join(met, "_hash", "left").select("_hash", F.coalesce("fixed", odds).alias("log_odds"), F.col("fixed").isNotNull().alias("_fixed"))
 
 
-def cut_shares(histogram: list[tuple[str, float, int]], rounds: int = 60) -> dict[str, float]:
-    """The share of cut texts of each language from counts of its log-odds, by expectation and maximisation."""
-    out = {}
-    for lang in {lang for lang, _, _ in histogram}:
-        rows = [(odds, n) for name, odds, n in histogram if name == lang]
-        total, share = sum(n for _, n in rows), 0.1
-        for _ in range(rounds):
-            prior = math.log(share / (1 - share))
-            cut = sum(n / (1 + math.exp(-max(-50.0, min(50.0, odds + prior)))) for odds, n in rows)
-            share = min(0.9, max(0.001, (cut + 0.1) / (total + 1)))
-        out[lang] = share
-    return out
+def cut_share(odds: np.ndarray, n: np.ndarray, rounds: int = 60) -> float:
+    """The share of cut texts of a group from counts of its log-odds, by expectation and maximisation."""
+    total, share = n.sum(), 0.1
+    for _ in range(rounds):
+        cut = (n / (1 + np.exp(-np.clip(odds + math.log(share / (1 - share)), -50, 50)))).sum()
+        share = min(0.9, max(0.001, (cut + 0.1) / (total + 1)))
+    return share
+
+
+def _shares(group: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"_name": [group["_name"].iloc[0]], "_share": [cut_share(group["_odds"].to_numpy(), group["_n"].to_numpy())]})
 
 
 def score_texts(df: DataFrame, key: str, text: str, lang: str, source: str) -> DataFrame:
@@ -272,15 +302,11 @@ def score_texts(df: DataFrame, key: str, text: str, lang: str, source: str) -> D
     scored = checkpoint(joined.select("_key", "_lang", "_source", "_chars", "_closed", bounded.alias("log_odds")))
     # Ends that close a sentence and ends that do not are judged apart in each language.
     group = F.concat("_lang", F.when(F.col("_closed"), ".").otherwise(""))
-    histogram = [
-        (r.name, r.odds, r.n)
-        for r in scored.groupBy(group.alias("name"), F.round("log_odds", 1).alias("odds"))
-        .agg(F.count("*").alias("n"))
-        .collect()
-    ]
-    prior = F.lit(math.log(0.1 / 0.9))
-    for name, share in sorted(cut_shares(histogram).items()):
-        prior = F.when(group == name, math.log(share / (1 - share))).otherwise(prior)
+    # A group has at most one row for each tenth between the bounds, whatever the number of its texts.
+    histogram = scored.groupBy(group.alias("_name"), F.round("log_odds", 1).alias("_odds")).agg(F.count("*").alias("_n"))
+    shares = histogram.groupBy("_name").applyInPandas(_shares, "_name string, _share double")
+    scored = scored.withColumn("_name", group).join(shares, "_name")
+    prior = F.log(F.col("_share") / (1 - F.col("_share")))
     # A length that a source's texts reach far more often than the lengths around it is a limit.
     lengths = scored.groupBy("_source", "_chars").agg(F.count("*").alias("_at"))
     near = lengths.groupBy("_source", F.floor(F.col("_chars") / 64).alias("_near")).agg(

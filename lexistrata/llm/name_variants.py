@@ -14,7 +14,7 @@ from __future__ import annotations
 import itertools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,7 +25,7 @@ from lexistrata.llm.value_mapping import PREFIX, deletes, weighted_distance
 
 #: Words that tell the level of a body.
 LEVELS = {"county", "city", "province", "region", "state", "town", "village", "municipality", "township", "borough"}
-#: Abbreviated words of the names of public bodies.
+#: Abbreviated words of the names of public bodies; only for those who ask for them.
 SHORT_WORDS = dict(
     pair.split("=")
     for pair in (
@@ -41,7 +41,7 @@ SHORT_WORDS = dict(
         "sys=system syst=system prot=protection schls=schools sch=schools wks=works hsg=housing ind=industry"
     ).split()
 )
-#: Everyday words for the words in a body's name.
+#: Everyday words for the words in a body's name; only for those who ask for them.
 EVERYDAY = {"visitor": "tourism", "visitors": "tourism", "cops": "police", "roads": "transportation"}
 #: Words that say what kind of body it is.
 HEADS = set(
@@ -94,13 +94,44 @@ def _edits_between(a: str, b: str, much_rarer: bool) -> int:
     return 2 if max(len(a), len(b)) >= 8 or much_rarer else 1
 
 
+def learned_short_words(words: DataFrame, *, support: int = 2, share: float = 0.6) -> DataFrame:
+    """``token, _long``: words that are short for a longer one, told from names that agree in all their other words.
+
+    A word stands for one with the same first letter that has all its letters in order and that at least as many names
+    hold, if at least ``support`` contexts (all other words of a name, in any order) have both, and ``share`` of those
+    in which it may stand for anything. ``words`` has ``_name, token``.
+    """
+    telling = words.where(~F.col("token").isin(sorted(SMALL)))
+    lines = telling.groupBy("_name").agg(F.array_sort(F.collect_list("token")).alias("_t")).where(F.size("_t") >= 3)
+    slots = lines.select(
+        F.explode(
+            F.transform("_t", lambda t, i: F.struct(t.alias("token"), F.xxhash64(F.array_join(F.filter("_t", lambda _, j: j != i), " "), F.substring(t, 1, 1)).alias("_c")))
+        ).alias("x")
+    ).select("x.*").distinct()
+    held = checkpoint(telling.groupBy("token").agg(F.count_distinct("_name").alias("_n")))
+    slots = checkpoint(slots.join(held, "token"))
+    longer = slots.select("_c", F.col("token").alias("_long"), F.col("_n").alias("_m"))
+    pairs = slots.join(longer, "_c").where((F.length("token") > 1) & (F.length("token") < F.length("_long")) & (F.col("_m") >= F.col("_n")))
+    counted = pairs.where(F.rlike(F.col("_long"), _in_order(F.col("token")))).groupBy("token", "_long").agg(F.count("*").alias("k"), F.max("_m").alias("_m"))
+    best = counted.groupBy("token").agg(F.sum("k").alias("all"), F.max(F.struct("k", "_m", "_long")).alias("b"))
+    return best.where((F.col("b.k") >= support) & (F.col("b.k") >= share * F.col("all"))).select("token", F.col("b._long").alias("_long"))
+
+
+def _spelled_out(words: DataFrame, short: DataFrame) -> DataFrame:
+    """The words with the short ones replaced; one that stands for another short one goes on to what that one means."""
+    short = checkpoint(short)
+    then = short.select(F.col("token").alias("_long"), F.col("_long").alias("_then"))
+    short = short.join(then, "_long", "left").select("token", F.coalesce("_then", "_long").alias("_long"))
+    return checkpoint(words.join(short, "token", "left").select("_name", "_pos", F.coalesce("_long", "token").alias("token")))
+
+
 def corrections(words: DataFrame, *, ratio: int = 4) -> DataFrame:
     """``token, _right``: words that are a few edits away from one that at least ``ratio`` times as many names hold.
 
     ``words`` has ``_name, token``. Of several, the nearest and then the most held one is right.
     """
     held = words.groupBy("token").agg(F.count_distinct("_name").alias("n"))
-    known = sorted(LEVELS | SMALL | TITLES | set(SHORT_WORDS) | set(SHORT_WORDS.values()) | set(NICKNAMES) | set(FORMAL))
+    known = sorted(LEVELS | SMALL | TITLES | set(NICKNAMES) | set(FORMAL))
     fixed = words.sparkSession.createDataFrame([(w,) for w in known], "token string")
     # Known words are right however rare they are.
     held = checkpoint(
@@ -110,7 +141,11 @@ def corrections(words: DataFrame, *, ratio: int = 4) -> DataFrame:
     )
     length = F.length("token")
     index = held.where(length >= 4).select(F.col("token").alias("_right"), F.col("n").alias("_m"), F.col("_fixed").alias("_sure"), F.explode(deletes(F.col("token"))).alias("_left"))
-    asked = held.where((length >= 4) & ~F.col("_fixed") & ~F.col("token").rlike(r"\d")).select("token", "n", F.explode(deletes(F.col("token"), _most_edits(length))).alias("_left"))
+    # A word that may be short for one of the known words of bodies is no misspelling of another one.
+    shortened = F.exists(
+        F.array(*map(F.lit, sorted(LEVELS | HEADS))), lambda w: (length <= 0.75 * F.length(w)) & F.rlike(w, _in_order(F.col("token")))
+    )
+    asked = held.where((length >= 4) & ~F.col("_fixed") & ~F.col("token").rlike(r"\d") & ~shortened).select("token", "n", F.explode(deletes(F.col("token"), _most_edits(length))).alias("_left"))
     pairs = (
         asked.join(index, "_left")
         .where((F.col("token") != F.col("_right")) & ((F.col("_m") >= ratio * F.col("n")) | (F.col("_sure") & (F.col("_m") >= F.col("n")))))
@@ -131,11 +166,13 @@ def corrections(words: DataFrame, *, ratio: int = 4) -> DataFrame:
     measured = pairs.mapInPandas(near, "token string, _right string, _m long, n long, _d double")
     best = F.min(F.struct("_d", (-F.col("_m")).alias("m"), "_right")).alias("b")
     once = checkpoint(measured.groupBy("token").agg(best).select("token", "b._right"))
-    # What a word is corrected to may be a more usual misspelling itself.
-    for _ in range(2):
+    # What a word is corrected to may be a more usual misspelling itself. Each correction is held by more names than the
+    # word, or is known and held by as many, so that doubling the steps ends.
+    while True:
         further = once.select(F.col("token").alias("_right"), F.col("_right").alias("_then"))
-        once = once.join(further, "_right", "left").select("token", F.coalesce("_then", "_right").alias("_right"))
-    return once
+        if once.join(further, "_right", "left_semi").isEmpty():
+            return once
+        once = checkpoint(once.join(further, "_right", "left").select("token", F.coalesce("_then", "_right").alias("_right")))
 
 
 def short_forms(words: list[str]) -> set[str]:
@@ -148,14 +185,13 @@ def short_forms(words: list[str]) -> set[str]:
 
 def profile(name: str, tokens: list[str], places: list[bool]) -> dict:
     """What a name tells: of a body ``place, level, words, short``, of a person ``surname, given, middle``."""
-    expanded = [SHORT_WORDS.get(t, t) for t in tokens]
     is_place = dict(zip(tokens, places, strict=True))
-    level = next((t for t in expanded if t in LEVELS), "")
+    level = next((t for t in tokens if t in LEVELS), "")
     spots = [t for t in tokens if is_place[t]]
     out = {"place": "", "level": level, "words": [], "natural": [], "short": "", "surname": "", "given": "", "middle": ""}
     if spots or level:
         out["place"] = spots[0] if spots else ""
-        rest = [EVERYDAY.get(t, t) for t, raw in zip(expanded, tokens, strict=True) if t not in LEVELS and raw != out["place"]]
+        rest = [t for t in tokens if t not in LEVELS and t != out["place"]]
         out["natural"] = _natural(name, rest)
         out["words"] = sorted({t for t in rest if t not in SMALL})
         if len(out["words"]) == 1 and len(out["words"][0]) <= 6 and len(rest) == 1:
@@ -163,7 +199,7 @@ def profile(name: str, tokens: list[str], places: list[bool]) -> dict:
         return out
     people = [t for t in tokens if t not in TITLES]
     if not 2 <= len(people) <= 4 or any(t in SMALL and len(t) > 1 for t in people):
-        out["words"] = sorted({t for t in expanded if t not in SMALL})
+        out["words"] = sorted({t for t in tokens if t not in SMALL})
         return out
     first, *others = people
     if "," in name and not re.search(r",\s*(?:jr|sr|ph\.?d|m\.?d|esq)\.?\s*$", name.lower()):
@@ -208,18 +244,22 @@ def _profiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _PROFILE = "_name string, person boolean, place string, level string, words array<string>, short string, forms array<string>, middle string"
 
 
-def name_profiles(names: DataFrame) -> DataFrame:
-    """One profile a distinct name in ``_name``: words corrected, places told from the company they keep."""
+def name_profiles(names: DataFrame, short_words: Mapping[str, str] | None = None) -> DataFrame:
+    """One profile a distinct name in ``_name``: words spelled out and corrected, places told from their company."""
     split = checkpoint(names.mapInPandas(_tokenise, "_name string, _tokens array<string>"))
     words = split.select("_name", F.posexplode("_tokens").alias("_pos", "token"))
+    if short_words:
+        given = words.sparkSession.createDataFrame(sorted(short_words.items()), "token string, _long string")
+        words = _spelled_out(words, given)
+    # Names with two short words agree with others once the first is spelled out, misspelt ones once they are corrected.
+    for _ in range(2):
+        words = _spelled_out(words, learned_short_words(words))
     right = corrections(words)
-    fixed = (
-        words.join(right, "token", "left")
-        .select("_name", "_pos", F.coalesce("_right", "token").alias("token"))
-    )
+    fixed = words.join(right, "token", "left").select("_name", "_pos", F.coalesce("_right", "token").alias("token"))
     fixed = checkpoint(fixed)
+    fixed = _spelled_out(fixed, learned_short_words(fixed))
     # A place stands before its level, or after "level of".
-    levels = sorted(LEVELS | {short for short, word in SHORT_WORDS.items() if word in LEVELS})
+    levels = sorted(LEVELS)
     line = fixed.groupBy("_name").agg(F.array_sort(F.collect_list(F.struct("_pos", "token"))).alias("_line"))
     line = line.select("_name", F.transform("_line", lambda x: x["token"]).alias("_tokens"))
     beside = F.transform(
@@ -236,7 +276,7 @@ def name_profiles(names: DataFrame) -> DataFrame:
     places = (
         marked.groupBy("token")
         .agg(F.count_if("_beside").alias("b"), F.count("*").alias("n"))
-        .where((F.col("b") * 3 >= F.col("n")) & (F.length("token") > 2) & ~F.col("token").isin(sorted(SMALL | LEVELS | set(SHORT_WORDS.values()))))
+        .where((F.col("b") * 3 >= F.col("n")) & (F.length("token") > 2) & ~F.col("token").isin(sorted(SMALL | LEVELS | HEADS)))
         .select("token", F.lit(True).alias("_place"))
     )
     told = (
@@ -255,7 +295,7 @@ def _merged(entities: DataFrame) -> DataFrame:
         F.max("person").alias("person"),
         F.max("place").alias("place"),
         F.max("level").alias("level"),
-        F.max_by("words", F.struct(F.size("words"), F.concat_ws(" ", "words"))).alias("words"),
+        flat("words").alias("words"),
         flat("forms").alias("forms"),
         F.max("middle").alias("middle"),
         F.max("complete").alias("complete"),
@@ -263,15 +303,16 @@ def _merged(entities: DataFrame) -> DataFrame:
     )
 
 
-def resolve_names(values: DataFrame, name: str, *, rounds: int = 8) -> DataFrame:
+def resolve_names(values: DataFrame, name: str, *, short_words: Mapping[str, str] | None = None) -> DataFrame:
     """``name, entity``: every distinct string and the entity that it names.
 
     Strings are kept as stored; null and blank ones name nothing and are left out, repeated ones count once. A name
-    without a partner is its own entity. ``rounds`` only guards the loop: it ends when a round merges nothing.
-    An empty table gives no rows; other columns are dropped.
+    without a partner is its own entity. Rounds go on until one merges nothing; each lowers the number of entities.
+    ``short_words`` are abbreviations known beforehand; without them they are learned from the names. An empty table
+    gives no rows; other columns are dropped.
     """
     names = values.select(F.col(name).alias("_name")).where(F.col("_name").rlike(r"[\p{L}\p{N}]")).distinct()
-    profiles = checkpoint(name_profiles(names))
+    profiles = checkpoint(name_profiles(names, short_words))
     person = F.col("person")
     whole_person = person & (F.length("short") > 1) & (F.size("forms") == 1)
     headed = F.exists("words", lambda w: w.isin(sorted(HEADS)))
@@ -282,10 +323,8 @@ def resolve_names(values: DataFrame, name: str, *, rounds: int = 8) -> DataFrame
     current = checkpoint(
         profiles.withColumn("entity", F.md5(key)).withColumn("complete", (whole_person | whole_body).cast("int"))
     )
-    for _ in range(rounds):
-        entities = _merged(current)
-        # Partial words of a body must name at least as many other profiles before they count as a body of their own.
-        moves = checkpoint(_rematch(entities))
+    while True:
+        moves = checkpoint(_rematch(_merged(current)))
         if moves.isEmpty():
             break
         current = checkpoint(
@@ -297,6 +336,21 @@ def resolve_names(values: DataFrame, name: str, *, rounds: int = 8) -> DataFrame
     return current.select(F.col("_name").alias(name), "entity")
 
 
+def _line(words: Column, level: Column) -> Column:
+    """The words of a body and its level, in order."""
+    return F.array_sort(F.filter(F.concat(words, F.array(level)), lambda w: w != ""))
+
+
+def _initials(words: Column, level: Column) -> Column:
+    """A key of the first letters of a body's words and level."""
+    return F.concat(F.lit("#"), F.array_join(F.transform(_line(words, level), lambda w: F.substring(w, 1, 1)), ""))
+
+
+def _in_order(word: Column) -> Column:
+    """A pattern of the words that have all letters of this one in order, from the first on."""
+    return F.concat(F.lit("^"), F.regexp_replace(word, "(.)", "$1.*"))
+
+
 def _rematch(entities: DataFrame) -> DataFrame:
     """``entity, _into``: incomplete profiles with the only profile they can mean."""
     e = checkpoint(entities)
@@ -307,7 +361,7 @@ def _rematch(entities: DataFrame) -> DataFrame:
     part = e.where("complete = 0").withColumn("short", F.get("shorts", F.lit(0)))
     # Keys under which a complete body can be asked for: its short forms and each of its words; a person's given name
     # and initial. One-word profiles ask under the word and as a short form.
-    body_keys = F.array_distinct(F.concat("_forms", "_words"))
+    body_keys = F.array_distinct(F.concat("_forms", "_words", F.array(_initials(F.col("_words"), F.col("_level")))))
     person_keys = F.flatten(F.transform("_forms", lambda f: F.array(f, F.substring(f, 1, 1))))
     offered = whole.withColumn("_key", F.explode(F.when(F.col("person"), F.array_distinct(person_keys)).otherwise(body_keys)))
     wanted = part.withColumn(
@@ -315,17 +369,26 @@ def _rematch(entities: DataFrame) -> DataFrame:
         F.explode_outer(
             F.when(F.col("person") & (F.length("short") == 1), F.array("short"))
             .when(F.col("person"), F.col("forms"))
-            .otherwise(F.slice(F.array_sort("words", lambda a, b: F.length(b) - F.length(a)), 1, 1))
+            .otherwise(
+                F.concat(
+                    F.slice(F.array_sort("words", lambda a, b: F.length(b) - F.length(a)), 1, 1),
+                    F.array(_initials(F.col("words"), F.col("level"))),
+                )
+            )
         ),
     )
     level_fits = (F.col("level") == "") | (F.col("level") == F.col("_level"))
     subset = F.size(F.array_except("words", "_words")) == 0
     short_fits = (F.size("words") == 1) & F.exists("_forms", lambda f: f == F.get("words", F.lit(0)))
+    aligned = F.forall(
+        F.arrays_zip(_line(F.col("words"), F.col("level")).alias("a"), _line(F.col("_words"), F.col("_level")).alias("b")),
+        lambda x: F.coalesce((x["a"] == x["b"]) | ((F.length(x["a"]) > 1) & F.rlike(x["b"], _in_order(x["a"]))), F.lit(False)),
+    )
     middle_fits = (F.col("middle") == "") | (F.col("_middle") == "") | (F.col("middle") == F.col("_middle"))
-    fits = F.when(F.col("person"), middle_fits).otherwise(level_fits & (subset | short_fits))
-    # Equal words beat a subset of them.
+    fits = F.when(F.col("person"), middle_fits).otherwise(level_fits & (subset | short_fits | aligned))
+    # Equal words beat a subset of them, and these beat words that may be short for others.
     rank = F.when(F.col("person"), F.when((F.col("middle") != "") & (F.col("middle") == F.col("_middle")), 0).otherwise(1)).otherwise(
-        F.when(F.size(F.array_except("_words", "words")) == 0, 0).otherwise(1)
+        F.when(subset & (F.size(F.array_except("_words", "words")) == 0), 0).when(subset | short_fits, 1).otherwise(2)
     )
     found = (
         wanted.join(offered, ["person", "place", "_key"])

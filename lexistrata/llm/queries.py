@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexistrata.engine import table
+from lexistrata.engine import checkpoint, table
 from lexistrata.functions.cleaning import clean
 from lexistrata.llm import set_join, value_mapping
 from lexistrata.llm.leakage import leaked_items
@@ -82,13 +82,12 @@ def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The entry of the format list meant by every distinct format or media type, 0 if none."""
     sample, listed = table(spark, sf_dir, "sample_records"), table(spark, sf_dir, "format_list")
-    typed = sample.select(
-        F.explode(F.flatten(F.array(F.col("resources.format"), F.col("resources.mimetype"), F.col("resources.mediaType")))).alias("value")
-    )
-    dictionary = value_mapping.reference_forms(
-        listed, "format_id", ["label", "media_type", "extension"], value_mapping.alias_table(listed, "format_id", "label")
-    )
-    mapped = value_mapping.map_values(typed, "value", dictionary)
+    typed = sample.select(F.explode("resources").alias("r")).select(F.array("r.format", "r.mimetype", "r.mediaType").alias("t"))
+    dictionary = checkpoint(value_mapping.reference_forms(listed, "format_id", ["label", "media_type", "extension"], None))
+    # What stands beside a name in the same resource teaches what it means.
+    pairs = F.array(*(F.struct(F.col("t")[i].alias("value"), F.col("t")[j].alias("other")) for i in range(3) for j in range(3) if i != j))
+    learned = value_mapping.learned_forms(typed.select(F.inline(pairs)), dictionary)
+    mapped = value_mapping.map_values(typed.select(F.explode("t").alias("value")), "value", dictionary.unionByName(learned))
     return mapped.select("value", F.col("entry").alias("format_id"))
 
 

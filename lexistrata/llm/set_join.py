@@ -156,7 +156,10 @@ def _hot_tokens(sets: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _emit(sized: DataFrame, schemes: list[tuple[int, int, int]], over: int, of: int, hot: Broadcast, asked: Broadcast | None) -> DataFrame:
-    """``_sig, _kind, _id, _n`` of all sets: as the larger ones of a pair, or as the smaller ones where a filter is given."""
+    """``_sig, _kind, _id, _n, _u, _v`` of all sets: as the larger ones of a pair, or the smaller ones where a filter is given.
+
+    ``_u`` and ``_v`` are 128 bits, one for each token of the set: sets that differ in a bit differ in a token.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, share = hot.value
@@ -165,6 +168,9 @@ def _emit(sized: DataFrame, schemes: list[tuple[int, int, int]], over: int, of:
             ids, sizes = batch.column("_id").to_numpy(), np.diff(column.offsets.to_numpy())
             tokens = column.flatten().to_numpy()
             begins = np.cumsum(sizes) - sizes
+            masks, place = np.zeros((2, len(sizes)), np.int64), _mixed(tokens.view(np.uint64) + np.uint64(1)) & np.uint64(127)
+            bit = (np.uint64(1) << (place & np.uint64(63))).view(np.int64)
+            np.bitwise_or.at(masks, ((place >> np.uint64(6)).astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)), bit)
             for scheme, (first, last, h) in enumerate(schemes):
                 # Smaller partners of a set in this band have at least over/of of its size.
                 fits = (sizes >= first) & (sizes <= last) if asked is None else (sizes <= last) & (sizes * of >= first * over)
@@ -185,15 +191,16 @@ def _emit(sized: DataFrame, schemes: list[tuple[int, int, int]], over: int, of:
                     kept = may_hold(asked.value, sig)
                     sig, kind, which = sig[kept], kind[kept], which[kept]
                 frame = pd.DataFrame({"_sig": sig, "_kind": kind, "_id": ids[chosen[which]], "_n": sizes[chosen[which]].astype(np.int32)})
+                frame["_u"], frame["_v"] = masks[0][chosen[which]], masks[1][chosen[which]]
                 yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
 
-    return sized.select("_id", "_tokens").mapInArrow(emit, "_sig long, _kind tinyint, _id long, _n int")
+    return sized.select("_id", "_tokens").mapInArrow(emit, "_sig long, _kind tinyint, _id long, _n int, _u long, _v long")
 
 
 def similar_classes(sets: DataFrame, over: int, of: int, smallest: int) -> DataFrame:
     """``_a, _b``: the pairs of different classes (``_a < _b``) that share at least over/of of their union.
 
-    Only signatures and numbers of sets are joined; token lists are fetched for candidates. What the smaller sets emit is
+    Only signatures, numbers and a few bits of sets are joined; token lists are fetched for candidates. What the smaller sets emit is
     first held against a filter of the signatures that larger sets ask for, so that empty and other common segments that
     nobody asks for never leave their task.
     """
@@ -206,13 +213,16 @@ def similar_classes(sets: DataFrame, over: int, of: int, smallest: int) -> DataF
     hot = sized.sparkSession.sparkContext.broadcast(_hot_tokens(sized, n) if n else none)
     big = checkpoint(_emit(sized, schemes, over, of, hot, None))
     small = _emit(sized, schemes, over, of, hot, key_filter(big, "_sig"))
-    left = big.select("_sig", F.col("_kind").alias("_k1"), F.col("_id").alias("_x"), F.col("_n").alias("_n1"))
-    right = small.select("_sig", F.col("_kind").alias("_k2"), F.col("_id").alias("_y"), F.col("_n").alias("_n2"))
+    left = big.select("_sig", F.col("_kind").alias("_k1"), F.col("_id").alias("_x"), F.col("_n").alias("_n1"), F.col("_u").alias("_u1"), F.col("_v").alias("_v1"))
+    right = small.select("_sig", F.col("_kind").alias("_k2"), F.col("_id").alias("_y"), F.col("_n").alias("_n2"), F.col("_u").alias("_u2"), F.col("_v").alias("_v2"))
     meets = (F.col("_k2") == 0) | (F.col("_k1") == 0)
     ordered = (F.col("_n1") > F.col("_n2")) | ((F.col("_n1") == F.col("_n2")) & (F.col("_x") != F.col("_y")))
+    # Similar sets differ in at most this share of their sizes' sum; bits that differ are tokens that do.
+    apart = F.bit_count(F.col("_u1").bitwiseXOR(F.col("_u2"))) + F.bit_count(F.col("_v1").bitwiseXOR(F.col("_v2")))
+    near = apart * (of + over) <= (F.col("_n1") + F.col("_n2")) * (of - over)
     candidates = (
         left.join(right, "_sig")
-        .where(meets & ordered & (F.col("_n2") * of >= F.col("_n1") * over))
+        .where(meets & ordered & (F.col("_n2") * of >= F.col("_n1") * over) & near)
         .select(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y"))
         .distinct()
     )

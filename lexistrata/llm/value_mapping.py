@@ -1,6 +1,7 @@
 """Free-entered values led to the entry of a canonical list that they mean.
 
-Every form of the list (labels, codes, known other names) is indexed under the texts left after deleting up to two of its
+Other names of an entry are learned from what stands beside them in another field (``learned_forms``). Every form of the list
+(labels, codes, other names) is indexed under the texts left after deleting up to two of its
 first characters (symmetric deletes); a value is looked up under its own deletes, so that all forms within a bounded edit
 distance are found by equality. The index grows with the list, not with the data; it is counted and broadcast only below
 a bound, else joined by hash. Candidates are ranked by weighted Damerau-Levenshtein distance, then by how often the
@@ -9,8 +10,9 @@ entry occurs exactly in the data. Values without an entry are reported as entry
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ from lexistrata.functions.cleaning import clean
 PREFIX = 10
 MOST_BROADCAST = 200_000
 
-#: Other names of file formats, by label of the reference list.
+#: Other names of file formats, by label of the reference list; only for those who ask for them.
 ALIASES = {
     "CSV": "comma separated values|comma-separated text|comma delimited file|comma delimited|comma separated|csv utf-8"
     "|application/csv|text/x-csv|application/x-csv|text/comma-separated-values",
@@ -133,33 +135,71 @@ def allowed_edits(length: Column) -> Column:
 
 def weighted_distance(a: str, b: str, most: int) -> float | None:
     """Damerau-Levenshtein distance with cheap swaps and doubled letters, or none if over ``most`` plain edits."""
-    if abs(len(a) - len(b)) > most:
-        return None
-    rows = [[(j, float(j)) for j in range(len(b) + 1)]]
-    for i in range(1, len(a) + 1):
-        row = [(i, float(i))]
-        for j in range(1, len(b) + 1):
-            same = a[i - 1] == b[j - 1]
-            twice_a = i > 1 and a[i - 1] == a[i - 2]
-            twice_b = j > 1 and b[j - 1] == b[j - 2]
-            up, left, cross = rows[i - 1][j], row[j - 1], rows[i - 1][j - 1]
-            options = [
-                (up[0] + 1, up[1] + (0.7 if twice_a else 1)),
-                (left[0] + 1, left[1] + (0.7 if twice_b else 1)),
-                (cross[0] + (not same), cross[1] + (0 if same else 1 if i > 1 and j > 1 else 1.2)),
-            ]
-            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                swap = rows[i - 2][j - 2]
-                options.append((swap[0] + 1, swap[1] + 0.8))
-            row.append(min(options))
-        rows.append(row)
-    edits, weight = rows[-1][-1]
-    return weight if edits <= most else None
+    found = weighted_distances([a], [b], [most])[0]
+    return None if np.isnan(found) else float(found)
+
+
+#: An edit outweighs any sum of weights, so that the fewest edits come first and of those the least weight.
+_EDIT = 4096.0
+
+
+def _letters(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(t) for t in texts])
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
+    table = np.zeros((len(texts), sizes.max(initial=0) + 1), np.uint32)
+    table[np.arange(table.shape[1])[None, :] < sizes[:, None]] = flat
+    return table, sizes
+
+
+def weighted_distances(left: Sequence[str], right: Sequence[str], most: Sequence[int]) -> np.ndarray:
+    """``weighted_distance`` of many pairs at once, not a number where it is over: a row of all pairs' tables at a time."""
+    out = np.full(len(left), np.nan)
+    sizes = np.array([(len(a), len(b)) for a, b in zip(left, right, strict=True)]).reshape(-1, 2)
+    near = np.flatnonzero(np.abs(sizes[:, 0] - sizes[:, 1]) <= np.asarray(most))
+    order = near[np.argsort(sizes[near].max(axis=1), kind="stable")]
+    first = 0
+    while first < len(order):
+        # Pairs of like lengths share a table of bounded size.
+        last = first + 1
+        while last < len(order) and (last - first) * (sizes[order[last]].max() + 1) <= 200_000:
+            last += 1
+        some = order[first:last]
+        out[some] = _distances([left[i] for i in some], [right[i] for i in some])
+        first = last
+    edits = np.floor(out / _EDIT)
+    return np.where(edits <= np.asarray(most), np.round(out - edits * _EDIT, 6), np.nan)
+
+
+def _distances(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    a, na = _letters(left)
+    b, nb = _letters(right)
+    wide = b.shape[1]
+    twice_b = np.zeros(b.shape, bool)
+    twice_b[:, 1:] = b[:, 1:] == b[:, :-1]
+    rows = [np.tile(np.arange(wide) * (_EDIT + 1), (len(left), 1))]
+    out = np.where(na == 0, rows[0][np.arange(len(left)), nb], 0.0)
+    for i in range(1, a.shape[1]):
+        letter, before = a[:, i - 1], a[:, i - 2] if i > 1 else None
+        up = rows[-1] + _EDIT + (np.where(letter == before, 0.7, 1.0)[:, None] if i > 1 else 1.0)
+        row = np.empty_like(rows[-1])
+        row[:, 0] = i * (_EDIT + 1)
+        for j in range(1, wide):
+            same = letter == b[:, j - 1]
+            best = np.minimum(up[:, j], rows[-1][:, j - 1] + np.where(same, 0.0, _EDIT + (1.0 if i > 1 and j > 1 else 1.2)))
+            best = np.minimum(best, row[:, j - 1] + _EDIT + np.where(twice_b[:, j - 1] if j > 1 else False, 0.7, 1.0))
+            if i > 1 and j > 1:
+                swapped = (letter == b[:, j - 2]) & (before == b[:, j - 1])
+                best = np.where(swapped, np.minimum(best, rows[-2][:, j - 2] + _EDIT + 0.8), best)
+            row[:, j] = best
+        rows = [rows[-1], row]
+        ended = na == i
+        out[ended] = row[ended, nb[ended]]
+    return out
 
 
 @F.pandas_udf(DoubleType())
 def _distance(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
-    return pd.Series([weighted_distance(x, y, m) for x, y, m in zip(a, b, most, strict=True)], dtype="float64")
+    return pd.Series(weighted_distances(a.tolist(), b.tolist(), most.to_numpy()))
 
 
 def reference_forms(reference: DataFrame, entry_id: str, columns: Sequence[str], aliases: DataFrame | None) -> DataFrame:
@@ -177,13 +217,31 @@ def reference_forms(reference: DataFrame, entry_id: str, columns: Sequence[str],
     )
 
 
-def alias_table(reference: DataFrame, entry_id: str, label: str) -> DataFrame:
-    """``entry, name`` of the known other names, by label."""
-    names = F.create_map(*[F.lit(x) for key, value in ALIASES.items() for x in (key.lower(), value)])
-    found = F.try_element_at(names, F.lower(F.col(label)))
+def alias_table(reference: DataFrame, entry_id: str, label: str, names: Mapping[str, str] = ALIASES) -> DataFrame:
+    """``entry, name`` of other names that are known beforehand, by label, several parted by bars."""
+    known = F.create_map(*[F.lit(x) for key, value in names.items() for x in (key.lower(), value)])
+    found = F.try_element_at(known, F.lower(F.col(label)))
     return reference.select(F.col(entry_id).alias("entry"), F.explode(F.split(found, r"\|")).alias("name"))
 
 
+def learned_forms(beside: DataFrame, dictionary: DataFrame, *, support: int = 4, share: float = 0.8) -> DataFrame:
+    """``entry, form`` of other names that the data teach: forms that stand beside values of one entry.
+
+    ``beside`` has ``value, other``: what was typed for a thing, and what else was typed for the same thing in another
+    field. A form that the dictionary lacks is a name of an entry if at least ``support`` others beside it are forms of
+    the dictionary and at least ``share`` of these are that entry's. Counts are combined before they are shuffled.
+    """
+    counted = beside.where("value is not null and other is not null").groupBy("value", "other").agg(F.count("*").alias("n"))
+    counted = checkpoint(counted)
+    others = counted.select("other").distinct().select("other", F.posexplode(forms(F.col("other"))).alias("_rank", "form"))
+    meant = others.join(_small(dictionary), "form").groupBy("other").agg(F.min_by("entry", "_rank").alias("entry"))
+    named = counted.join(meant, "other").groupBy("value", "entry").agg(F.sum("n").alias("n"))
+    tried = named.select("entry", "n", F.explode(forms(F.col("value"))).alias("form")).groupBy("form", "entry").agg(F.sum("n").alias("n"))
+    told = tried.groupBy("form").agg(F.sum("n").alias("all"), F.max_by("entry", F.struct("n", (-F.col("entry")).alias("e"))).alias("entry"), F.max("n").alias("top"))
+    sure = told.where((F.col("all") >= support) & (F.col("top") >= share * F.col("all")) & F.col("form").rlike(r"\p{L}"))
+    return sure.join(_small(dictionary), "form", "left_anti").select("entry", "form")
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 

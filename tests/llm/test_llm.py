@@ -49,6 +49,57 @@ def test_values_are_mapped_or_reported(spark):
     assert value_mapping.map_values(typed.limit(0), "value", dictionary).count() == 0
 
 
+def test_other_names_are_learned_from_what_stands_beside_them(spark):
+    listed = spark.createDataFrame([(1, "CSV", "text/csv"), (2, "JSON", "application/json")], "format_id int, label string, media_type string")
+    dictionary = value_mapping.reference_forms(listed, "format_id", ["label", "media_type"], None)
+    typed = [("Comma Separated", "text/csv")] * 5 + [("unknown", m) for m in ("text/csv", "application/json")] * 5 + [("rare name", "text/csv"), (None, "text/csv"), ("x", None)]
+    beside = spark.createDataFrame(typed, "value string, other string")
+    learned = value_mapping.learned_forms(beside, dictionary)
+    assert [tuple(r) for r in learned.select("entry", "form").collect()] == [(1, "comma separated")]
+    values = spark.createDataFrame([("comma separated",), ("comma seperated",), ("unknown",), ("json",)], "value string")
+    got = {r.value: r.entry for r in value_mapping.map_values(values, "value", dictionary.unionByName(learned)).collect()}
+    assert got == {"comma separated": 1, "comma seperated": 1, "unknown": 0, "json": 2}
+    assert value_mapping.learned_forms(beside.limit(0), dictionary).count() == 0
+
+
+def test_distances_of_a_batch_equal_those_of_each_pair():
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abc", k=rng.randint(0, 9))) for _ in range(300)]
+    pairs = list(zip(texts, [t[: rng.randint(0, len(t))] + rng.choice(["", "a", "bb"]) + t[rng.randint(0, len(t)) :] for t in texts], strict=True))
+
+    def plain(a, b):
+        rows = {}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                if not i or not j:
+                    rows[i, j] = (i + j, float(i + j))
+                    continue
+                (u, x), (v, y), (w, z) = rows[i - 1, j], rows[i, j - 1], rows[i - 1, j - 1]
+                same = a[i - 1] == b[j - 1]
+                options = [
+                    (u + 1, x + (0.7 if a[max(i - 2, 0)] == a[i - 1] and i > 1 else 1)),
+                    (v + 1, y + (0.7 if b[max(j - 2, 0)] == b[j - 1] and j > 1 else 1)),
+                    (w + (not same), z + (0 if same else 1 if i > 1 and j > 1 else 1.2)),
+                ]
+                if i > 1 and j > 1 and a[i - 2 : i] == b[j - 2 : j][::-1]:
+                    options.append((rows[i - 2, j - 2][0] + 1, rows[i - 2, j - 2][1] + 0.8))
+                rows[i, j] = min(options)
+        return rows[len(a), len(b)]
+
+    got = value_mapping.weighted_distances([a for a, _ in pairs], [b for _, b in pairs], [2] * len(pairs))
+    for (a, b), found in zip(pairs, got, strict=True):
+        edits, weight = plain(a, b)
+        assert (math.isnan(found) and edits > 2) or (edits <= 2 and abs(found - weight) < 1e-5), (a, b)
+
+
+def test_abbreviations_are_learned_from_names_that_else_agree(spark):
+    names = [f"{place} County {dept} of {what}" for place in ("Arvik", "Bolmar", "Cintol") for what in ("Health", "Roads") for dept in ("Department", "Dept")] + ["Arvik Cnty Dept of Health"]
+    members = name_variants.resolve_names(spark.createDataFrame([(n,) for n in names], "name string"), "name")
+    entity = {r.name: r.entity for r in members.collect()}
+    assert entity["Arvik Cnty Dept of Health"] == entity["Arvik County Dept of Health"] == entity["Arvik County Department of Health"]
+    assert len(set(entity.values())) == 6
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_similar_sets_equal_brute_force(spark, seed):
     rng = random.Random(seed)

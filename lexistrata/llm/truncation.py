@@ -58,8 +58,8 @@ def units(text: str) -> tuple[str, bool]:
         text = _BROKEN.sub("", text).rstrip()
     text = _MARK.sub("", text)
     text = _RUNS.sub(" ", text)
-    text = re.sub(r" ?\n[\s]*", "\n", text).translate(_NINES)
-    return text if text.isascii() else re.sub(r"\d", "9", text), broken
+    text = re.sub(r" ?\n[\s]*", "\n", text)
+    return text.translate(_NINES) if text.isascii() else re.sub(r"\d", "9", text), broken
 
 
 def final_units(text: str) -> tuple[str, bool]:
@@ -104,29 +104,38 @@ def contexts(codes: np.ndarray, listed: np.ndarray, at: np.ndarray, asked: np.nd
             yield kept, hashed
 
 
-def final_contexts(text: str) -> tuple[float | None, bool, list[int], list[bool]]:
-    """Log-odds that need no counts, else none; whether a link ends the text; its final contexts, and which it has itself.
+def _tails(units_: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, list entries and places of the final contexts of some texts, as ``contexts`` takes them."""
+    wide = ORDERS[-1]
+    codes = np.full((len(units_), wide), _NONE)
+    for row, unit in zip(codes, units_, strict=True):
+        tail = np.frombuffer(("\n" + unit)[-wide:].encode("utf-32-le", "replace"), np.uint32)
+        row[wide - len(tail) :] = tail
+    listed = np.array([bool(_BULLET.match(unit[unit.rfind("\n") + 1 :])) for unit in units_], bool)
+    return codes.ravel(), np.repeat(listed, wide), np.arange(len(units_)) * wide + wide - 1
 
-    A link is looked up with spaces for its other marks, so that its longer contexts need not be among the text's own.
-    """
-    unit, broken = final_units(text)
-    if broken or not unit:
-        return 30.0 if broken else 0.0, False, [], []
-    codes, listed = _codes(unit)
-    own = [int(x[0]) for _, x in contexts(codes, listed, np.array([len(codes) - 1]))]
-    link = unit.rpartition(" ")[2].rpartition("\n")[2]
-    if "://" not in link:
-        return None, False, own, [True] * len(own)
-    codes, listed = _codes(re.sub(r"\W+", " ", link))
-    asked = [int(x[0]) for _, x in contexts(codes, listed, np.array([len(codes) - 1]))]
-    return None, True, asked, [x == y for x, y in zip(asked, own, strict=True)]
+
+def _hashes(units_: list[str]) -> np.ndarray:
+    return np.stack([hashed for _, hashed in contexts(*_tails(units_))], axis=1) if units_ else np.empty((0, len(ORDERS)), np.int64)
 
 
 def _ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each text, log-odds that need no counts, else its final contexts and which of them it has itself.
+
+    A link that ends a text is looked up with spaces for its other marks, so that its longer contexts need not be among
+    the text's own.
+    """
     for batch in batches:
-        found = [final_contexts(text) for text in batch["_text"]]
-        fixed, link, keys, own = zip(*found, strict=True) if found else ((), (), (), ())
-        yield batch[["_hash"]].assign(fixed=pd.array(fixed, "Float64"), link=list(link), keys=list(keys), own=list(own))
+        ends = [final_units(text) for text in batch["_text"]]
+        fixed = [30.0 if broken else None if unit else 0.0 for unit, broken in ends]
+        open_ = [i for i, value in enumerate(fixed) if value is None]
+        last = [ends[i][0].rpartition(" ")[2].rpartition("\n")[2] for i in open_]
+        own = _hashes([ends[i][0] for i in open_])
+        asked = _hashes([re.sub(r"\W+", " ", word) if "://" in word else ends[i][0] for i, word in zip(open_, last, strict=True)])
+        keys, mine, link = [[] for _ in ends], [[] for _ in ends], [False] * len(ends)
+        for row, i in enumerate(open_):
+            keys[i], mine[i], link[i] = asked[row].tolist(), (asked[row] == own[row]).tolist(), "://" in last[row]
+        yield batch[["_hash"]].assign(fixed=pd.array(fixed, "Float64"), link=link, keys=keys, own=mine)
 
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[list[str]]:

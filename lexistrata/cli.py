@@ -70,7 +70,11 @@ def fetch(a: argparse.Namespace) -> str:
     a.out.parent.mkdir(parents=True, exist_ok=True)
     n = 0
     with a.out.open("w", encoding="utf-8") as out:
-        pages = catalog.search_pages(a.endpoint, a.query, rows=a.rows, per_page=a.per_page, sleep=a.sleep, get=a.transport)
+        # What came before a page that fails is kept, as the stage promises, and the failure is told.
+        pages = catalog.search_pages(
+            a.endpoint, a.query, rows=a.rows, per_page=a.per_page, sleep=a.sleep, get=a.transport, partial=True,
+            failed=lambda why: print(f"Stopped after {n} records: {why}", file=sys.stderr),
+        )
         for results, _ in pages:
             for result in results:
                 out.write(json.dumps(catalog.canonical_record(result), ensure_ascii=False) + "\n")

@@ -1,14 +1,17 @@
 """Catalog search pages as a Spark data source.
 
-Pages follow a cursor, so that a read is one partition. The batch source stops at the wanted rows, at an empty page, at a
-page without a cursor or at an error, with what came before; the stream source's offset is the cursor.
+Pages follow a cursor, so that a read is one partition. The batch source stops at the wanted rows, at an empty page or at a
+page without a cursor; a page that fails is asked for again and then fails the read, unless partial results are wanted. The
+stream source's offset is the cursor: a page that fails leaves the offset where it is, so that nothing is passed over, and
+what lies between two offsets is read again page by page.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.error import HTTPError, URLError
 from urllib.parse import urlencode
 
@@ -70,16 +73,39 @@ def canonical_record(result: dict) -> dict:
 
 
 def search_pages(
-    endpoint: str, query: str = "", *, rows: int = 1000, per_page: int = 100, sleep: float = 0.2, after: str = "", get: Transport = http_get
+    endpoint: str,
+    query: str = "",
+    *,
+    rows: int = 1000,
+    per_page: int = 100,
+    sleep: float = 0.2,
+    after: str = "",
+    get: Transport = http_get,
+    partial: bool = True,
+    attempts: int = 3,
+    failed: Callable[[str], None] | None = None,
 ) -> Iterator[tuple[list[dict], str]]:
-    """Results and the next cursor, page by page."""
+    """Results and the next cursor, page by page.
+
+    A page is asked for up to ``attempts`` times. One that fails then ends the pages after ``failed`` was told why, or
+    raises where ``partial`` results are not wanted.
+    """
     wanted = rows
     while wanted > 0:
         size = min(per_page, wanted)
-        try:
-            page = get_page(page_url(endpoint, query, size, after), get)
-        except RuntimeError:
-            return
+        for attempt in range(attempts):
+            try:
+                page = get_page(page_url(endpoint, query, size, after), get)
+                break
+            except RuntimeError as error:
+                if attempt + 1 < attempts:
+                    time.sleep(sleep * 2**attempt)
+                    continue
+                if not partial:
+                    raise
+                if failed:
+                    failed(str(error))
+                return
         results = page_results(page)[:size]
         cursor = page.get("after")
         after = cursor if isinstance(cursor, str) else ""
@@ -102,8 +128,9 @@ class _Reader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:  # noqa: ARG002
         o, n = self.options, 0
         pages = search_pages(
-            o["endpoint"], o.get("query", ""), rows=int(o.get("rows", 1000)), per_page=int(o.get("perPage", 100)), sleep=float(o.get("sleep", 0.2)), get=self.get
-        )
+            o["endpoint"], o.get("query", ""), rows=int(o.get("rows", 1000)), per_page=int(o.get("perPage", 100)),
+            sleep=float(o.get("sleep", 0.2)), get=self.get, partial=o.get("partial", "false").lower() == "true",
+        )
         for results, _ in pages:
             for result in results:
                 n += 1
@@ -118,17 +145,24 @@ class _StreamReader(SimpleDataSourceStreamReader):
         return {"after": "", "n": 0, "done": False}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        """One page. A page that fails raises, so that the offset stays and the stream asks for it again."""
         if start["done"]:
             return iter([]), start
         o = self.options
         size = int(o.get("perPage", 100))
-        pages = list(search_pages(o["endpoint"], o.get("query", ""), rows=size, per_page=size, sleep=0, after=start["after"], get=self.get))
+        asked = search_pages(
+            o["endpoint"], o.get("query", ""), rows=size, per_page=size, sleep=float(o.get("sleep", 0.2)), after=start["after"], get=self.get, partial=False
+        )
+        pages = list(itertools.islice(asked, 1))
         rows = [(start["n"] + i + 1, json.dumps(canonical_record(r), ensure_ascii=False)) for i, r in enumerate(r for p, _ in pages for r in p)]
         after = pages[-1][1] if pages else ""
         return iter(rows), {"after": after, "n": start["n"] + len(rows), "done": not after}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802, ARG002
-        return self.read(start)[0]
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
+        """All pages from one offset to another."""
+        while start != end and not start["done"]:
+            rows, start = self.read(start)
+            yield from rows
 
 
 class CatalogSource(DataSource):

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -123,6 +123,27 @@ def child_table(df: DataFrame, keys: Sequence[str], doc: str, path: str) -> Data
     )
 
 
+def keys_as_list(value: Column) -> Column:
+    """The keys of a VARIANT object as a VARIANT list of texts; null for anything else."""
+    keys = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
+    return F.when(is_object(value), F.try_parse_json(F.to_json(keys)))
+
+
+def child_rows(df: DataFrame, keys: Sequence[str], lists: Mapping[str, Column]) -> DataFrame:
+    """The items of several lists of a row in one explosion: ``keys``, ``_path``, ``_ord``, ``_item``.
+
+    ``lists`` names VARIANT expressions; one object or scalar counts as a list of one, null and missing have no items.
+    """
+    def placed(path: str, value: Column) -> Column:
+        return F.transform(
+            F.coalesce(as_list(value), F.array().cast("array<variant>")),
+            lambda item, i: F.struct(F.lit(path).alias("_path"), i.alias("_ord"), item.alias("_item")),
+        )
+
+    every = F.concat(*(placed(path, value) for path, value in lists.items()))
+    return df.select(*keys, F.inline(every))
+
+
 def shred(df: DataFrame, keys: Sequence[str], doc: str, schema: DataFrame) -> dict[str, DataFrame]:
     """A lazy child table for every list of a merged schema, by path.
 

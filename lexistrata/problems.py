@@ -11,67 +11,53 @@ from lexistrata.engine import checkpoint, table
 from lexistrata.operators import nested, packed, timestamps
 
 
-def _values(rows: DataFrame, src: str, key: str, path: str, rec_pos: Column, pos: Column, value: Column) -> DataFrame:
+def _values(rows: DataFrame, src: str, key: str, path: str | Column, rec_pos: Column, pos: Column, value: Column) -> DataFrame:
+    """Rows with a value. Keys are unique and a place holds one value, so that nothing needs to be made distinct."""
     return (
         rows.select(
             F.lit(src).alias("src"),
             F.col(key).cast("long").alias("row_id"),
             rec_pos.cast("int").alias("rec_pos"),
-            F.lit(path).alias("path"),
+            (F.lit(path) if isinstance(path, str) else path).alias("path"),
             pos.cast("int").alias("pos"),
             value.alias("value"),
         )
         .where(F.length("value") > 0)
-        .distinct()
     )
 
 
-def _of_lines(raw: DataFrame) -> list[DataFrame]:
-    """Child rows of feed lines, whose records stand alone or in a ``results`` list."""
-    docs = raw.select("line_no", "payload", nested.parse_object(F.col("payload")).alias("_doc"))
+def _of_lines(raw: DataFrame) -> DataFrame:
+    """Child rows of feed lines, whose records stand alone or in a ``results`` list: every line is parsed once.
+
+    The schema over all lines tells where lists of records are; each line then gives its records, each record its children.
+    """
     seen = checkpoint(nested.merged_schema(raw, "payload", maps=["extras"]))
     kinds = {(row.path, row.kind) for row in seen.select("path", "kind").collect()}
     listed = [at for at in ("results", "data.results") if (at, "array") in kinds]
-    doc = F.col("_doc")
-    batches = [nested.member(doc, *at.split(".")) for at in listed]
-    is_list = [F.coalesce(F.schema_of_variant(batch).startswith("ARRAY"), F.lit(False)) for batch in batches]
-    alone = reduce(lambda a, b: a & ~b, is_list, F.lit(True))
-    homes = [("", docs.where(alone))]
-    homes += [
-        (at + nested.ITEM, docs.where(is_list[i] & reduce(lambda a, b: a & ~b, is_list[:i], F.lit(True))))
-        for i, at in enumerate(listed)
-    ]
+    docs = raw.select("line_no", nested.parse_object(F.col("payload")).alias("_doc")).where("_doc is not null")
+    lists = [F.try_variant_get(nested.member(F.col("_doc"), *at.split(".")), "$", "array<variant>") for at in listed]
+    found = docs.select("line_no", F.posexplode(F.coalesce(*lists, F.array("_doc"))).alias("_rec", "_item"))
+    records = found.where(nested.is_object(F.col("_item")))
+    dcat, extras = nested.member(F.col("_item"), "dcat"), nested.member(F.col("_item"), "extras")
+    holder = F.when(nested.is_object(dcat), dcat).otherwise(F.col("_item"))
+    children = nested.child_rows(
+        records,
+        ["line_no", "_rec"],
+        {
+            "resources.downloadURL": nested.member(F.col("_item"), "resources"),
+            "extras.key": F.when(~nested.is_object(extras), extras),
+            "contactPoint.hasEmail": nested.member(holder, "contactPoint"),
+            "extras keys": nested.keys_as_list(extras),
+        },
+    )
     text = lambda name: F.try_variant_get(F.col("_item"), f"$['{name}']", "string")
-    out = []
-    for home, lines in homes:
-        within = lambda path, h=home: f"{h}.{path}" if h else path
-        place = F.coalesce(F.get("_parent", F.lit(0)), F.lit(0))
-        for path, name in (("resources", "downloadURL"), ("extras", "key")):
-            if {(within(path), "array"), (within(path), "object")} & kinds:
-                items = nested.child_table(lines, ["line_no"], "_doc", within(path) + nested.ITEM)
-                own = F.when(nested.is_object(F.col("_item")), text(name))
-                if path == "extras":  # an object of extras is no item; its keys are read below
-                    items = items.where("not _single")
-                out.append(_values(items, "raw_records", "line_no", f"{path}.{name}", place, F.col("_ord"), own))
-        records = (
-            nested.child_table(lines, ["line_no"], "_doc", home)
-            if home
-            else lines.select("line_no", F.lit(0).alias("_ord"), F.col("_doc").alias("_item"))
-        ).where(nested.is_object(F.col("_item")))
-        pairs = F.try_variant_get(nested.member(F.col("_item"), "extras"), "$", "map<string,variant>")
-        keyed = records.where(nested.is_object(nested.member(F.col("_item"), "extras"))).select(
-            "line_no", "_ord", F.explode(F.map_keys(pairs)).alias("_key")
-        )
-        out.append(_values(keyed, "raw_records", "line_no", "extras.key", F.col("_ord"), F.lit(-1), F.col("_key")))
-        dcat = nested.member(F.col("_item"), "dcat")
-        holder = F.when(nested.is_object(dcat), dcat).otherwise(F.col("_item"))
-        held = records.select("line_no", F.col("_ord").alias("_rec"), holder.alias("_holder"))
-        contacts = nested.child_table(held, ["line_no", "_rec"], "_holder", "contactPoint" + nested.ITEM)
-        mail = F.when(nested.is_object(F.col("_item")), text("hasEmail"))
-        out.append(
-            _values(contacts, "raw_records", "line_no", "contactPoint.hasEmail", F.col("_rec"), F.col("_ord"), mail)
-        )
-    return out
+    name = F.col("_path")
+    own = F.when(nested.is_object(F.col("_item")), F.when(name == "resources.downloadURL", text("downloadURL")).when(name == "extras.key", text("key")).otherwise(text("hasEmail")))
+    is_key = name == "extras keys"
+    value = F.when(is_key, F.try_variant_get("_item", "$", "string")).otherwise(own)
+    pos = F.when(is_key, F.lit(-1)).otherwise(F.col("_ord"))
+    path = F.when(is_key, F.lit("extras.key")).otherwise(name)
+    return _values(children, "raw_records", "line_no", path, F.col("_rec"), pos, value)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +74,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         _values(
             catalog, "catalog_records", "row_id", "contactPoint.hasEmail", none, none, F.col("dcat.contactPoint.hasEmail")
         ),
-        *_of_lines(raw),
+        _of_lines(raw),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -25,11 +25,12 @@ from lexistrata.constants import (
     SYNONYMS,
     TERM_COLUMNS,
 )
-from lexistrata.engine import checkpoint, table
+from lexistrata.engine import checkpoint, table, unique_path
 from lexistrata.functions import text as t
 from lexistrata.operators import blocking, clusters, domain, flatten, mapping, profiling, resources, roles, terms, validation
 from lexistrata.operators.components import connected_components
 from lexistrata.operators.harvest import payload_kind, transformed_url
+from lexistrata.sources import records
 
 #: Least count of the terms that are clustered: the default of the stage.
 MIN_COUNT = 2
@@ -196,13 +197,15 @@ def _spark_queries() -> dict:
         "flatten_records": lambda s, p: _metadata(s, p),
         "flatten_distributions": lambda s, p: _distributions(s, p),
         "field_examples": lambda s, p: _field_names(s, p),
-        "field_mapping": lambda s, p: mapping.suggest_fields(_field_names(s, p)).select("input_field", "suggested_dcat_field", "confidence", "example_value"),
+        "field_mapping": lambda s, p: mapping.suggest_fields(_field_names(s, p)),
         "missing_required": lambda s, p: mapping.missing_required(mapping.suggest_fields(_field_names(s, p)).drop("warning_if_required_field_missing")),
         "field_roles": roles_of,
         "file_type_detect": lambda s, p: _distributions(s, p).select(
             "ord", "distribution_index", resources.file_type(_distributions(s, p)).alias("file_type"), resources.resource_url(_distributions(s, p)).alias("url")
         ),
         "zip_skip_reason": lambda s, p: _member_names(s, p).select("name", "size", resources.zip_skip_reason(F.col("name"), F.col("size"), 25 << 20).alias("reason")),
+        "csv_scan": lambda s, p: _csv_round(s, p),
+        "jsonl_scan": lambda s, p: _jsonl_round(s, p),
         "header_row": lambda s, p: resources.header_rows(_cells(s, p)),
         "payload_classify": lambda s, p: table(s, p, "raw_records").select(
             "line_no", payload_kind(F.encode("payload", "utf-8"), F.lit("")).alias("k")
@@ -216,6 +219,22 @@ def _spark_queries() -> dict:
     }
 
 
+def _csv_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profiled resource written as CSV and read again without type inference."""
+    path = unique_path(spark, "csv")
+    columns = ["row_id", "portal_id", "incident_id", "report_date", "school_name", "city", "status", "category", "contact_email"]
+    records.write_csv(table(spark, sf_dir, "resource_sample").select(*columns), path)
+    return records.read_csv(spark, path).select(*columns)
+
+
+def _jsonl_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalog records written as JSON lines, read again and flattened without a declared type."""
+    path = unique_path(spark, "jsonl")
+    records.write_jsonl(_records(spark, sf_dir, "catalog_records"), path)
+    flat = flatten.flatten_records(records.read_jsonl(spark, path), "record")
+    return flat.select("id", "title", "dcat_keyword", "dcat_publisher_name", "distribution_count", "distribution_formats")
+
+
 def _part_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.lower("p_name").alias("term")).distinct()
 
@@ -557,6 +576,9 @@ def _cluster_sql() -> str:
         FROM base b JOIN elected USING (cluster_id) LEFT JOIN edges e ON e.l = least(canonical_term, normalized_term) AND e.r = greatest(canonical_term, normalized_term)) """
 
 
+_SAMPLE_SQL = """ SELECT cluster_id, canonical_term, array_to_string(list_sort(list(DISTINCT observed_term)), ' | ') AS observed_terms,
+    substr(coalesce(array_to_string(list(examples ORDER BY count DESC, observed_term, examples) FILTER (WHERE examples <> ''), ' | '), ''), 1, 500) AS example_records, true AS predicted_equivalent
+  FROM clustered GROUP BY cluster_id, canonical_term ORDER BY cluster_id, canonical_term LIMIT 100"""
 _SEVERAL = "SELECT cluster_id FROM clustered GROUP BY cluster_id HAVING count(DISTINCT normalized_term) > 1"
 _METRICS_SQL = """, sizes AS (SELECT cluster_id, count(DISTINCT normalized_term) AS n, count(*) AS m FROM clustered GROUP BY cluster_id)
   SELECT sum(n)::BIGINT AS total_terms, count(*) AS total_clusters, max(n) AS largest_cluster_size, count(*) FILTER (WHERE n = 1) AS singleton_clusters, count(*) FILTER (WHERE n > 1) AS multi_term_clusters,
@@ -650,6 +672,11 @@ def oracle_sql() -> dict[str, str]:
         "cluster_metrics": clustered + _METRICS_SQL,
         "drop_singletons": clustered + f"SELECT * FROM clustered WHERE cluster_id IN ({_SEVERAL})",
         "top_clusters": clustered + _TOP_SQL,
+        "validation_sample": clustered + _SAMPLE_SQL,
+        "domain_clusters": clustered + f""" SELECT cluster_id, canonical_term, array_to_string(list_slice(list_sort(list(DISTINCT observed_term)), 1, 8), ' | ') AS observed_terms, sum(count)::BIGINT AS count
+          FROM clustered WHERE {_sensor()} GROUP BY ALL ORDER BY count DESC, cluster_id LIMIT 20""",
+        "csv_scan": "SELECT columns(*)::VARCHAR FROM (SELECT row_id, portal_id, coalesce(incident_id::VARCHAR, '') AS incident_id, coalesce(report_date, '') AS report_date, coalesce(school_name, '') AS school_name, coalesce(city, '') AS city, coalesce(status, '') AS status, coalesce(category, '') AS category, coalesce(contact_email, '') AS contact_email FROM resource_sample)",
+        "jsonl_scan": f"WITH meta AS ({_flat_sql()}) SELECT id, title, dcat_keyword, dcat_publisher_name, distribution_count, distribution_formats FROM meta WHERE ord IN (SELECT row_id FROM catalog_records)",
         "embedding_edges": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
           SELECT a.vec_id AS l, b.vec_id AS r, round(list_cosine_similarity(a.e, b.e), 3) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id
           WHERE round(list_cosine_similarity(a.e, b.e), 9) >= 0.5""",
@@ -672,9 +699,9 @@ def oracle_sql() -> dict[str, str]:
         "top_duplicates": counted + "SELECT normalized_term, source_field, sum(count)::BIGINT AS count FROM counted GROUP BY ALL ORDER BY 3 DESC, 1, 2 LIMIT 10",
         "flatten_records": meta + "SELECT * FROM meta",
         "flatten_distributions": dist + "SELECT * FROM dist",
-        "field_mapping": _mapping_sql() + "SELECT input_field, suggested_dcat_field, confidence FROM mapped",
-        "missing_required": _mapping_sql() + f"""SELECT CASE WHEN count(*) = 0 THEN '' ELSE 'Missing likely required fields: ' || array_to_string(list(f ORDER BY f), ', ') END AS warning_if_required_field_missing
-          FROM (VALUES {', '.join(f"('{f}')" for f in REQUIRED_FIELDS)}) v(f) WHERE f NOT IN (SELECT suggested_dcat_field FROM mapped)""",
+        "field_examples": f"WITH {_examples_sql()} SELECT * FROM fx",
+        "field_mapping": _mapping_sql() + "SELECT * FROM mapped, warning",
+        "missing_required": _mapping_sql() + "SELECT * FROM warning",
         "file_type_detect": dist + f"""SELECT ord, distribution_index, CASE WHEN contains(upper(format), 'CSV') OR contains(lower("mediaType"), 'text/csv') OR lower({url}) LIKE '%.csv' THEN 'CSV'
           WHEN contains(upper(format), 'XLSX') OR contains(lower("mediaType"), 'spreadsheet') OR lower({url}) LIKE '%.xlsx' THEN 'XLSX'
           WHEN contains(upper(format), 'ZIP') OR contains(lower("mediaType"), 'application/zip') OR lower({url}) LIKE '%.zip' THEN 'ZIP' END AS file_type, {url} AS url FROM dist""",
@@ -704,11 +731,60 @@ def _raw_made() -> str:
     return "replace(replace(coalesce(harvest_record_raw, ''), '/raw', '/transformed'), 'raw=true', 'transformed=true')"
 
 
+_RESOURCE = dict.fromkeys(("name", "description", "format", "mimetype", "mediaType", "url", "downloadURL", "accessURL"), "")
+_DISTRIBUTION = dict.fromkeys(
+    ("title", "description", "format", "mediaType", "downloadURL", "accessURL", "conformsTo", "describedBy", "describedByType"), ""
+)
+_DCAT = {
+    **dict.fromkeys(("@type", "title", "description", "identifier", "accessLevel", "modified", "issued", "landingPage"), ""),
+    **dict.fromkeys(("license", "rights", "spatial", "temporal"), ""),
+    **{name: [""] for name in ("keyword", "theme", "bureauCode", "programCode")},
+    "publisher": {"name": ""}, "contactPoint": {"fn": "", "hasEmail": ""}, "distribution": [_DISTRIBUTION],
+}
+#: Shapes of the record tables: a text, a list of one shape, or members.
+_SHAPES = {
+    "sample_records": {
+        **dict.fromkeys(("id", "name", "title", "notes", "license_title", "metadata_created", "metadata_modified", "url"), ""),
+        "organization": {"id": "", "name": "", "title": ""}, "groups": [{"name": ""}], "tags": [{"name": ""}],
+        "extras": [{"key": "", "value": ""}], "resources": [_RESOURCE],
+    },
+    "catalog_records": {
+        **dict.fromkeys(("id", "title", "description", "harvest_record", "harvest_record_raw"), ""),
+        "organization": {"name": "", "title": ""}, "dcat": _DCAT,
+    },
+}
+
+
+def _json_text(at: str, shape: str | list | dict, depth: int = 0) -> str:
+    """JSON of a value without null members, members in order."""
+    if isinstance(shape, str):
+        return f"to_json({at})::VARCHAR"
+    if isinstance(shape, list):
+        return f"'[' || array_to_string(list_transform({at}, lambda v{depth}: coalesce({_json_text(f'v{depth}', shape[0], depth + 1)}, 'null')), ',') || ']'"
+    parts = ", ".join(f"""CASE WHEN {at}."{k}" IS NOT NULL THEN '"{k}":' || {_json_text(f'{at}."{k}"', shape[k], depth + 1)} END""" for k in sorted(shape))
+    return f"CASE WHEN {at} IS NOT NULL THEN '{{' || array_to_string(list_filter([{parts}], lambda z{depth}: z{depth} IS NOT NULL), ',') || '}}' END"
+
+
+def _examples_sql() -> str:
+    """``fx``: every member name of both record tables, of extras and resources, with its first value."""
+    parts = []
+    for source, members in _SHAPES.items():
+        order = "row_id" if source == "sample_records" else f"row_id + {AFTER}"
+        for name, shape in members.items():
+            text = f'"{name}"' if shape == "" else _json_text(f'{source}."{name}"', shape)
+            parts.append(f"""SELECT '{name}' AS f, {text} AS v, {order} AS o, 0 AS i, 0 AS j FROM {source} WHERE "{name}" IS NOT NULL""")
+    parts.append("SELECT x.key, coalesce(x.value, ''), o, 1, j FROM (SELECT row_id AS o, unnest(extras) AS x, generate_subscripts(extras, 1) AS j FROM sample_records) WHERE x.key IS NOT NULL")
+    for name in _RESOURCE:
+        parts.append(
+            f"""SELECT 'distribution.{name}', x."{name}", o, 2, j FROM (SELECT row_id AS o, unnest(resources) AS x, generate_subscripts(resources, 1) AS j FROM sample_records) WHERE x."{name}" IS NOT NULL"""
+        )
+    return f"fx AS MATERIALIZED (SELECT f AS input_field, substr(first(v ORDER BY o, i, j), 1, 300) AS example_value FROM ({' UNION ALL '.join(parts)}) GROUP BY f)"
+
+
 def _mapping_sql() -> str:
     """``mapped``: field names and the alias most like each, by longest common subsequence of single words."""
     aliases = ", ".join(f"({i}, '{a}', '{m}')" for i, (a, m) in enumerate(FIELD_ALIASES.items()))
-    return f"""WITH RECURSIVE fields AS (SELECT DISTINCT f AS input_field FROM (SELECT unnest(extras).key AS f FROM sample_records
-          UNION ALL SELECT unnest(['title', 'notes', 'topic', 'modified', 'Agency', 'distribution_file_url', 'file-urls'])) WHERE f IS NOT NULL),
+    return f"""WITH RECURSIVE {_examples_sql()}, fields AS (SELECT input_field FROM fx),
         named AS (SELECT input_field, regexp_replace(regexp_replace(regexp_replace(lower(input_field), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), '^distribution_', '') AS f FROM fields),
         alias(p, a, m) AS (VALUES {aliases}),
         lcs(f, a, i, row_) AS (
@@ -717,8 +793,12 @@ def _mapping_sql() -> str:
           SELECT f, a, i + 1, list_prepend(0, list_transform(range(1, length(a) + 1), lambda j: list_max(list_transform(range(1, j + 1),
             lambda k: CASE WHEN substr(a, k::INTEGER, 1) = substr(f, i + 1, 1) THEN greatest(row_[k] + 1, row_[k + 1]) ELSE row_[k + 1] END)))) FROM lcs WHERE i < length(f)),
         scored AS (SELECT f, a, CASE WHEN length(f) = 0 THEN 0 ELSE round_even(2 * row_[length(a) + 1] / (length(f) + length(a)), 3) END AS s FROM lcs WHERE i = length(f)),
-        best AS (SELECT f, first(m ORDER BY s DESC, p) AS m, max(s) AS s FROM scored JOIN alias USING (a) GROUP BY f),
-        mapped AS (SELECT input_field, CASE WHEN s >= 0.82 THEN m ELSE '' END AS suggested_dcat_field, CASE WHEN s >= 0.82 THEN s ELSE 0.0 END::DOUBLE AS confidence FROM named JOIN best USING (f)) """
+        best AS (SELECT f, first(m ORDER BY s DESC, p) AS m, first(a ORDER BY s DESC, p) AS a, max(s) AS s FROM scored JOIN alias USING (a) GROUP BY f),
+        mapped AS (SELECT input_field, CASE WHEN s >= 0.82 THEN m ELSE '' END AS suggested_dcat_field, CASE WHEN s >= 0.82 THEN s ELSE 0.0 END::DOUBLE AS confidence,
+          CASE WHEN s = 1 THEN 'seed alias dictionary' WHEN s >= 0.82 THEN 'fuzzy alias match: ' || a ELSE 'no confident mapping' END AS reason, example_value
+          FROM named JOIN best USING (f) JOIN fx USING (input_field)),
+        warning AS (SELECT CASE WHEN count(*) = 0 THEN '' ELSE 'Missing likely required fields: ' || array_to_string(list(f ORDER BY p), ', ') END AS warning_if_required_field_missing
+          FROM (VALUES {', '.join(f"('{f}', {i})" for i, f in enumerate(REQUIRED_FIELDS))}) v(f, p) WHERE f NOT IN (SELECT suggested_dcat_field FROM mapped)) """
 
 
 def queries() -> dict:

@@ -12,20 +12,18 @@ from lexistrata.operators.nested import as_list, is_object, member, parse_object
 
 
 def read_jsonl(spark: SparkSession, path: str, *, strict: bool = True) -> DataFrame:
-    """``ord, record``: the objects of a JSONL file with the number of their line from 1.
+    """``ord, record``: the objects of a JSONL file in the order of its lines.
 
-    Blank lines are skipped, other JSON values dropped. A line that is no JSON stops the read in ``strict`` mode, with
-    its number, and is dropped otherwise.
+    Blank lines are skipped, other JSON values dropped. A line that is no JSON stops the read in ``strict`` mode, with its
+    number, and is dropped otherwise. Lines are only numbered to tell of a wrong one: ``ord`` orders them, with gaps.
     """
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    rows = spark.createDataFrame(lines, "ord long, line string").where(F.trim("line") != "")
-    whole = F.try_parse_json(F.concat(F.lit("["), F.col("line"), F.lit("]")))
-    bad = whole.isNull()
+    lines = spark.read.text(path).select((F.monotonically_increasing_id() + 1).alias("ord"), F.col("value").alias("line"))
     if strict:
-        message = F.concat(F.lit(f"Invalid JSONL at {path}:"), F.col("ord"))
-        checked = F.when(bad, F.raise_error(message).cast("string")).otherwise(F.col("line"))
-        rows = rows.withColumn("line", checked)
-    return rows.select("ord", parse_object(F.col("line")).alias("record")).where(F.col("record").isNotNull())
+        wrong = lines.where((F.trim("line") != "") & F.try_parse_json(F.concat(F.lit("["), F.col("line"), F.lit("]"))).isNull())
+        first = wrong.agg(F.min("ord")).first()[0]
+        if first is not None:
+            raise ValueError(f"Invalid JSONL at {path}:{lines.where(F.col('ord') <= first).count()}")
+    return lines.select("ord", parse_object(F.col("line")).alias("record")).where(F.col("record").isNotNull())
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -77,7 +75,9 @@ def write_csv(df: DataFrame, path: str) -> None:
     flat = df.drop("ord")
     if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in flat.schema.fields):
         raise ValueError("nested columns have no place in CSV")
-    flat.coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="", quoteAll=False)
+    flat.coalesce(1).write.mode("overwrite").csv(
+        path, header=True, escape='"', emptyValue="", quoteAll=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def write_jsonl(df: DataFrame, path: str, record: str = "record") -> None:

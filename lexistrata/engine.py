@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,14 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can read: ``spark.checkpoint.dir``.
 
-    Only where the session has none, and runs inside one machine, a temporary folder is made.
+    Only where the session has none, and runs inside one machine, a temporary folder is made; it goes when the process ends.
     """
     sc = spark.sparkContext
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not set_dir:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        set_dir = "file://" + tempfile.mkdtemp(prefix="lexistrata-")
+        made = tempfile.mkdtemp(prefix="lexistrata-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        set_dir = f"file://{made}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(set_dir)
     return set_dir

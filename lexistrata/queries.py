@@ -204,6 +204,7 @@ def _spark_queries() -> dict:
             "ord", "distribution_index", resources.file_type(_distributions(s, p)).alias("file_type"), resources.resource_url(_distributions(s, p)).alias("url")
         ),
         "zip_skip_reason": lambda s, p: _member_names(s, p).select("name", "size", resources.zip_skip_reason(F.col("name"), F.col("size"), 25 << 20).alias("reason")),
+        "resource_profiles": lambda s, p: _profiles(s, p),
         "csv_scan": lambda s, p: _csv_round(s, p),
         "jsonl_scan": lambda s, p: _jsonl_round(s, p),
         "header_row": lambda s, p: resources.header_rows(_cells(s, p)),
@@ -235,6 +236,20 @@ def _jsonl_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("id", "title", "dcat_keyword", "dcat_publisher_name", "distribution_count", "distribution_formats")
 
 
+_PROFILED = ["incident_id", "report_date", "school_name", "city", "status", "incident_count", "contact_email"]
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema profile of one CSV file for each portal."""
+    path = unique_path(spark, "resources")
+    rows = table(spark, sf_dir, "resource_sample").select("portal_id", *_PROFILED)
+    rows.repartition("portal_id").write.partitionBy("portal_id").csv(path, header=True)
+    files = spark.read.text(path).select(F.col("portal_id").alias("ord"), F.input_file_name().alias("downloadURL")).distinct()
+    named = files.select("ord", F.col("ord").cast("string").alias("dataset_id"), F.lit("CSV").alias("format"), "downloadURL")
+    profiles, _ = resources.profile_resources(named, max_files=named.count(), max_file_mb=4096)
+    return profiles.select("dataset_id", "file_type", "row_count_estimate", "column_count", "detected_columns", "errors")
+
+
 def _part_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.lower("p_name").alias("term")).distinct()
 
@@ -675,6 +690,8 @@ def oracle_sql() -> dict[str, str]:
         "validation_sample": clustered + _SAMPLE_SQL,
         "domain_clusters": clustered + f""" SELECT cluster_id, canonical_term, array_to_string(list_slice(list_sort(list(DISTINCT observed_term)), 1, 8), ' | ') AS observed_terms, sum(count)::BIGINT AS count
           FROM clustered WHERE {_sensor()} GROUP BY ALL ORDER BY count DESC, cluster_id LIMIT 20""",
+        "resource_profiles": f"""SELECT portal_id::VARCHAR AS dataset_id, 'CSV' AS file_type, least(count(*), 1000)::INTEGER AS row_count_estimate, {len(_PROFILED)}::INTEGER AS column_count,
+          '{" | ".join(_PROFILED)}' AS detected_columns, '' AS errors FROM resource_sample GROUP BY portal_id""",
         "csv_scan": "SELECT columns(*)::VARCHAR FROM (SELECT row_id, portal_id, coalesce(incident_id::VARCHAR, '') AS incident_id, coalesce(report_date, '') AS report_date, coalesce(school_name, '') AS school_name, coalesce(city, '') AS city, coalesce(status, '') AS status, coalesce(category, '') AS category, coalesce(contact_email, '') AS contact_email FROM resource_sample)",
         "jsonl_scan": f"WITH meta AS ({_flat_sql()}) SELECT id, title, dcat_keyword, dcat_publisher_name, distribution_count, distribution_formats FROM meta WHERE ord IN (SELECT row_id FROM catalog_records)",
         "embedding_edges": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)

@@ -9,6 +9,7 @@ import csv
 import io
 import re
 import zipfile
+from collections.abc import Sequence
 from pathlib import PurePosixPath
 from xml.etree import ElementTree
 
@@ -151,6 +152,12 @@ def _value(cell: ElementTree.Element, shared: list[str]) -> str | None:
     return value.text
 
 
+def flatten_headers(headers: Sequence[str | Sequence[str | None]]) -> list[str]:
+    """Names of columns; a header over several rows is its parts joined by spaces, missing ones left out."""
+    named = ([header] if isinstance(header, str) else [part for part in header if part is not None and str(part) != "nan"] for header in headers)
+    return [" ".join(map(str, parts)).strip() for parts in named]
+
+
 def header_row(rows: list[list[str | None]]) -> int:
     """The first of the first ten rows with the most filled cells, cells with letters counting twice."""
 

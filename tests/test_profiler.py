@@ -140,6 +140,10 @@ def test_archives_and_resource_profiles(spark, tmp_path):
     assert closed.first().errors == "skipped_zip_allow_zip_false"
 
 
+def test_headers_over_several_rows():
+    assert archives.flatten_headers([" id ", ("count", "2024"), ("total", None), ("x", "nan")]) == ["id", "count 2024", "total", "x"]
+
+
 def test_payloads():
     assert classify_payload(b'{"@type":"dcat:Dataset"}', "") == (".json", "dcat_json")
     assert classify_payload(b"[1]", "application/json") == (".json", "json")

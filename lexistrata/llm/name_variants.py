@@ -111,7 +111,8 @@ def learned_short_words(words: DataFrame, *, support: int = 2, share: float = 0.
     held = checkpoint(telling.groupBy("token").agg(F.count_distinct("_name").alias("_n")))
     slots = checkpoint(slots.join(held, "token"))
     longer = slots.select("_c", F.col("token").alias("_long"), F.col("_n").alias("_m"))
-    pairs = slots.join(longer, "_c").where((F.length("token") > 1) & (F.length("token") < F.length("_long")) & (F.col("_m") >= F.col("_n")))
+    # Two initialisms are no short and long word, however alike.
+    pairs = slots.join(longer, "_c").where((F.length("_long") > 4) & (F.length("token") > 1) & (F.length("token") < F.length("_long")) & (F.col("_m") >= F.col("_n")))
     counted = pairs.where(F.rlike(F.col("_long"), _in_order(F.col("token")))).groupBy("token", "_long").agg(F.count("*").alias("k"), F.max("_m").alias("_m"))
     best = counted.groupBy("token").agg(F.sum("k").alias("all"), F.max(F.struct("k", "_m", "_long")).alias("b"))
     return best.where((F.col("b.k") >= support) & (F.col("b.k") >= share * F.col("all"))).select("token", F.col("b._long").alias("_long"))
@@ -346,6 +347,15 @@ def _initials(words: Column, level: Column) -> Column:
     return F.concat(F.lit("#"), F.array_join(F.transform(_line(words, level), lambda w: F.substring(w, 1, 1)), ""))
 
 
+#: First letters that a word and a shorter form of it have in common.
+START = 4
+
+
+def _starts(words: Column) -> Column:
+    """Keys of the first letters of the longer words."""
+    return F.transform(F.filter(words, lambda w: F.length(w) >= START), lambda w: F.concat(F.lit("~"), F.left(w, F.lit(START))))
+
+
 def _in_order(word: Column) -> Column:
     """A pattern of the words that have all letters of this one in order, from the first on."""
     return F.concat(F.lit("^"), F.regexp_replace(word, "(.)", "$1.*"))
@@ -361,7 +371,7 @@ def _rematch(entities: DataFrame) -> DataFrame:
     part = e.where("complete = 0").withColumn("short", F.get("shorts", F.lit(0)))
     # Keys under which a complete body can be asked for: its short forms and each of its words; a person's given name
     # and initial. One-word profiles ask under the word and as a short form.
-    body_keys = F.array_distinct(F.concat("_forms", "_words", F.array(_initials(F.col("_words"), F.col("_level")))))
+    body_keys = F.array_distinct(F.concat("_forms", "_words", F.array(_initials(F.col("_words"), F.col("_level"))), _starts(F.col("_words"))))
     person_keys = F.flatten(F.transform("_forms", lambda f: F.array(f, F.substring(f, 1, 1))))
     offered = whole.withColumn("_key", F.explode(F.when(F.col("person"), F.array_distinct(person_keys)).otherwise(body_keys)))
     wanted = part.withColumn(
@@ -373,6 +383,7 @@ def _rematch(entities: DataFrame) -> DataFrame:
                 F.concat(
                     F.slice(F.array_sort("words", lambda a, b: F.length(b) - F.length(a)), 1, 1),
                     F.array(_initials(F.col("words"), F.col("level"))),
+                    F.slice(_starts(F.array_sort("words", lambda a, b: F.length(b) - F.length(a))), 1, 1),
                 )
             )
         ),
@@ -384,11 +395,19 @@ def _rematch(entities: DataFrame) -> DataFrame:
         F.arrays_zip(_line(F.col("words"), F.col("level")).alias("a"), _line(F.col("_words"), F.col("_level")).alias("b")),
         lambda x: F.coalesce((x["a"] == x["b"]) | ((F.length(x["a"]) > 1) & F.rlike(x["b"], _in_order(x["a"]))), F.lit(False)),
     )
+    begun = F.forall(
+        "words",
+        lambda w: F.exists(
+            "_words",
+            lambda v: (w == v) | ((F.length(w) >= START) & (F.left(w, F.lit(START)) == F.left(v, F.lit(START)))
+            & (F.rlike(v, _in_order(w)) | v.startswith(F.left(w, F.length(w) - 3)))),
+        ),
+    )
     middle_fits = (F.col("middle") == "") | (F.col("_middle") == "") | (F.col("middle") == F.col("_middle"))
-    fits = F.when(F.col("person"), middle_fits).otherwise(level_fits & (subset | short_fits | aligned))
+    fits = F.when(F.col("person"), middle_fits).otherwise(level_fits & (subset | short_fits | aligned | begun))
     # Equal words beat a subset of them, and these beat words that may be short for others.
     rank = F.when(F.col("person"), F.when((F.col("middle") != "") & (F.col("middle") == F.col("_middle")), 0).otherwise(1)).otherwise(
-        F.when(subset & (F.size(F.array_except("_words", "words")) == 0), 0).when(subset | short_fits, 1).otherwise(2)
+        F.when(subset & (F.size(F.array_except("_words", "words")) == 0), 0).when(subset | short_fits, 1).when(aligned, 2).otherwise(3)
     )
     found = (
         wanted.join(offered, ["person", "place", "_key"])

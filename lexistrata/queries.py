@@ -163,7 +163,9 @@ def _spark_queries() -> dict:
         "normalize_stopwords": lambda s, p: d(s, p).select("doc_id", t.normalize_text(F.col("title"), remove_stopwords=True).alias("normalized")),
         "split_compound": lambda s, p: problems._packed_items(s, p).select("row_id", "field", "item_pos", F.posexplode(t.split_compound(F.col("item"))).alias("pos", "part")),
         "compact_list": lambda s, p: table(s, p, "catalog_records").select("row_id", t.compact_list(F.col("dcat.keyword"), 5).alias("keywords")),
-        "extract_terms": lambda s, p: _term_rows(s, p).select(F.col("ord").alias("row_id"), "term"),
+        "extract_terms": lambda s, p: terms.term_rows(checkpoint(_flat(s, p, flatten.flatten_records, _after(s, p))), "ord").select(
+            F.col("ord").alias("row_id"), "term"
+        ),
         "normalize_field_names": lambda s, p: table(s, p, "sample_records").select(F.explode("extras.key").alias("key")).distinct().select("key", t.field_form(F.col("key")).alias("form")),
         "synonym_canonicalize": synonyms,
         "term_frequency": lambda s, p: _counted(s, p).select("term", "normalized_term", "source_field", "count"),
@@ -666,7 +668,7 @@ def oracle_sql() -> dict[str, str]:
               FROM i WHERE item IS NOT NULL AND {_normalize('item')} <> ''))
           SELECT row_id, field, item_pos, (row_number() OVER (PARTITION BY row_id, field, item_pos ORDER BY k) - 1)::INTEGER AS pos, part FROM parts WHERE part <> ''""",
         "compact_list": f"SELECT row_id, {_compact('dcat.keyword', 5)} AS keywords FROM catalog_records",
-        "extract_terms": meta + f"SELECT ord AS row_id, term FROM ({_cell_terms('meta')})",
+        "extract_terms": f"WITH meta AS MATERIALIZED ({_flat_sql(AFTER)}) SELECT ord AS row_id, term FROM ({_cell_terms('meta')})",
         "normalize_field_names": "SELECT key, regexp_replace(regexp_replace(lower(key), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS form FROM (SELECT DISTINCT unnest(extras).key AS key FROM sample_records)",
         "synonym_canonicalize": counted + f"SELECT normalized_term, sum(count)::BIGINT AS n FROM counted WHERE normalized_term IN {_words(sorted(set(SYNONYMS.values())))} GROUP BY normalized_term",
         "term_frequency": counted + f"SELECT {columns} FROM counted",

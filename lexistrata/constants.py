@@ -77,6 +77,7 @@ SENSOR_TERMS = [
     "environmental monitoring",
     "water quality",
 ]
+#: Terms that are mere streams of bytes.
 NOISY_STREAMS = ["application octet stream", "octet stream", "stream"]
 #: Words too common to block on.
 BLOCK_STOP_TOKENS = (
@@ -113,6 +114,7 @@ FIELD_ALIASES = {
     "service_url": "distribution.accessURL",
     "endpoint_url": "distribution.accessURL",
 }
+#: Fields that a catalog entry should have.
 REQUIRED_FIELDS = ["description", "keyword", "modified", "publisher", "title"]
 
 #: Patterns of header names by column role.
@@ -145,6 +147,7 @@ SENSOR_PATTERNS = {
     "streamgage/streamflow count": ["streamgage", "stream gage", "streamflow"],
     "UAS/drone count": ["uas", "uav", "drone"],
 }
+#: Terms that the sensor summary suggests.
 SENSOR_EXPANSIONS = [
     "sensor",
     "sensors",
@@ -163,6 +166,7 @@ SENSOR_EXPANSIONS = [
     "drone",
 ]
 
+#: Labels of a review.
 VALID_LABELS = ["equivalent", "not_equivalent", "related", "unsure"]
 
 #: File name endings inside archives.
@@ -175,6 +179,7 @@ TERM_COLUMNS = "term normalized_term source_field count example_record_ids examp
 CLUSTER_COLUMNS = (
     "cluster_id canonical_term observed_term normalized_term source_fields count similarity_score cluster_reason examples"
 ).split()
+#: Fields of the completeness report with the columns that fill them.
 COMPLETENESS = {
     "title": ["title", "dcat_title"],
     "description": ["notes", "dcat_description"],

@@ -140,7 +140,7 @@ def _spark_queries() -> dict:
         return scored.where(F.round("score", 9) >= 0.5).select("l", "r", F.round("score", 3).alias("score"))
 
     def vectors(s: SparkSession, p: str) -> DataFrame:
-        edges = clusters.vector_edges(table(s, p, "embeddings"), 0.5, key="vec_id", vector="embedding")
+        edges = clusters.vector_edges(table(s, p, "embeddings"), 0.35, key="vec_id", vector="embedding")
         return edges.select("l", "r", F.round("score", 3).alias("score"))
 
     def roles_of(s: SparkSession, p: str) -> DataFrame:
@@ -698,7 +698,7 @@ def oracle_sql() -> dict[str, str]:
         "jsonl_scan": f"WITH meta AS ({_flat_sql()}) SELECT id, title, dcat_keyword, dcat_publisher_name, distribution_count, distribution_formats FROM meta WHERE ord IN (SELECT row_id FROM catalog_records)",
         "embedding_edges": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
           SELECT a.vec_id AS l, b.vec_id AS r, round(list_cosine_similarity(a.e, b.e), 3) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id
-          WHERE round(list_cosine_similarity(a.e, b.e), 9) >= 0.5""",
+          WHERE round(list_cosine_similarity(a.e, b.e), 9) >= 0.35""",
         "edge_dedupe": """WITH e AS (SELECT l_suppkey::VARCHAR AS a, l_partkey::VARCHAR AS b, l_quantity::DOUBLE AS score, CASE WHEN l_linenumber % 2 = 0 THEN 'exact' ELSE 'fuzzy' END AS reason FROM lineitem)
           SELECT l, r, score, reason FROM (SELECT least(a, b) AS l, greatest(a, b) AS r, score, reason,
             row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY score DESC, reason = 'exact' DESC, reason DESC) AS n FROM e WHERE a <> b) WHERE n = 1""",

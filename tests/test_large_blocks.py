@@ -54,3 +54,14 @@ def test_profile_stages_are_small(spark):
     before = size()
     assert terms.profile_terms(table).count() > 100
     assert size() - before < 4 * 300 * len(text)
+
+
+def test_terms_of_blocks_are_counted_without_examples(spark, monkeypatch):
+    """Keys and pairs of terms need no examples, so that none are sought."""
+    asked = []
+    found = terms.profile_terms
+    empty = spark.createDataFrame([], "ord long, id string, title string, " + ", ".join(f"{f} string" for f in queries.TERM_FIELDS if f != "title"))
+    monkeypatch.setattr(queries, "_after", lambda *_: 0)
+    monkeypatch.setattr(queries, "_flat", lambda *_: empty)
+    monkeypatch.setattr(terms, "profile_terms", lambda *a, **k: asked.append(k["examples"]) or found(*a, **k))
+    assert queries._cluster_terms(spark, "").count() == 0 and asked == [()]

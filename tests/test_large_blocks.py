@@ -26,6 +26,10 @@ def many(spark, monkeypatch):
     return lambda name: queries.queries()[name](spark, "").collect()
 
 
+def test_candidate_pairs_of_large_blocks(many):
+    assert len(many("candidate_pairs")) == MANY * (MANY - 1) // 2
+
+
 def test_first_values_survive_any_cut_into_batches(monkeypatch):
     rng = random.Random(3)
     rows = [(rng.randint(1, 4), o, rng.randint(0, 3), rng.randint(0, 12), rng.randint(0, 6)) for o in rng.sample(range(10_000), 600)]

@@ -34,6 +34,10 @@ def test_token_set_edges_of_large_blocks(many):
     assert len(many("token_set_edges")) == MANY * (MANY - 1) // 2
 
 
+def test_tfidf_edges_of_large_blocks(many):
+    assert len(many("tfidf_edges")) > MANY
+
+
 def test_first_values_survive_any_cut_into_batches(monkeypatch):
     rng = random.Random(3)
     rows = [(rng.randint(1, 4), o, rng.randint(0, 3), rng.randint(0, 12), rng.randint(0, 6)) for o in rng.sample(range(10_000), 600)]

@@ -43,6 +43,10 @@ def test_cluster_rows_of_large_blocks(many):
     assert len(rows) == MANY + 1 and len({r.cluster_id for r in rows}) == 2 and {r.examples for r in rows} == {"Sky"}
 
 
+def test_cluster_metrics_of_large_blocks(many):
+    assert [(r.total_terms, r.total_clusters, r.largest_cluster_size) for r in many("cluster_metrics")] == [(MANY + 1, 2, MANY)]
+
+
 def test_first_values_survive_any_cut_into_batches(monkeypatch):
     rng = random.Random(3)
     rows = [(rng.randint(1, 4), o, rng.randint(0, 3), rng.randint(0, 12), rng.randint(0, 6)) for o in rng.sample(range(10_000), 600)]

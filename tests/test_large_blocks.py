@@ -47,6 +47,10 @@ def test_cluster_metrics_of_large_blocks(many):
     assert [(r.total_terms, r.total_clusters, r.largest_cluster_size) for r in many("cluster_metrics")] == [(MANY + 1, 2, MANY)]
 
 
+def test_domain_clusters_of_large_blocks(many):
+    assert [r["count"] for r in many("domain_clusters")] == [2 * MANY]
+
+
 def test_first_values_survive_any_cut_into_batches(monkeypatch):
     rng = random.Random(3)
     rows = [(rng.randint(1, 4), o, rng.randint(0, 3), rng.randint(0, 12), rng.randint(0, 6)) for o in rng.sample(range(10_000), 600)]

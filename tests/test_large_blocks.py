@@ -47,6 +47,10 @@ def test_cluster_metrics_of_large_blocks(many):
     assert [(r.total_terms, r.total_clusters, r.largest_cluster_size) for r in many("cluster_metrics")] == [(MANY + 1, 2, MANY)]
 
 
+def test_drop_singletons_of_large_blocks(many):
+    assert len(many("drop_singletons")) == MANY
+
+
 def test_domain_clusters_of_large_blocks(many):
     assert [r["count"] for r in many("domain_clusters")] == [2 * MANY]
 

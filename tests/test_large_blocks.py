@@ -51,6 +51,10 @@ def test_drop_singletons_of_large_blocks(many):
     assert len(many("drop_singletons")) == MANY
 
 
+def test_top_clusters_of_large_blocks(many):
+    assert [r["count"] for r in many("top_clusters")] == [2 * MANY]
+
+
 def test_domain_clusters_of_large_blocks(many):
     assert [r["count"] for r in many("domain_clusters")] == [2 * MANY]
 

@@ -55,6 +55,10 @@ def test_top_clusters_of_large_blocks(many):
     assert [r["count"] for r in many("top_clusters")] == [2 * MANY]
 
 
+def test_validation_sample_of_large_blocks(many):
+    assert len(many("validation_sample")) == 2
+
+
 def test_domain_clusters_of_large_blocks(many):
     assert [r["count"] for r in many("domain_clusters")] == [2 * MANY]
 
